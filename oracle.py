@@ -170,10 +170,9 @@ s_edges AS (
   FROM (SELECT DISTINCT match_id, player FROM snaps WHERE player IS NOT NULL)
   JOIN s_scope USING (match_id)),
 s_known AS (
-  SELECT e.match_id, e.player, e.n, e.bin, arg_max(s.total_res, s.t_us) AS v
-  FROM s_edges e LEFT JOIN snaps s
-    ON s.match_id = e.match_id AND s.player = e.player AND s.t_us <= e.bin * {0}
-  GROUP BY ALL),
+  SELECT e.match_id, e.player, e.n, e.bin, s.total_res AS v
+  FROM (SELECT *, bin * {0} AS t_us FROM s_edges) e ASOF LEFT JOIN snaps s
+    ON s.match_id = e.match_id AND s.player = e.player AND s.t_us <= e.t_us),
 s_filled AS (
   SELECT match_id, player, n, bin,
          coalesce(first_value(v IGNORE NULLS) OVER (

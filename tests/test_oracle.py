@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.01"
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_DIR}/events.parquet'")
