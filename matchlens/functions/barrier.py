@@ -10,8 +10,10 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     Catalyst pushes a filter on a projected column below the projection by
     repeating the column's expression, so a parsed payload used in a filter
     and in the output would be parsed several times. A filter on the output of a
-    generator stays above it; a one-row ``inline`` is compiled into the same
-    codegen stage and costs next to nothing.
+    generator stays above it. The expressions themselves are evaluated in a plain
+    projection, which is compiled and shares common parts; the one-row ``inline``
+    on top only passes them on.
     """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    given = df.columns
+    computed = df.select("*", *[value.alias(name) for name, value in columns.items()])
+    return computed.select(*given, F.inline(F.array(F.struct(*columns))))

@@ -111,18 +111,20 @@ def normalized(name: Column) -> Column:
 def cost_row(kind: str, key: Column, costs=None) -> Column:
     """Position in the cost table of the entry priced for ``key``, or NULL.
 
-    The table is a few dozen constants, so the lookup is one compiled CASE per
-    row: no join and no shuffle on names, of which one may dominate the data.
+    The table is a few dozen constants, so the lookup stays inside the row: no
+    join and no shuffle on names, of which one may dominate the data. Exact names
+    are found in a constant map; only other names are compared entry by entry.
     """
     table = COSTS if costs is None else costs
     entries = [(i, row[1]) for i, row in enumerate(table) if row[0] == kind]
-    chain = F
-    for i, name in entries:
-        chain = chain.when(key == name, F.lit(i))
-    for i, name in entries:
-        either_way = F.contains(key, F.lit(name)) | F.contains(F.lit(name), key)
-        chain = chain.when(either_way, F.lit(i))
-    return chain.otherwise(F.lit(None).cast("int")) if entries else F.lit(None).cast("int")
+    if not entries:
+        return F.lit(None).cast("int")
+    exact = F.create_map(*[F.lit(part) for i, name in entries for part in (name, i)])
+    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("i")) for i, name in entries])
+    loose = F.filter(
+        ordered, lambda e: F.contains(key, e["name"]) | F.contains(e["name"], key)
+    )
+    return F.coalesce(F.try_element_at(exact, key), F.get(loose, F.lit(0))["i"])
 
 
 def amount_of(resource: str, row: Column, costs=None) -> Column:

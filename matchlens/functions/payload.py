@@ -57,9 +57,8 @@ def is_kind(variant: Column, kind: str) -> Column:
 def truthy_text(variant: Column, path: str) -> Column:
     """Text at ``path``, or NULL if it is missing, empty, zero or false."""
     value = text(variant, path)
-    kept_as_is = value.isNotNull() & (value != "") & ~value.isin(*_EMPTY_TEXTS)
     is_string = is_kind(F.try_variant_get(variant, path, "variant"), "STRING")
-    return F.when(kept_as_is | ((value != "") & is_string), value)
+    return F.when(~value.isin("", *_EMPTY_TEXTS), value).when((value != "") & is_string, value)
 
 
 def unit_name(variant: Column) -> Column:
@@ -82,17 +81,25 @@ def item_count(variant: Column) -> Column:
 
 
 def _children(variant: Column) -> Column:
-    return F.map_values(F.try_variant_get(variant, "$", "map<string,variant>"))
+    values = F.map_values(F.try_variant_get(variant, "$", "map<string,variant>"))
+    return F.coalesce(values, F.array().cast("array<variant>"))
 
 
-def payload_strings(variant: Column) -> Column:
-    """Strings at the first two levels of objects; lists are not entered."""
+def payload_values(variant: Column) -> Column:
+    """Values of the first two levels of objects; lists are not entered."""
     top = _children(variant)
-    nested = F.flatten(F.transform(F.filter(top, lambda x: is_kind(x, "OBJECT")), _children))
-    return F.transform(
-        F.filter(F.concat(top, nested), lambda x: is_kind(x, "STRING")),
-        lambda x: F.try_variant_get(x, "$", "string"),
+    return F.concat(top, F.flatten(F.transform(top, _children)))
+
+
+def any_string_matches(values: Column, java: str) -> Column:
+    """Whether any of the values is a string with a match of a regex.
+
+    The text is tested first: naming the kind of a value costs more than a search.
+    """
+    found = F.exists(
+        values, lambda x: text(x, "$").rlike(java) & is_kind(x, "STRING")
     )
+    return F.coalesce(found, F.lit(False))
 
 
 # -- patterns -----------------------------------------------------------------
@@ -126,8 +133,10 @@ def text_may_match(payload: Column, pattern: str | re.Pattern) -> Column:
     return F.contains(payload, F.lit("\\")) | payload.rlike(regex(pattern))
 
 
-def payload_matches(variant: Column, pattern: str | re.Pattern, mode: str = "loose") -> Column:
-    """Whether a payload names what the pattern describes.
+def payload_matches(
+    name: Column, values: Column, pattern: str | re.Pattern, mode: str = "loose"
+) -> Column:
+    """Whether a payload with this ``unit_name`` and these ``payload_values`` matches.
 
     loose: the name or any payload string matches. strict: a name, where there
     is one, decides alone.
@@ -135,10 +144,7 @@ def payload_matches(variant: Column, pattern: str | re.Pattern, mode: str = "loo
     if mode not in MATCH_MODES:
         raise ValueError(f"match mode must be one of {MATCH_MODES}: {mode!r}")
     java = regex(pattern)
-    name = unit_name(variant)
-    in_strings = F.coalesce(
-        F.exists(payload_strings(variant), lambda s: s.rlike(java)), F.lit(False)
-    )
+    in_strings = any_string_matches(values, java)
     if mode == "strict":
         return F.when(name.isNotNull(), name.rlike(java)).otherwise(in_strings)
     named = F.coalesce((name != "") & name.rlike(java), F.lit(False))
@@ -152,7 +158,10 @@ def matching_actions(
     found = actions.filter(is_production(F.col("type")) & F.col("player").isNotNull())
     if not isinstance(actions.schema["payload"].dataType, VariantType):
         found = found.filter(text_may_match(F.col("payload"), pattern))
-    found = with_parsed(found).filter(payload_matches(F.col(PARSED), pattern, mode))
+    payload = F.col(PARSED)
+    found = with_parsed(found).filter(
+        payload_matches(unit_name(payload), payload_values(payload), pattern, mode)
+    )
     return found.select(
-        "match_id", "player", "seq", "t_us", item_count(F.col(PARSED)).alias("items")
+        "match_id", "player", "seq", "t_us", item_count(payload).alias("items")
     )

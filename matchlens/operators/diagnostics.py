@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.barrier import evaluate_once
 from matchlens.functions.payload import (
     PARSED,
     is_production,
     item_count,
     payload_matches,
+    payload_values,
     regex,
     unit_name,
     with_parsed,
@@ -88,11 +90,14 @@ def unit_pattern_hits(
     parsed = with_parsed(
         actions.filter(is_production(F.col("type")) & F.col("player").isNotNull())
     )
+    read = evaluate_once(
+        parsed, _name=unit_name(F.col(PARSED)), _values=payload_values(F.col(PARSED))
+    )
     matched = [
-        F.when(payload_matches(F.col(PARSED), pattern, mode), F.lit(unit))
+        F.when(payload_matches(F.col("_name"), F.col("_values"), pattern, mode), F.lit(unit))
         for unit, pattern in known.items()
     ]
-    hits = parsed.select(
+    hits = read.select(
         MATCH,
         item_count(F.col(PARSED)).alias("items"),
         F.explode(F.array_compact(F.array(*matched))).alias("unit"),

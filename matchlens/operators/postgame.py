@@ -13,11 +13,11 @@ from matchlens.operators.series import KEY, MATCH
 # Where player records are looked for, and how fields are spelled.
 CONTAINERS = ("players", "player", "achievements", "postgame", "summary")
 PLAYER_IDS = ("player_id", "player", "id", "profile_id")
-ALIASES = ("{0}", "{0}_collected", "total_{0}")
+ALIASES = (("", ""), ("", "_collected"), ("total_", ""))
 NESTED_TOTALS = "total_collected"
 NESTED_RECORD = "economy"
 
-# How many records of NESTED_RECORD inside each other are unwrapped.
+# How many records under NESTED_RECORD, each inside the last, are unwrapped.
 RECORD_DEPTH = 3
 
 _BUCKET = "struct<" + ",".join(f"{r}:double" for r in RESOURCES) + ">"
@@ -46,64 +46,72 @@ def _number(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(0.0))
 
 
-def _bucket(*amounts: Column) -> Column:
-    named = [a.alias(r) for a, r in zip(amounts, RESOURCES)]
-    return F.struct(*named).cast(_BUCKET)
+def _names() -> Column:
+    return F.array(*[F.lit(r) for r in RESOURCES])
 
 
-def _alias_value(fields: Column, resource: str) -> Column:
-    """Value of the first alias present, exact spelling before any case; NULL if none."""
+def _bucket(amounts: Column) -> Column:
+    """Four amounts in order of RESOURCES as a bucket; missing ones are 0."""
+    named = [F.coalesce(F.get(amounts, F.lit(i)), F.lit(0.0)) for i in range(len(RESOURCES))]
+    return F.struct(*[a.alias(r) for a, r in zip(named, RESOURCES)]).cast(_BUCKET)
 
-    def first(condition):
-        return F.get(F.filter(fields, condition), F.lit(0))
 
-    found = []
-    for alias in (a.format(resource) for a in ALIASES):
-        found.append(first(lambda e, alias=alias: e["key"] == alias))
-        found.append(first(lambda e, alias=alias: F.lower(e["key"]) == alias))
-    return _let(
-        F.coalesce(*found), lambda e: F.when(e.isNotNull(), _number(e["value"]))
+def _nested_amounts(record: Column) -> Column:
+    """Amounts under NESTED_TOTALS if that names all four resources, else NULL."""
+    totals = F.try_variant_get(record, f"$.{NESTED_TOTALS}", "map<string,variant>")
+    spelled = F.transform(F.map_keys(totals), lambda k: F.lower(k))
+    complete = F.size(F.array_intersect(spelled, _names())) == len(RESOURCES)
+    return F.when(
+        complete, F.transform(_names(), lambda r: _number(F.try_element_at(totals, r)))
     )
 
 
-def _read_totals(node: Column) -> Column:
-    """Bucket under NESTED_TOTALS if that names all four resources."""
-    totals = F.try_variant_get(node, f"$.{NESTED_TOTALS}", "map<string,variant>")
-    names = F.transform(F.map_keys(totals), lambda k: F.lower(k))
-    wanted = F.array(*[F.lit(r) for r in RESOURCES])
-    amounts = [
-        F.coalesce(F.try_variant_get(node, f"$.{NESTED_TOTALS}.{r}", "double"), F.lit(0.0))
-        for r in RESOURCES
-    ]
-    complete = F.size(F.array_intersect(names, wanted)) == len(RESOURCES)
-    return F.when(complete, _bucket(*amounts))
-
+def _flat_amounts(record: Column) -> Column:
+    """Amounts in fields of the record itself, else NULL.
 
-def _read_flat(node: Column) -> Column:
-    """Bucket from fields of the record itself: two of them, or one above 0."""
+    Of the aliases of a resource the first present counts, its exact spelling
+    before any other case. There must be two resources, or one above 0.
+    """
 
-    def judged(values: Column) -> Column:
-        present = F.filter(values, lambda v: v.isNotNull())
-        enough = (F.size(present) >= 2) | (
-            (F.size(present) == 1) & (F.get(present, F.lit(0)) > 0)
+    def amount(fields: Column, resource: Column) -> Column:
+        aliases = F.array(
+            *[F.concat(F.lit(before), resource, F.lit(after)) for before, after in ALIASES]
         )
-        amounts = [F.coalesce(F.get(values, F.lit(i)), F.lit(0.0)) for i in range(4)]
-        return F.when(enough, _bucket(*amounts))
+        present = F.filter(fields, lambda e: F.array_contains(aliases, F.lower(e["key"])))
+        ranked = F.transform(
+            present,
+            lambda e, i: F.struct(
+                F.array_position(aliases, F.lower(e["key"])).alias("alias"),
+                (e["key"] != F.lower(e["key"])).alias("other_case"),
+                i.alias("place"),
+                _number(e["value"]).alias("amount"),
+            ),
+        )
+        return F.array_min(ranked)["amount"]
+
+    def judged(amounts: Column) -> Column:
+        present = F.filter(amounts, lambda v: v.isNotNull())
+        enough = (F.size(present) >= 2) | (F.get(present, F.lit(0)) > 0)
+        return F.when(enough, amounts)
 
     return _let(
-        _fields(node),
-        lambda fields: _let(F.array(*[_alias_value(fields, r) for r in RESOURCES]), judged),
+        _fields(record),
+        lambda fields: _let(F.transform(_names(), lambda r: amount(fields, r)), judged),
     )
 
 
-def read_bucket(node: Column, depth: int = RECORD_DEPTH) -> Column:
-    """Resource totals of a record, or NULL if it holds none."""
-    readings = [_read_totals(node), _read_flat(node)]
-    if depth:
-        inner = F.try_variant_get(node, f"$.{NESTED_RECORD}", "variant")
-        nested = F.when(is_kind(inner, "OBJECT"), _let(inner, lambda x: read_bucket(x, depth - 1)))
-        readings.append(nested)
-    return F.coalesce(*readings)
+def read_bucket(record: Column) -> Column:
+    """Resource totals of a record or of the record nested in it, or NULL."""
+    paths = ["$" + f".{NESTED_RECORD}" * level for level in range(RECORD_DEPTH + 1)]
+    levels = F.array(*[F.try_variant_get(record, path, "variant") for path in paths])
+    amounts = F.transform(
+        F.filter(levels, lambda x: is_kind(x, "OBJECT")),
+        lambda x: F.coalesce(_nested_amounts(x), _flat_amounts(x)),
+    )
+    return _let(
+        F.get(F.filter(amounts, lambda a: a.isNotNull()), F.lit(0)),
+        lambda found: F.when(found.isNotNull(), _bucket(found)),
+    )
 
 
 def read_player(node: Column) -> Column:
@@ -129,22 +137,27 @@ def _or_empty(array: Column, kind: str) -> Column:
 
 def from_containers(doc: Column) -> Column:
     """Entries of the known containers: lists by record id, objects by their keys."""
+    record = "struct<key:string,node:variant>"
     parts = []
-    for key in CONTAINERS:
-        container = F.try_variant_get(doc, f"$.{key}", "variant")
-        records = F.filter(_items(container), lambda x: is_kind(x, "OBJECT"))
+    for name in CONTAINERS:
+        container = F.try_variant_get(doc, f"$.{name}", "variant")
         listed = F.transform(
-            records, lambda x: _entry(read_player(x), _none("int"), read_bucket(x))
+            _items(container),
+            lambda x: F.struct(_none("string").alias("key"), x.alias("node")).cast(record),
         )
-        keyed_records = F.filter(_fields(container), lambda e: is_kind(e["value"], "OBJECT"))
         keyed = F.transform(
-            keyed_records,
-            lambda e: _entry(
-                e["key"].try_cast("int"), _none("int"), read_bucket(e["value"])
-            ),
+            _fields(container),
+            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("node")).cast(record),
         )
-        parts += [_or_empty(listed, _ENTRY), _or_empty(keyed, _ENTRY)]
-    return F.concat(*parts)
+        parts.append(_or_empty(F.coalesce(listed, keyed), record))
+    records = F.filter(F.concat(*parts), lambda x: is_kind(x["node"], "OBJECT"))
+
+    def entry(x: Column) -> Column:
+        by_id = F.when(x["key"].isNull(), read_player(x["node"]))
+        number = F.coalesce(x["key"].try_cast("int"), by_id)
+        return _entry(number, _none("int"), read_bucket(x["node"]))
+
+    return F.transform(records, entry)
 
 
 def _node(path: Column, slot: Column, node: Column) -> Column:
@@ -202,16 +215,15 @@ def from_header(header: Column) -> Column:
     """Entries of a replay header's player list, for players who collected anything."""
 
     def entry(x: Column) -> Column:
-        amounts = [
-            F.coalesce(
-                F.try_variant_get(x, f"$.achievements.economy.{r}_collected", "double"),
-                F.lit(0.0),
-            )
-            for r in RESOURCES
-        ]
-        some = F.greatest(*amounts) > 0
+        amounts = F.array(
+            *[
+                F.try_variant_get(x, f"$.achievements.economy.{r}_collected", "double")
+                for r in RESOURCES
+            ]
+        )
+        some = F.exists(amounts, lambda a: a > 0)
         number = F.try_variant_get(x, "$.number", "int")
-        return _entry(number, _none("int"), F.when(some, _bucket(*amounts)))
+        return _entry(number, _none("int"), F.when(some, _bucket(amounts)))
 
     return _or_empty(F.transform(_items(header), entry), _ENTRY)
 

@@ -4,7 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.functions.costs import resource_name
-from matchlens.functions.payload import PARSED, is_production, item_count, payload_matches, with_parsed
+from matchlens.functions.payload import (
+    PARSED,
+    is_production,
+    item_count,
+    payload_matches,
+    payload_values,
+    unit_name,
+    with_parsed,
+)
 from matchlens.functions.timing import DEFAULT_WINDOW, MICROS
 from matchlens.functions.units import VILLAGER
 from matchlens.operators import activity, postgame, production, resources, series, stock
@@ -30,8 +38,9 @@ def player_summary(
     """
     acting = tables.actions.filter(F.col("player").isNotNull())
     parsed = with_parsed(acting, when=is_production(F.col("type")))
-    is_match = payload_matches(F.col(PARSED), pattern, mode)
-    trained = F.when(F.col(PARSED).isNotNull() & is_match, item_count(F.col(PARSED)))
+    payload = F.col(PARSED)
+    is_match = payload_matches(unit_name(payload), payload_values(payload), pattern, mode)
+    trained = F.when(payload.isNotNull() & is_match, item_count(payload))
     zero = F.lit(0).cast("bigint")
     rows = parsed.select(
         *KEY,
