@@ -58,7 +58,8 @@ def truthy_text(variant: Column, path: str) -> Column:
     """Text at ``path``, or NULL if it is missing, empty, zero or false."""
     value = text(variant, path)
     is_string = is_kind(F.try_variant_get(variant, path, "variant"), "STRING")
-    return F.when(~value.isin("", *_EMPTY_TEXTS), value).when((value != "") & is_string, value)
+    may_be_empty = F.array_contains(F.array(*[F.lit(t) for t in ("", *_EMPTY_TEXTS)]), value)
+    return F.when(~may_be_empty, value).when((value != "") & is_string, value)
 
 
 def unit_name(variant: Column) -> Column:
@@ -85,21 +86,28 @@ def _children(variant: Column) -> Column:
     return F.coalesce(values, F.array().cast("array<variant>"))
 
 
-def payload_values(variant: Column) -> Column:
-    """Values of the first two levels of objects; lists are not entered."""
+def payload_strings(variant: Column) -> Column:
+    """Strings at the first two levels of objects; lists are not entered."""
     top = _children(variant)
-    return F.concat(top, F.flatten(F.transform(top, _children)))
+    values = F.concat(top, F.flatten(F.transform(top, _children)))
+    return F.transform(
+        F.filter(values, lambda x: is_kind(x, "STRING")), lambda x: text(x, "$")
+    )
 
 
-def any_string_matches(values: Column, java: str) -> Column:
-    """Whether any of the values is a string with a match of a regex.
+def match_texts(variant: Column, mode: str = "loose") -> Column:
+    """Texts of a payload that a unit pattern is searched in.
 
-    The text is tested first: naming the kind of a value costs more than a search.
+    loose: the name and all payload strings. strict: the name, and the strings
+    only where there is no name.
     """
-    found = F.exists(
-        values, lambda x: text(x, "$").rlike(java) & is_kind(x, "STRING")
-    )
-    return F.coalesce(found, F.lit(False))
+    if mode not in MATCH_MODES:
+        raise ValueError(f"match mode must be one of {MATCH_MODES}: {mode!r}")
+    name, strings = unit_name(variant), payload_strings(variant)
+    if mode == "strict":
+        return F.when(name.isNotNull(), F.array(name)).otherwise(strings)
+    is_new = name.isNotNull() & ~F.array_contains(strings, name)
+    return F.when(is_new, F.array_append(strings, name)).otherwise(strings)
 
 
 # -- patterns -----------------------------------------------------------------
@@ -121,47 +129,41 @@ def regex(pattern: str | re.Pattern) -> str:
 _CONTEXT_FREE = re.compile(r"(?:[^\W\d]|[ \-.?*|\[\]]|\\s)+")
 
 
-def text_may_match(payload: Column, pattern: str | re.Pattern) -> Column:
+def may_match(actions: DataFrame, pattern: str | re.Pattern) -> Column:
     """Cheap necessary condition for a match, tested on unparsed JSON text.
 
     Texts with escapes always pass, as do all texts for patterns that could
     depend on where a string starts or ends.
     """
+    if isinstance(actions.schema["payload"].dataType, VariantType):
+        return F.lit(True)
+    payload = F.col("payload")
     source = pattern.pattern if isinstance(pattern, re.Pattern) else pattern
     if not _CONTEXT_FREE.fullmatch(source):
         return F.lit(True)
     return F.contains(payload, F.lit("\\")) | payload.rlike(regex(pattern))
 
 
-def payload_matches(
-    name: Column, values: Column, pattern: str | re.Pattern, mode: str = "loose"
-) -> Column:
-    """Whether a payload with this ``unit_name`` and these ``payload_values`` matches.
-
-    loose: the name or any payload string matches. strict: a name, where there
-    is one, decides alone.
-    """
-    if mode not in MATCH_MODES:
-        raise ValueError(f"match mode must be one of {MATCH_MODES}: {mode!r}")
+def any_match(texts: Column, pattern: str | re.Pattern) -> Column:
     java = regex(pattern)
-    in_strings = any_string_matches(values, java)
+    return F.coalesce(F.exists(texts, lambda s: s.rlike(java)), F.lit(False))
+
+
+def payload_matches(variant: Column, pattern: str | re.Pattern, mode: str = "loose") -> Column:
+    """Whether a payload has a match; the strings are only listed if the name has none."""
+    in_texts = any_match(match_texts(variant, mode), pattern)
     if mode == "strict":
-        return F.when(name.isNotNull(), name.rlike(java)).otherwise(in_strings)
-    named = F.coalesce((name != "") & name.rlike(java), F.lit(False))
-    return F.when(named, F.lit(True)).otherwise(in_strings)
+        return in_texts
+    return F.coalesce(unit_name(variant).rlike(regex(pattern)), F.lit(False)) | in_texts
 
 
 def matching_actions(
     actions: DataFrame, pattern: str | re.Pattern, mode: str = "loose"
 ) -> DataFrame:
     """Production actions of a player whose payload matches, with their item count."""
-    found = actions.filter(is_production(F.col("type")) & F.col("player").isNotNull())
-    if not isinstance(actions.schema["payload"].dataType, VariantType):
-        found = found.filter(text_may_match(F.col("payload"), pattern))
-    payload = F.col(PARSED)
-    found = with_parsed(found).filter(
-        payload_matches(unit_name(payload), payload_values(payload), pattern, mode)
-    )
+    possible = is_production(F.col("type")) & F.col("player").isNotNull()
+    parsed = with_parsed(actions.filter(possible & may_match(actions, pattern)))
+    found = parsed.filter(payload_matches(F.col(PARSED), pattern, mode))
     return found.select(
-        "match_id", "player", "seq", "t_us", item_count(payload).alias("items")
+        "match_id", "player", "seq", "t_us", item_count(F.col(PARSED)).alias("items")
     )

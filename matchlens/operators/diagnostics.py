@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from matchlens.functions.barrier import evaluate_once
 from matchlens.functions.payload import (
     PARSED,
+    any_match,
     is_production,
     item_count,
-    payload_matches,
-    payload_values,
+    match_texts,
     regex,
     unit_name,
     with_parsed,
@@ -90,18 +90,18 @@ def unit_pattern_hits(
     parsed = with_parsed(
         actions.filter(is_production(F.col("type")) & F.col("player").isNotNull())
     )
-    read = evaluate_once(
-        parsed, _name=unit_name(F.col(PARSED)), _values=payload_values(F.col(PARSED))
-    )
+    read = evaluate_once(parsed, _texts=match_texts(F.col(PARSED), mode))
     matched = [
-        F.when(payload_matches(F.col("_name"), F.col("_values"), pattern, mode), F.lit(unit))
+        F.when(any_match(F.col("_texts"), pattern), F.lit(unit))
         for unit, pattern in known.items()
     ]
-    hits = read.select(
+    # Units are collected in a projection, which is compiled; a generator's input is not.
+    units = read.select(
         MATCH,
         item_count(F.col(PARSED)).alias("items"),
-        F.explode(F.array_compact(F.array(*matched))).alias("unit"),
+        F.array_compact(F.array(*matched)).alias("_units"),
     )
+    hits = units.select(MATCH, "items", F.explode("_units").alias("unit"))
     return hits.groupBy(MATCH, "unit").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
 
 
@@ -125,7 +125,8 @@ def unit_string_hits(
     first = Window.partitionBy(MATCH).orderBy("seq", "_place")
     return (
         actions.filter(relevant)
-        .select(MATCH, "seq", "type", F.posexplode(hits).alias("_place", "hit"))
+        .select(MATCH, "seq", "type", hits.alias("_hits"))
+        .select(MATCH, "seq", "type", F.posexplode("_hits").alias("_place", "hit"))
         .withColumn("_rank", F.row_number().over(first))
         .filter(F.col("_rank") <= limit)
         .select(MATCH, "seq", "type", "hit")

@@ -37,11 +37,19 @@ def priced_name(type_: Column) -> Column:
     )
 
 
-def _amount(default: int) -> Column:
-    """``amount`` as a whole number; ``default`` if absent, NULL if no number."""
+def _amount(type_: Column) -> Column:
+    """Units or goods moved: ``amount`` as a whole number, NULL if it is none.
+
+    Without an amount a market trade moves nothing, all else one piece; buildings
+    and technologies are always single.
+    """
     given = truthy_text(F.col(PARSED), "$.amount")
     number = F.try_variant_get(F.col(PARSED), "$.amount", "bigint")
-    return F.when(given.isNotNull(), number).otherwise(F.lit(default).cast("bigint"))
+    one = F.lit(1).cast("bigint")
+    absent = F.when(type_.isin("BUY", "SELL"), one - 1).otherwise(one)
+    return F.when(type_.isin("BUILD", "RESEARCH"), one).otherwise(
+        F.when(given.isNotNull(), number).otherwise(absent)
+    )
 
 
 def resource_deltas(actions: DataFrame, costs=None) -> DataFrame:
@@ -54,13 +62,12 @@ def resource_deltas(actions: DataFrame, costs=None) -> DataFrame:
     trade = type_.isin("BUY", "SELL")
     known = type_.isin(*COSTED_PRODUCTION, "BUILD", "RESEARCH", "BUY", "SELL")
     parsed = with_parsed(actions.filter(F.col("player").isNotNull() & known))
+    # One step per value: each compiles to a method that the JVM still optimizes.
+    named = evaluate_once(parsed, _key=C.normalized(priced_name(type_)))
     named = evaluate_once(
-        parsed,
-        _key=C.normalized(priced_name(type_)),
+        named,
+        _amount=_amount(type_),
         _resource=F.when(trade, F.lower(text(F.col(PARSED), "$.resource"))),
-        _amount=F.when(type_.isin(*COSTED_PRODUCTION), _amount(1))
-        .when(trade, _amount(0))
-        .otherwise(F.lit(1).cast("bigint")),
     )
     row = F.lit(None).cast("int")
     for kind in C.KINDS:

@@ -8,9 +8,8 @@ from matchlens.functions.payload import (
     PARSED,
     is_production,
     item_count,
+    may_match,
     payload_matches,
-    payload_values,
-    unit_name,
     with_parsed,
 )
 from matchlens.functions.timing import DEFAULT_WINDOW, MICROS
@@ -37,10 +36,11 @@ def player_summary(
     no length has a NULL idle share.
     """
     acting = tables.actions.filter(F.col("player").isNotNull())
-    parsed = with_parsed(acting, when=is_production(F.col("type")))
+    possible = is_production(F.col("type")) & may_match(acting, pattern)
+    parsed = with_parsed(acting, when=possible)
     payload = F.col(PARSED)
-    is_match = payload_matches(unit_name(payload), payload_values(payload), pattern, mode)
-    trained = F.when(payload.isNotNull() & is_match, item_count(payload))
+    is_match = payload_matches(payload, pattern, mode)
+    trained = F.when(payload.isNotNull(), F.when(is_match, item_count(payload)))
     zero = F.lit(0).cast("bigint")
     rows = parsed.select(
         *KEY,
