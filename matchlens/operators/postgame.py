@@ -22,7 +22,7 @@ RECORD_DEPTH = 3
 
 _BUCKET = "struct<" + ",".join(f"{r}:double" for r in RESOURCES) + ">"
 _ENTRY = f"struct<player:int,slot:int,bucket:{_BUCKET}>"
-_NODE = "struct<path:array<int>,slot:int,node:variant>"
+_NODE = "struct<path:array<int>,slot:int,json:string>"
 
 
 def _let(value: Column, body) -> Column:
@@ -160,33 +160,38 @@ def from_containers(doc: Column) -> Column:
     return F.transform(records, entry)
 
 
-def _node(path: Column, slot: Column, node: Column) -> Column:
-    fields = F.struct(path.alias("path"), slot.alias("slot"), node.alias("node"))
+def _node(path: Column, slot: Column, json: Column) -> Column:
+    fields = F.struct(path.alias("path"), slot.alias("slot"), json.alias("json"))
     return fields.cast(_NODE)
 
 
 def _below(parent: Column) -> Column:
-    """Nodes one level below: values of an object, items of a list (with position)."""
+    """Nodes one level below: values of an object, items of a list (with position).
+
+    Nodes are JSON text, because a parsed VARIANT forgets the order of keys.
+    """
+    json, path = parent["json"], parent["path"]
+    is_object, is_list = F.startswith(json, F.lit("{")), F.startswith(json, F.lit("["))
     fields = F.transform(
-        _fields(parent["node"]),
-        lambda e, i: _node(F.concat(parent["path"], F.array(i)), _none("int"), e["value"]),
+        F.map_values(F.from_json(F.when(is_object, json), "map<string,string>")),
+        lambda x, i: _node(F.concat(path, F.array(i)), _none("int"), x),
     )
     items = F.transform(
-        _items(parent["node"]),
-        lambda x, i: _node(F.concat(parent["path"], F.array(i)), i, x),
+        F.from_json(F.when(is_list, json), "array<string>"),
+        lambda x, i: _node(F.concat(path, F.array(i)), i, x),
     )
-    return F.concat(_or_empty(fields, _NODE), _or_empty(items, _NODE))
+    return F.coalesce(fields, items, F.array().cast(f"array<{_NODE}>"))
 
 
-def from_anywhere(doc: Column, doc_text: Column) -> Column:
-    """Entries of every record at any depth, in document order.
+def from_anywhere(doc: Column) -> Column:
+    """Entries of every record at any depth of a document's text, in its order.
 
     Level by level, at most as many levels as the text has opening brackets; a
     level that is already empty costs nothing.
     """
     state = f"struct<level:array<{_NODE}>,seen:array<{_NODE}>>"
-    root = F.array(_node(F.array().cast("array<int>"), _none("int"), doc))
-    opening = F.length(doc_text) - F.length(F.translate(doc_text, "{[", ""))
+    root = F.array(_node(F.array().cast("array<int>"), _none("int"), F.ltrim(doc)))
+    opening = F.length(doc) - F.length(F.translate(doc, "{[", ""))
 
     def descend(acc: Column, _step: Column) -> Column:
         below = F.flatten(F.transform(acc["level"], _below))
@@ -200,15 +205,20 @@ def from_anywhere(doc: Column, doc_text: Column) -> Column:
     steps = F.sequence(F.lit(1), F.greatest(opening.cast("int"), F.lit(1)))
     start = F.struct(root.alias("level"), root.alias("seen")).cast(state)
     seen = F.aggregate(steps, start, descend)["seen"]
-    records = F.filter(seen, lambda x: is_kind(x["node"], "OBJECT"))
-    ordered = F.sort_array(F.transform(
-        records,
-        lambda x: F.struct(
-            x["path"].alias("path"),
-            _entry(read_player(x["node"]), x["slot"], read_bucket(x["node"])).alias("entry"),
-        ),
-    ))
-    return F.transform(ordered, lambda x: x["entry"])
+    records = F.filter(seen, lambda x: F.startswith(x["json"], F.lit("{")))
+
+    def entry(x: Column) -> Column:
+        return _let(
+            F.try_parse_json(x["json"]),
+            lambda record: _entry(read_player(record), x["slot"], read_bucket(record)),
+        )
+
+    in_order = F.array_sort(
+        F.transform(
+            records, lambda x: F.struct(x["path"].alias("path"), entry(x).alias("entry"))
+        )
+    )
+    return F.transform(in_order, lambda x: x["entry"])
 
 
 def from_header(header: Column) -> Column:
@@ -262,7 +272,7 @@ def postgame_totals(postgame: DataFrame) -> DataFrame:
     walked = evaluate_once(
         known,
         _all=F.when(
-            nothing_known & F.col("_doc").isNotNull(), from_anywhere(F.col("_doc"), F.col("doc"))
+            nothing_known & F.col("_doc").isNotNull(), from_anywhere(F.col("doc"))
         ).otherwise(F.array().cast(f"array<{_ENTRY}>")),
     )
     anywhere, header = _usable(F.col("_all")), _usable(from_header(F.col("_header")))
