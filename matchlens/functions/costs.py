@@ -120,9 +120,11 @@ def cost_row(kind: str, key: Column, costs=None) -> Column:
     if not entries:
         return F.lit(None).cast("int")
     exact = F.create_map(*[F.lit(part) for i, name in entries for part in (name, i)])
-    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("i")) for i, name in entries])
+    in_order = F.array(
+        *[F.struct(F.lit(name).alias("name"), F.lit(i).alias("i")) for i, name in entries]
+    )
     loose = F.filter(
-        ordered, lambda e: F.contains(key, e["name"]) | F.contains(e["name"], key)
+        in_order, lambda e: F.contains(key, e["name"]) | F.contains(e["name"], key)
     )
     return F.coalesce(F.try_element_at(exact, key), F.get(loose, F.lit(0))["i"])
 

@@ -37,3 +37,8 @@ def important_events(actions: DataFrame, kinds=None) -> DataFrame:
             milestone_code(F.col("kind"), F.col("label")).alias("code"),
         )
     )
+
+
+def in_time_order(found: DataFrame) -> DataFrame:
+    """Milestones sorted for output: by match, then time."""
+    return found.orderBy("match_id", "t_us", "player", "label")

@@ -122,7 +122,7 @@ def running_total(sums: DataFrame, start=0) -> DataFrame:
     return _running(sums, F.lit(start).cast(sums.schema["v"].dataType))
 
 
-def total_at_start(rows: DataFrame, window_s, players=None, if_none: str = "empty") -> DataFrame:
+def total_at_start(rows: DataFrame, window_s) -> DataFrame:
     """Sum of ``v`` over all rows up to the *start* of each window.
 
     A row counts from the first window that starts at or after it, so what
@@ -134,11 +134,10 @@ def total_at_start(rows: DataFrame, window_s, players=None, if_none: str = "empt
         .groupBy(*KEY, "bucket")
         .agg(F.max("t_us").alias("t_us"), F.sum("v").alias("v"))
     )
-    scoped = select_players(_scoped(sparse, width), players, if_none)
-    return _running(scoped, F.lit(0).cast("bigint"))
+    return _running(_scoped(sparse, width), F.lit(0).cast("bigint"))
 
 
-def last_at_start(rows: DataFrame, window_s, players=None, if_none: str = "empty") -> DataFrame:
+def last_at_start(rows: DataFrame, window_s) -> DataFrame:
     """Last ``v`` seen up to the start of each window.
 
     Windows before a player's first value take the first value that any window
@@ -153,18 +152,16 @@ def last_at_start(rows: DataFrame, window_s, players=None, if_none: str = "empty
             F.max_by("v", F.struct("t_us", "seq")).alias("v"),
         )
     )
-    scoped = select_players(_scoped(sparse, width), players, if_none)
-    return _spread(scoped, F.col("v"), F.col("v"), F.col("v"))
+    return _spread(_scoped(sparse, width), F.col("v"), F.col("v"), F.col("v"))
 
 
-def as_series(filled: DataFrame, window_s, value: Column | None = None, *extra: str) -> DataFrame:
+def as_series(filled: DataFrame, window_s, value: Column | None = None) -> DataFrame:
     """Output form ``match_id, time_sec, player, value``."""
     return filled.select(
         MATCH,
         window_start(F.col("bin"), window_s).alias("time_sec"),
         "player",
         (F.col("v") if value is None else value).alias("value"),
-        *extra,
     )
 
 

@@ -86,8 +86,9 @@ def match_summary(tables: MatchTables) -> DataFrame:
     """One nested record per match with its players, in order of player number.
 
     The record is one row by nature; its list has one short entry per player slot
-    of the match.
+    of the match. If ``matches`` was read with lineage, the file is part of it.
     """
+    path = [F.col("source_file").alias("path")] if "source_file" in tables.matches.columns else []
     entry = F.struct("player", "name", "civilization", "winner", "eapm")
     listed = tables.players.groupBy(MATCH).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
 
@@ -97,6 +98,7 @@ def match_summary(tables: MatchTables) -> DataFrame:
     none = F.array().cast("array<struct<name:string,civilization:int,winner:boolean,eapm:int>>")
     return tables.matches.join(listed, MATCH, "left").select(
         MATCH,
+        *path,
         "version",
         F.coalesce(F.col("duration_us") / MICROS, F.lit(0.0)).alias("duration_s"),
         "map_id",

@@ -93,8 +93,8 @@ def test_stock_falls_back_to_estimate(t):
 
 
 def test_milestones(t):
-    rows = events.important_events(t.actions).collect()
-    assert sorted((r["t_us"] // 10**6, r["player"], r["label"], r["kind"], r["code"]) for r in rows) == [
+    rows = events.in_time_order(events.important_events(t.actions)).collect()
+    assert [(r["t_us"] // 10**6, r["player"], r["label"], r["kind"], r["code"]) for r in rows] == [
         (120, 2, "Feudal Age", "age", "F"),
         (180, 1, "Castle", "castle", "C"),
         (200, 2, "Elite Skirmisher", "elite", "E"),
