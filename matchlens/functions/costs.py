@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens import schema
+from matchlens.functions.constants import constant_array, constant_map
 
 RESOURCES = ("food", "wood", "gold", "stone")
 KINDS = ("unit", "building", "tech")
@@ -119,26 +120,25 @@ def cost_row(kind: str, key: Column, costs=None) -> Column:
     entries = [(i, row[1]) for i, row in enumerate(table) if row[0] == kind]
     if not entries:
         return F.lit(None).cast("int")
-    exact = F.create_map(*[F.lit(part) for i, name in entries for part in (name, i)])
-    in_order = F.array(
-        *[F.struct(F.lit(name).alias("name"), F.lit(i).alias("i")) for i, name in entries]
-    )
-    loose = F.filter(
-        in_order, lambda e: F.contains(key, e["name"]) | F.contains(e["name"], key)
-    )
-    return F.coalesce(F.try_element_at(exact, key), F.get(loose, F.lit(0))["i"])
+    # The first of entries that share a name is the one found.
+    exact = constant_map({name: i for i, name in reversed(entries)})
+    names, rows = constant_array([n for _, n in entries]), constant_array([i for i, _ in entries])
+    is_loose = F.transform(names, lambda n: F.contains(key, n) | F.contains(n, key))
+    first = F.array_position(is_loose, F.lit(True))
+    loose = F.get(rows, (F.when(first > 0, first) - 1).cast("int"))
+    return F.coalesce(F.try_element_at(exact, key), loose).cast("int")
 
 
 def amount_of(resource: str, row: Column, costs=None) -> Column:
     """Amount of a resource in the cost table entry at position ``row``."""
     table = COSTS if costs is None else costs
     column = 2 + RESOURCES.index(resource)
-    return F.get(F.array(*[F.lit(r[column]).cast("bigint") for r in table]), row)
+    return F.get(constant_array([r[column] for r in table]), row)
 
 
 def entry_name(row: Column, costs=None) -> Column:
     table = COSTS if costs is None else costs
-    return F.get(F.array(*[F.lit(r[1]) for r in table]), row)
+    return F.get(constant_array([r[1] for r in table]), row)
 
 
 def resource_name(resource: str) -> str:

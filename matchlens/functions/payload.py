@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
 from matchlens.functions.barrier import evaluate_once
+from matchlens.functions.constants import constant_array
 
 PARSED = "_payload"
 
@@ -58,7 +59,7 @@ def truthy_text(variant: Column, path: str) -> Column:
     """Text at ``path``, or NULL if it is missing, empty, zero or false."""
     value = text(variant, path)
     is_string = is_kind(F.try_variant_get(variant, path, "variant"), "STRING")
-    may_be_empty = F.array_contains(F.array(*[F.lit(t) for t in ("", *_EMPTY_TEXTS)]), value)
+    may_be_empty = F.array_contains(constant_array(("", *_EMPTY_TEXTS)), value)
     return F.when(~may_be_empty, value).when((value != "") & is_string, value)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from matchlens.functions.costs import RESOURCES, resource_name
 from matchlens.functions.barrier import evaluate_once
+from matchlens.functions.constants import constant_array
 from matchlens.functions.payload import is_kind, text, truthy_text
 from matchlens.functions.timing import DEFAULT_WINDOW, ceil_div, window_micros
 from matchlens.operators import series
@@ -47,7 +48,7 @@ def _number(value: Column) -> Column:
 
 
 def _names() -> Column:
-    return F.array(*[F.lit(r) for r in RESOURCES])
+    return constant_array(RESOURCES)
 
 
 def _bucket(amounts: Column) -> Column:

@@ -4,13 +4,15 @@ Eight consecutive users make a match; 30 days of events become one hour. The
 ``k`` of ``props`` (0 to 99) stands in for what a player chose.
 """
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens import schema
 from matchlens.functions.barrier import evaluate_once
+from matchlens.functions.constants import sql_literal
 from matchlens.functions.timing import int_div, interval_micros
-from matchlens.sources.tables import MatchTables
 
 # Fixed values of the mapping.
 UNITS = (
@@ -47,8 +49,10 @@ TIME_FACTOR = 720
 PLAYERS_PER_MATCH = 8
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), (index % len(values)).cast("int"))
+def _pick(values: list[str], index: str) -> str:
+    """SQL for the entry of a constant list at ``index``, counted round."""
+    entries = ", ".join(map(sql_literal, values))
+    return f"get(array({entries}), CAST(({index}) % {len(values)} AS INT))"
 
 
 def _keyed(events: DataFrame) -> DataFrame:
@@ -70,35 +74,29 @@ def _keyed(events: DataFrame) -> DataFrame:
     )
 
 
-def _action_type() -> Column:
-    kind, k = F.col("event_type"), F.col("k")
-    return (
-        F.when(kind == "click", "DE_QUEUE")
-        .when((kind == "view") & (k % 4 == 0), "MULTIQUEUE")
-        .when(kind == "view", "ORDER")
-        .when(kind == "signup", "BUILD")
-        .when(kind == "purchase", "RESEARCH")
-        .when((kind == "error") & (k % 2 == 0), "BUY")
-        .when(kind == "error", "SELL")
-    )
+_ACTION_TYPE = """
+CASE event_type
+  WHEN 'click' THEN 'DE_QUEUE'
+  WHEN 'view' THEN IF(k % 4 = 0, 'MULTIQUEUE', 'ORDER')
+  WHEN 'signup' THEN 'BUILD'
+  WHEN 'purchase' THEN 'RESEARCH'
+  WHEN 'error' THEN IF(k % 2 = 0, 'BUY', 'SELL')
+END"""
 
+_UNIT, _COUNT = _pick(UNITS, "k"), "1 + k % 5"
 
-def _payload() -> Column:
-    kind, k, form = F.col("event_type"), F.col("k"), F.col("seq") % 4
-    unit, number = _pick(UNITS, k), k % 5 + 1
-    production = (
-        F.when(form == 0, F.format_string('{"unit":"%s","amount":%d}', unit, number))
-        .when(form == 1, F.format_string('{"unit_name":"%s","count":%d}', unit, number))
-        .when(form == 2, F.format_string('{"object_name":"%s","quantity":%d}', unit, number))
-        .otherwise(F.format_string('{"unit":{"name":"%s"},"n":%d}', unit, number))
-    )
-    resource = _pick(MARKET, F.floor(k / 2))
-    return (
-        F.when(kind.isin("click", "view"), production)
-        .when(kind == "signup", F.format_string('{"building":"%s"}', _pick(BUILDINGS, k)))
-        .when(kind == "purchase", F.format_string('{"technology":"%s"}', _pick(TECHS, k)))
-        .when(kind == "error", F.format_string('{"resource":"%s","amount":100}', resource))
-    )
+_PAYLOAD = f"""
+CASE
+  WHEN event_type IN ('click', 'view') THEN CASE seq % 4
+    WHEN 0 THEN concat('{{"unit":"', {_UNIT}, '","amount":', {_COUNT}, '}}')
+    WHEN 1 THEN concat('{{"unit_name":"', {_UNIT}, '","count":', {_COUNT}, '}}')
+    WHEN 2 THEN concat('{{"object_name":"', {_UNIT}, '","quantity":', {_COUNT}, '}}')
+    ELSE concat('{{"unit":{{"name":"', {_UNIT}, '"}},"n":', {_COUNT}, '}}') END
+  WHEN event_type = 'signup' THEN concat('{{"building":"', {_pick(BUILDINGS, "k")}, '"}}')
+  WHEN event_type = 'purchase' THEN concat('{{"technology":"', {_pick(TECHS, "k")}, '"}}')
+  WHEN event_type = 'error'
+    THEN concat('{{"resource":"', {_pick(MARKET, "k div 2")}, '","amount":100}}')
+END"""
 
 
 def _postgame(keyed: DataFrame) -> DataFrame:
@@ -129,30 +127,57 @@ def _postgame(keyed: DataFrame) -> DataFrame:
     )
 
 
-def tables_from_events(spark: SparkSession, events_path: str) -> MatchTables:
-    keyed = _keyed(spark.read.parquet(events_path))
-    actions = keyed.select(
-        "match_id",
-        "player",
-        "seq",
-        "t_us",
-        _action_type().alias("type"),
-        _payload().alias("payload"),
-    )
-    ends = keyed.groupBy("match_id").agg(F.max("t_us").alias("duration_us"))
+def _missing(table, *names) -> list[Column]:
+    return [F.lit(None).cast(table[n].dataType).alias(n) for n in names]
 
-    def missing(table, *names):
-        return [F.lit(None).cast(table[n].dataType).alias(n) for n in names]
 
-    matches = ends.select("*", *missing(schema.MATCHES, "map_id", "map_name", "version"))
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(PLAYERS_PER_MATCH)))
-    players = ends.select("match_id", numbers.alias("player")).select(
-        "*",
-        F.concat_ws("_", F.concat(F.lit("P"), "match_id"), "player").alias("name"),
-        *missing(schema.PLAYERS, "civilization", "winner", "eapm"),
-    )
-    snapshots = keyed.filter((F.col("event_type") == "view") & (F.col("match_id") % 2 == 0))
-    snapshots = snapshots.select(
-        "match_id", "player", "seq", "t_us", F.col("value").alias("total_res")
-    )
-    return MatchTables(matches, players, actions, snapshots, _postgame(keyed))
+class EventTables:
+    """The tables of ``MatchTables``, each planned when it is first used."""
+
+    def __init__(self, spark: SparkSession, events_path: str):
+        self._keyed = _keyed(spark.read.parquet(events_path))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return self._keyed.selectExpr(
+            "match_id",
+            "player",
+            "seq",
+            "t_us",
+            f"{_ACTION_TYPE} AS type",
+            f"{_PAYLOAD} AS payload",
+        )
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        ends = self._keyed.groupBy("match_id").agg(F.max("t_us").alias("duration_us"))
+        return ends.select("*", *_missing(schema.MATCHES, "map_id", "map_name", "version"))
+
+    @cached_property
+    def players(self) -> DataFrame:
+        numbers = F.explode(F.sequence(F.lit(1), F.lit(PLAYERS_PER_MATCH))).alias("player")
+        return (
+            self._keyed.select("match_id")
+            .distinct()
+            .select("match_id", numbers)
+            .select(
+                "*",
+                F.concat(F.lit("P"), "match_id", F.lit("_"), "player").alias("name"),
+                *_missing(schema.PLAYERS, "civilization", "winner", "eapm"),
+            )
+        )
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        known = (F.col("event_type") == "view") & (F.col("match_id") % 2 == 0)
+        return self._keyed.filter(known).select(
+            "match_id", "player", "seq", "t_us", F.col("value").alias("total_res")
+        )
+
+    @cached_property
+    def postgame(self) -> DataFrame:
+        return _postgame(self._keyed)
+
+
+def tables_from_events(spark: SparkSession, events_path: str) -> EventTables:
+    return EventTables(spark, events_path)
