@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_module
+from matchlens.catalog import all_queries
+from oracle import all_oracles
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture
@@ -29,6 +31,8 @@ _SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
