@@ -4,9 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlens.llm import records
-
-_QUERIES = (records.op9_binary_records,)
+from matchlens.llm import packing, records, sharding, simhash
+
+_QUERIES = (
+    packing.op2_best_fit_packing,
+    sharding.op3_sharding,
+    simhash.op6_simhash,
+    records.op9_binary_records,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
