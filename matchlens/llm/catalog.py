@@ -4,11 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlens.llm import packing, records, sharding, simhash
+from matchlens.llm import decontamination, packing, records, sharding, simhash
 
 _QUERIES = (
     packing.op2_best_fit_packing,
     sharding.op3_sharding,
+    decontamination.op5_decontamination,
     simhash.op6_simhash,
     records.op9_binary_records,
 )
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontamination.ORACLE}
