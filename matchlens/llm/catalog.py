@@ -4,9 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlens.llm import decontamination, packing, records, sharding, simhash
+from matchlens.llm import decontamination, lines, packing, records, sharding, simhash
 
 _QUERIES = (
+    lines.op1_line_dedup,
     packing.op2_best_fit_packing,
     sharding.op3_sharding,
     decontamination.op5_decontamination,
@@ -20,4 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.ORACLE}
+    return {
+        "op1_line_dedup": lines.ORACLE,
+        "op5_decontamination": decontamination.ORACLE,
+    }
