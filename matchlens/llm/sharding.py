@@ -90,10 +90,7 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
         moves = (
             sums.withColumn("above", F.floor(F.col("block") / FAN_IN))
             .groupBy("above")
-            .applyInPandas(
-                lambda key, sums, run=_balance_blocks(shards): run(sums),
-                "block long, part long, new_part long",
-            )
+            .applyInPandas(_balance_blocks(shards), "block long, part long, new_part long")
         )
         placed = written(
             placed.join(moves, ["block", "part"]).select(

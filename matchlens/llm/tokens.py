@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterable
-
-import numpy as np
+from array import array
+from collections.abc import Iterable, Iterator
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers, and the longest of them: its memory is bounded by these two.
-REMEMBERED, LONGEST = 1 << 19, 64
+#: Words that a worker remembers, and the longest of them: these bound its memory.
+REMEMBERED, LONGEST = 3 << 18, 64
 
 
 def vocabulary_path() -> str:
@@ -19,12 +18,13 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class Encoder:
+class Encoder(dict):
     """Ids as little-endian unsigned 32-bit integers, equal to the library's for whole texts.
 
-    Holds for tokenizers that never join characters over a blank or line feed (they split at
-    white space and drop it, and normalise each side by itself). Texts are cut there, each
-    distinct word is encoded once by the library, and ids are put together from memory.
+    Holds for tokenizers that lower-case, take runs of letters by themselves and drop white
+    space. Texts are cut at blanks and line feeds, each distinct word is encoded once by the
+    library, and ids are put together from memory. A mark behind a letter is cut off first, and
+    ASCII words are lower-cased, so that fewer words are distinct.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,22 +32,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and word != word.lower() and "<" not in word:
+            ids = self[word.lower()]
+        else:
+            ids = array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; a null text has none."""
-        cut = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*cut).difference(self.known)) if cut else []
-        found = self.library.encode_batch(new, add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
-        self.known.update(ids)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return out
+        for text in texts:
+            if len(self) > REMEMBERED:
+                self.clear()
+            yield b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 @functools.cache
