@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchlens.llm import decontamination, lines, packing, records, sharding, simhash
+from matchlens.llm import decontamination, lines, packing, quality, records, sharding, simhash
 
 _QUERIES = (
     lines.op1_line_dedup,
@@ -13,6 +13,7 @@ _QUERIES = (
     decontamination.op5_decontamination,
     simhash.op6_simhash,
     records.op9_binary_records,
+    quality.op10_quality,
 )
 
 
