@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from matchlens.llm import decontamination, lines, packing, quality, records, sharding, simhash
 
 _QUERIES = (
@@ -18,7 +19,7 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    return {q.__name__: q for q in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
