@@ -5,7 +5,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from matchlens.llm import decontamination, lines, packing, quality, records, sharding, simhash
+from matchlens.llm import (
+    decontamination,
+    html,
+    lines,
+    packing,
+    quality,
+    records,
+    sharding,
+    simhash,
+)
 
 _QUERIES = (
     lines.op1_line_dedup,
@@ -13,6 +22,7 @@ _QUERIES = (
     sharding.op3_sharding,
     decontamination.op5_decontamination,
     simhash.op6_simhash,
+    html.op8_html_text,
     records.op9_binary_records,
     quality.op10_quality,
 )
