@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.llm.store import free_name, row_key, written
@@ -106,45 +106,49 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def lookups(windows: DataFrame, totals: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(window, term, place): the ``rarest`` terms of each window, at their first places; all
-    of a window with fewer. Windows with a term that no document has are left out."""
+    """(window, term, place, rest): the rarest term of each window at its first place, and the
+    next ``rarest`` - 1 with theirs. Windows with a term that no document has are left out."""
     runs = windows.dropDuplicates(["window"])
     places = runs.select("window", "terms", F.posexplode("terms").alias("place", "term"))
     places = places.select("window", "place", F.col("term").cast("binary").alias("term"))
     places = places.groupBy("window", "term").agg(F.min("place").alias("place"))
-    known = places.join(totals, "term", "left")
-    whole = Window.partitionBy("window")
-    order = whole.orderBy("n", "place")
-    return (
-        known.withColumn("missing", F.max(F.col("n").isNull()).over(whole))
-        .withColumn("rank", F.row_number().over(order))
-        .where(f"not missing and rank <= {rarest}")
-        .select("window", "term", "place")
+    known = places.join(totals, "term", "left").groupBy("window").agg(
+        F.max(F.col("n").isNull()).alias("missing"),
+        F.array_sort(F.collect_list(F.struct("n", "place", "term"))).alias("by_n"),  # of a window
+    )
+    rest = F.transform(F.slice("by_n", 2, rarest - 1), lambda t: F.struct(t["term"], t["place"]))
+    return known.where("not missing").select(
+        "window",
+        F.col("by_n")[0]["term"].alias("term"),
+        F.col("by_n")[0]["place"].alias("place"),
+        rest.alias("rest"),
     )
 
 
 def meet(index: DataFrame, looked_up: DataFrame, slack: int = 0) -> DataFrame:
     """(doc_id, row_key, window, start) where the lookup terms of a window stand together.
 
-    ``slack`` 0: at exactly their distances, the candidates for exact phrases. Above: each at
-    most ``slack`` words off one start (proximity); ``start`` is then the start of a bin.
+    The list of the rarest term, moved back by its place, is intersected with those of the
+    others one after another. With ``slack`` 0 they stand at exactly their distances: candidates
+    for exact phrases. Above, each at most ``slack`` words from there: proximity matches.
     """
-    needed = looked_up.groupBy("window").agg(F.count(F.lit(1)).alias("needed"))
-    shifted = index.join(looked_up.join(needed, "window"), "term").withColumn(
-        "start", F.col("position") - F.col("place")
-    )
+    start = (F.col("position") - F.col("place")).alias("start")
+    met = index.join(looked_up, "term").select("doc_id", "row_key", "window", start, "rest")
+    if not slack:
+        met = met.where("start >= 0")
+    other = index.select(*(F.col(c).alias(f"i_{c}") for c in index.columns))
+    same = F.col("doc_id").eqNullSafe(F.col("i_doc_id")) & (F.col("row_key") == F.col("i_row_key"))
+    same &= F.col("ask.term") == F.col("i_term")
+    due = F.col("start") + F.col("ask.place")
     if slack:
-        size = slack + 1
-        bins = F.array(F.floor(F.col("start") / size), F.floor(F.col("start") / size) - 1)
-        shifted = shifted.withColumn("start", F.explode(bins) * size)
+        same &= F.abs(F.col("i_position") - due) <= slack
     else:
-        shifted = shifted.where("start >= 0")
-    return (
-        shifted.groupBy("doc_id", "row_key", "window", "start")
-        .agg(F.countDistinct("place").alias("found"), F.first("needed").alias("needed"))
-        .where("found = needed")
-        .select("doc_id", "row_key", "window", "start")
-    )
+        same &= F.col("i_position") == due
+    for k in range(RAREST - 1):
+        asked = written(met.withColumn("ask", F.get("rest", F.lit(k))), "met")
+        there = asked.where("ask is not null").join(other, same, "left_semi")
+        met = there.union(asked.where("ask is null")).drop("ask")
+    return met.drop("rest")
 
 
 def exact_matches(docs: DataFrame, candidates: DataFrame, windows: DataFrame) -> DataFrame:
@@ -162,7 +166,7 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, windows: DataFrame) ->
         F.struct("start", F.concat_ws(" ", "terms").cast("binary").alias("run"), "item_ids").alias("s"),
     )
     spots = spots.groupBy("doc_id", "row_key").agg(F.collect_list("s").alias("spots"))
-    texts = _bytes_of(docs).dropDuplicates(["doc_id", "row_key"])
+    texts = _bytes_of(docs)
     same = texts["doc_id"].eqNullSafe(spots["doc_id"]) & (texts["row_key"] == spots["row_key"])
     joined = texts.join(spots, same).select(texts["doc_id"], texts["row_key"], "text", "spots")
     kind = dict(windows.dtypes)["item_id"]
@@ -194,7 +198,7 @@ def exact_matches(docs: DataFrame, candidates: DataFrame, windows: DataFrame) ->
 
     return joined.mapInArrow(
         compare, f"doc_id long, row_key long, n_hit long, items array<{kind}>"
-    ).where("n_hit > 0")
+    ).where("n_hit > 0").dropDuplicates(["doc_id", "row_key"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -210,7 +214,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     vocabulary = vocabulary.select(F.col("term").cast("binary").alias("term"))
     sizes, totals = count_words(docs, vocabulary)
     looked_up = written(lookups(windows, totals), "lookups")
-    index = postings(docs, looked_up.select("term").distinct())
+    terms = looked_up.select("term").union(looked_up.select(F.explode("rest.term")))
+    index = postings(docs, terms.distinct())
     found = exact_matches(docs, meet(index, looked_up), windows)
     found = written(found.select(*(F.col(c).alias(f"f_{c}") for c in found.columns)), "found")
     same = F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("row_key") == F.col("f_row_key"))

@@ -21,36 +21,47 @@ from matchlens.llm.store import free_name, row_key, written
 
 #: Lines with fewer words always stay; lines from so many words on are also compared for edits.
 LEAST_WORDS, NEAR_WORDS = 3, 8
+#: How a line takes part in a meeting: with a gap at its place, with a word cut out anywhere, as
+#: it is. The first meet each other, the others meet across.
+GAP, CUT, WHOLE = 0, 1, 2
 #: Candidate lines up to which their keys are broadcast (16 bytes each).
-HELD_KEYS = 1_000_000
+HELD_KEYS = 500_000
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r", "  "), " "), "")
-
-
-def _hash(*values: Column) -> Column:
-    """128 bits."""
-    return F.struct(
-        F.xxhash64(*values).alias("x"), F.xxhash64(F.lit("second"), *values).alias("y")
+    blanks = F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    words = F.split(F.trim(blanks), " ")
+    return F.when(F.contains(blanks, F.lit("  ")), F.array_remove(words, "")).otherwise(words)
+
+
+def _key(marks: Column) -> Column:
+    """128 bits of a line, from the hashes of its words."""
+    both = F.aggregate(marks, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    return F.struct(F.xxhash64(marks).alias("x"), both.alias("y"))
+
+
+def _halves(marks: Column, n: Column) -> Column:
+    """Hashes of the halves, cut as for a line of this length and of one word less; those of
+    first halves are odd."""
+    heads, tails = [F.floor(n / 2), F.floor((n - 1) / 2)], [F.ceil(n / 2), F.ceil((n - 1) / 2)]
+    heads = [F.slice(marks, F.lit(1), k.cast("int")) for k in heads]
+    tails = [F.slice(marks, -k.cast("int"), k.cast("int")) for k in tails]
+    return F.array_distinct(
+        F.array(
+            *[F.xxhash64(half).bitwiseOR(F.lit(1)) for half in heads],
+            *[F.xxhash64(half).bitwiseAND(F.lit(-2)) for half in tails],
+        )
     )
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Hashes of the halves, cut as for a line of this length and of one word less."""
-    lengths = [F.floor(n / 2), F.floor((n - 1) / 2)], [F.ceil(n / 2), F.ceil((n - 1) / 2)]
-    heads = [F.xxhash64(F.lit("head"), F.slice(words, F.lit(1), k.cast("int"))) for k in lengths[0]]
-    tails = [F.xxhash64(F.lit("tail"), F.slice(words, -k.cast("int"), k.cast("int"))) for k in lengths[1]]
-    return F.array_distinct(F.array(*heads, *tails))
-
-
 def _without(words: Column, i: Column) -> Column:
     """``words`` less the one at ``i`` (from 0)."""
     return F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, line, words, n_words, key) of every line of ``LEAST_WORDS`` or more."""
+    """(doc_id, row_key, line, words, n_words, marks, key) of every line of ``LEAST_WORDS`` or
+    more; ``marks`` are hashes of its words."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key("doc_id", F.col("text")).alias("row_key"),
@@ -58,57 +69,57 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
     rows = rows.select("doc_id", "row_key", "line", _words(F.col("said")).alias("words"))
     rows = rows.withColumn("n_words", F.size("words")).where(F.col("n_words") >= LEAST_WORDS)
-    return rows.withColumn("key", _hash(F.col("words")))
+    rows = rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
+    return rows.withColumn("key", _key(F.col("marks")))
 
 
-def _near(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(key) of the lines that have an earlier line within one word."""
+def _candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(order, words, marks, key, low, high): lines with a half in common with another line, at
+    their earliest place, and between which words the edit to such a line must be."""
     halves = found.select("key", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = written(shared.where("low <> high").select("half"), "shared")
-    keys = written(halves.join(shared, "half").select("key").distinct(), "candidates")
+    is_head = F.col("half").bitwiseAND(F.lit(1)) == 1
+    keys = halves.join(shared, "half").groupBy("key")
+    keys = written(keys.agg(F.max(is_head).alias("head"), F.max(~is_head).alias("tail")), "keys")
     held = keys if keys.count() > HELD_KEYS else F.broadcast(keys)
-    order = F.struct("doc_id", "row_key", "line")
-    lines = (
-        lines_of(docs)
-        .where(F.col("n_words") >= NEAR_WORDS)
-        .join(held, "key", "left_semi")
-        .groupBy("key")
-        .agg(F.min(F.struct(order.alias("order"), "words")).alias("first"))
-        .select("key", "first.order", "first.words")
-    )
-    lines = written(lines, "candidates")
-    cuts = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: F.struct(i.alias("at"), _hash(_without(F.col("words"), i)).alias("rest")),
-    )
-    copies = lines.select("key", "order", F.explode(cuts).alias("cut"))
-    met = (
-        copies.select("key", "order", F.lit("gap").alias("role"),
-                      _hash(F.col("cut.rest"), F.col("cut.at")).alias("meeting"))
-        .union(copies.select("key", "order", F.lit("cut").alias("role"), F.col("cut.rest")))
-        .union(lines.select("key", "order", F.lit("whole").alias("role"), F.col("key")))
-    )
-    met = written(met, "variants")
-    earliest = {
-        role: F.min(F.when(F.col("role") == role, F.struct("order", "key"))).alias(role)
-        for role in ("gap", "cut", "whole")
-    }
-    firsts = met.groupBy("meeting").agg(*earliest.values(), F.count(F.lit(1)).alias("n"))
+    order, n = F.struct("doc_id", "row_key", "line").alias("order"), F.col("n_words")
+    low = F.when(F.col("tail"), 0).otherwise(F.floor((n - 1) / 2)).cast("int")
+    high = F.when(F.col("head"), n - 1).otherwise(F.floor((n + 1) / 2)).cast("int")
+    lines = lines_of(docs).where(n >= NEAR_WORDS).join(held, "key")
+    lines = lines.select("key", F.struct(order, "words", "marks", low.alias("low"), high.alias("high")).alias("it"))
+    return written(lines.groupBy("key").agg(F.min("it").alias("it")).select("key", "it.*"), "candidates")
+
+
+def _near(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key) of the lines that have an earlier line within one word."""
+    lines = _candidates(docs, found)
+    marks = F.col("marks")
+
+    def meetings(i: Column) -> Column:
+        x = F.xxhash64(_without(marks, i))
+        y = F.col("key.y").bitwiseXOR(F.get(marks, i))
+        gap = F.struct(F.lit(GAP).alias("role"), F.xxhash64(x, i).alias("x"), y.alias("y"))
+        return F.array(gap, F.struct(F.lit(CUT).alias("role"), x.alias("x"), y.alias("y")))
+
+    gaps = F.flatten(F.transform(F.sequence("low", "high"), meetings))
+    copies = lines.select("order", F.inline(gaps))
+    whole = lines.select("order", F.lit(WHOLE).alias("role"), "key.x", "key.y")
+    met = written(copies.union(whole), "variants")
+    roles = {k: F.col("role") == v for k, v in (("gap", GAP), ("cut", CUT), ("whole", WHOLE))}
+    earliest = [F.min(F.when(is_role, F.col("order"))).alias(k) for k, is_role in roles.items()]
+    firsts = met.groupBy("x", "y").agg(*earliest, F.count(F.lit(1)).alias("n"))
     firsts = written(firsts.where("n > 1").drop("n"), "meetings")
     other = (
-        F.when(F.col("role") == "gap", F.col("gap"))
-        .when(F.col("role") == "cut", F.col("whole"))
+        F.when(roles["gap"], F.col("gap"))
+        .when(roles["cut"], F.col("whole"))
         .otherwise(F.col("cut"))
     )
-    links = met.join(firsts, "meeting").select("key", "order", other.alias("other"))
-    links = links.where("other.order < order").groupBy("key").agg(F.min("other").alias("other"))
-    one, two = (
-        lines.select(F.col("key").alias(k), F.col("words").alias(w))
-        for k, w in (("key", "words"), ("other_key", "other_words"))
-    )
-    links = links.select("key", F.col("other.key").alias("other_key"))
-    return links.join(one, "key").join(two, "other_key").where(_one_edit()).select("key")
+    links = met.join(firsts, ["x", "y"]).select("order", other.alias("other"))
+    links = links.where("other < order").groupBy("order").agg(F.min("other").alias("other"))
+    earlier = lines.select(F.col("order").alias("other"), F.col("words").alias("other_words"))
+    one = lines.select("order", "key", "words")
+    return links.join(one, "order").join(earlier, "other").where(_one_edit()).select("key")
 
 
 def _one_edit() -> Column:
@@ -127,7 +138,7 @@ def _one_edit() -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, line) of each line to remove; ``line`` counts from 0."""
     halves = F.when(
-        F.col("n_words") >= NEAR_WORDS, _halves(F.col("words"), F.col("n_words"))
+        F.col("n_words") >= NEAR_WORDS, _halves(F.col("marks"), F.col("n_words"))
     ).otherwise(F.array().cast("array<bigint>"))
     found = lines_of(docs).select("doc_id", "row_key", "line", "key", halves.alias("halves"))
     found = written(found, "lines")
