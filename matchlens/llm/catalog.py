@@ -14,6 +14,7 @@ from matchlens.llm import (
     records,
     sharding,
     simhash,
+    syncmers,
 )
 
 _QUERIES = (
@@ -22,6 +23,7 @@ _QUERIES = (
     sharding.op3_sharding,
     decontamination.op5_decontamination,
     simhash.op6_simhash,
+    syncmers.op7_syncmers,
     html.op8_html_text,
     records.op9_binary_records,
     quality.op10_quality,
