@@ -14,6 +14,7 @@ from matchlens.llm import (
     records,
     sharding,
     simhash,
+    substrings,
     syncmers,
 )
 
@@ -21,6 +22,7 @@ _QUERIES = (
     lines.op1_line_dedup,
     packing.op2_best_fit_packing,
     sharding.op3_sharding,
+    substrings.op4_suffix_dedup,
     decontamination.op5_decontamination,
     simhash.op6_simhash,
     syncmers.op7_syncmers,

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm.store import free_name, row_key, written
+from matchlens.llm.store import free_name, row_key, ship, written
 
 WINDOW = 13
 #: Terms that a window is looked up by; a document is contaminated from this share of hit words.
@@ -209,6 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     item_id hit words but are not listed. Other columns are ignored. An empty benchmark hits
     nothing; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     windows = written(windows_of(benchmark, size), "windows")
     vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
     vocabulary = vocabulary.select(F.col("term").cast("binary").alias("term"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlens.llm.store import ship
+
 # Element names of HTML by how they are parsed and rendered.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
@@ -306,6 +308,7 @@ def extract_text(pages: DataFrame, out: str = "text") -> DataFrame:
                 [batch.column(0), pa.array(texts, pa.string())], names=["page_id", out]
             )
 
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string"))
     return rows.mapInArrow(render, f"page_id long, `{out}` string")
 

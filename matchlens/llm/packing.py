@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.llm import tokens
-from matchlens.llm.store import numbered, written
+from matchlens.llm.store import numbered, ship, written
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -122,6 +122,7 @@ def token_pieces(
     """(doc_id, piece, start, length, ids_crc32) of every document: its ids by the tokenizer
     and a separator, cut into pieces of ``capacity`` ids where longer. Null text: only the
     separator. Each row of ``docs`` is a document of its own, also if doc_ids repeat."""
+    ship(docs.sparkSession)
     path = vocabulary or tokens.vocabulary_path()
     separator = np.uint32(SEPARATOR_ID).tobytes()
 
@@ -154,6 +155,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     interchangeable; they are numbered by hash buckets of (doc_id, piece), so also a length
     that a third of all pieces share is numbered in many tasks.
     """
+    ship(pieces.sparkSession)
     pieces = written(pieces, "pieces")
     counts = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     runs = sorted(plan(dict(map(tuple, counts)), capacity))

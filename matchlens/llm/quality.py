@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm.store import free_name, row_key, written
+from matchlens.llm.store import free_name, row_key, ship, written
 
 #: Buckets of all hashed n-grams; the model is one number for each.
 BUCKETS = 1 << 20
@@ -163,6 +163,7 @@ def worst_passage(ratios: np.ndarray) -> float:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, row_key, worst, good) of every row of ``docs``."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

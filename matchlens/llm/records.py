@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlens.llm import tokens
-from matchlens.llm.store import fresh_path, partitions
+from matchlens.llm.store import fresh_path, partitions, ship
 
 MAGIC = b"MLRECS1\n"
 END_ID = 1
@@ -91,6 +91,7 @@ def write_records(
     all written, in order of their texts. Other columns are ignored. An empty table gives an
     empty index.
     """
+    ship(docs.sparkSession)
     path = vocabulary or tokens.vocabulary_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +130,7 @@ def write_records(
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record, from the files: where it starts in the sequence of all ids, how
     many ids it has and their checksum (as unsigned 32-bit integers). Raises on damage."""
+    ship(spark)
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # one row per file
@@ -157,6 +159,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_selected(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
     """(doc_id, ids) of the wanted doc_ids, by offset: a shuffled read through the index."""
+    ship(index.sparkSession)
     chosen = index.join(wanted.select("doc_id").distinct(), "doc_id")
     chosen = chosen.select("file", "offset").repartition("file").sortWithinPartitions("file", "offset")
 

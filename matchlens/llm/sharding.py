@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm.store import numbered, written
+from matchlens.llm.store import numbered, ship, written
 
 SHARDS = 16
 #: Groups in a block, on average; partial partitions combined by one task.
@@ -78,6 +78,7 @@ def _balance_blocks(shards: int):
 def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Add ``part`` (0 to ``shards`` - 1) to the rows of ``groups`` (text_key, bytes): sums of
     ``bytes`` near equal, each row indivisible. Every text_key is there once."""
+    ship(groups.sparkSession)
     groups = written(groups.select("text_key", "bytes"), "groups")
     blocks = max(1, math.ceil(groups.count() / BLOCK))
     dealt = groups.withColumn("block", F.pmod(F.xxhash64("text_key"), F.lit(blocks)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.llm.graph import components
-from matchlens.llm.store import free_name, row_key, written
+from matchlens.llm.store import free_name, row_key, ship, written
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Fingerprints in a cell up to which they are compared in pairs.
@@ -62,6 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, mark): the 64 bits of the fingerprint as a signed number."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long"),
         F.col("text").cast("string").cast("binary"),
