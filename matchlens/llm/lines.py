@@ -24,8 +24,8 @@ LEAST_WORDS, NEAR_WORDS = 3, 8
 #: How a line takes part in a meeting: with a gap at its place, with a word cut out anywhere, as
 #: it is. The first meet each other, the others meet across.
 GAP, CUT, WHOLE = 0, 1, 2
-#: Candidate lines up to which their keys are broadcast (16 bytes each).
-HELD_KEYS = 500_000
+#: Candidate lines up to which their places are broadcast (22 bytes each).
+HELD_PLACES = 500_000
 
 
 def _words(line: Column) -> Column:
@@ -59,21 +59,26 @@ def _without(words: Column, i: Column) -> Column:
     return F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words)))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, line, words, n_words, marks, key) of every line of ``LEAST_WORDS`` or
-    more; ``marks`` are hashes of its words."""
+def _said(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, line, said): every line, as it is."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key("doc_id", F.col("text")).alias("row_key"),
-        F.posexplode(F.split("text", "\n")).alias("line", "said"),
+        F.split("text", "\n").alias("lines"),
     )
-    rows = rows.select("doc_id", "row_key", "line", _words(F.col("said")).alias("words"))
+    return rows.select("doc_id", "row_key", F.posexplode("lines").alias("line", "said"))
+
+
+def _read(said: DataFrame) -> DataFrame:
+    """Add words, n_words, marks (hashes of the words) and key to lines of ``LEAST_WORDS`` or
+    more."""
+    rows = said.withColumn("words", _words(F.col("said"))).drop("said")
     rows = rows.withColumn("n_words", F.size("words")).where(F.col("n_words") >= LEAST_WORDS)
     rows = rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
     return rows.withColumn("key", _key(F.col("marks")))
 
 
-def _candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
     """(order, words, marks, key, low, high): lines with a half in common with another line, at
     their earliest place, and between which words the edit to such a line must be."""
     halves = found.select("key", F.explode("halves").alias("half"))
@@ -81,19 +86,28 @@ def _candidates(docs: DataFrame, found: DataFrame) -> DataFrame:
     shared = written(shared.where("low <> high").select("half"), "shared")
     is_head = F.col("half").bitwiseAND(F.lit(1)) == 1
     keys = halves.join(shared, "half").groupBy("key")
-    keys = written(keys.agg(F.max(is_head).alias("head"), F.max(~is_head).alias("tail")), "keys")
-    held = keys if keys.count() > HELD_KEYS else F.broadcast(keys)
-    order, n = F.struct("doc_id", "row_key", "line").alias("order"), F.col("n_words")
+    keys = keys.agg(F.max(is_head).alias("head"), F.max(~is_head).alias("tail"))
+    places = keys.join(firsts, "key").select(
+        F.col("first.doc_id").alias("at_id"), F.col("first.row_key").alias("at_key"),
+        F.col("first.line").alias("at_line"), "head", "tail",
+    )
+    places = written(places, "places")
+    held = places if places.count() > HELD_PLACES else F.broadcast(places)
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("row_key") == F.col("at_key"))
+    chosen = _said(docs).join(held, same & (F.col("line") == F.col("at_line")))
+    n = F.col("n_words")
     low = F.when(F.col("tail"), 0).otherwise(F.floor((n - 1) / 2)).cast("int")
     high = F.when(F.col("head"), n - 1).otherwise(F.floor((n + 1) / 2)).cast("int")
-    lines = lines_of(docs).where(n >= NEAR_WORDS).join(held, "key")
-    lines = lines.select("key", F.struct(order, "words", "marks", low.alias("low"), high.alias("high")).alias("it"))
-    return written(lines.groupBy("key").agg(F.min("it").alias("it")).select("key", "it.*"), "candidates")
+    lines = _read(chosen).select(
+        F.struct("doc_id", "row_key", "line").alias("order"), "words", "marks", "key",
+        low.alias("low"), high.alias("high"),
+    )
+    return written(lines.dropDuplicates(["key"]), "candidates")
 
 
-def _near(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
     """(key) of the lines that have an earlier line within one word."""
-    lines = _candidates(docs, found)
+    lines = _candidates(docs, found, firsts)
     marks = F.col("marks")
 
     def meetings(i: Column) -> Column:
@@ -140,12 +154,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     halves = F.when(
         F.col("n_words") >= NEAR_WORDS, _halves(F.col("marks"), F.col("n_words"))
     ).otherwise(F.array().cast("array<bigint>"))
-    found = lines_of(docs).select("doc_id", "row_key", "line", "key", halves.alias("halves"))
+    found = _read(_said(docs)).select("doc_id", "row_key", "line", "key", halves.alias("halves"))
     found = written(found, "lines")
     firsts = found.groupBy("key").agg(
         F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count(F.lit(1)).alias("n")
     )
-    near = written(_near(docs, found).withColumn("near", F.lit(True)), "near")
+    firsts = written(firsts, "firsts")
+    near = written(_near(docs, found, firsts).withColumn("near", F.lit(True)), "near")
     decided = firsts.where("n > 1").join(near, "key", "full").select("key", "first", "near")
     decided = written(decided, "decided")
     later = F.struct("doc_id", "row_key", "line") > F.col("first")
