@@ -9,91 +9,86 @@ from matchlens.functions.constants import constant_array, constant_map
 RESOURCES = ("food", "wood", "gold", "stone")
 KINDS = ("unit", "building", "tech")
 
-# Name and food, wood, gold, stone. The order within a kind matters:
-# a name that is no entry takes the first entry that contains it or is part of it.
-_FIXED = """
-unit     | villager             |  50   0   0   0
-unit     | militia              |  60   0  20   0
-unit     | man-at-arms          |  60   0  20   0
-unit     | spearman             |  35  25   0   0
-unit     | pikeman              |  35  25   0   0
-unit     | halberdier           |  35  25   0   0
-unit     | archer               |   0  25  45   0
-unit     | crossbowman          |   0  25  45   0
-unit     | skirmisher           |  25  35   0   0
-unit     | elite skirmisher     |  25  35   0   0
-unit     | hand cannoneer       |  45   0  50   0
-unit     | cavalry archer       |   0  40  60   0
-unit     | scout                |  80   0   0   0
-unit     | scout cavalry        |  80   0   0   0
-unit     | light cavalry        |  80   0   0   0
-unit     | hussar               |  80   0   0   0
-unit     | knight               |  60   0  75   0
-unit     | cavalier             |  60   0  75   0
-unit     | paladin              |  60   0  75   0
-unit     | camel                |  55   0  60   0
-unit     | camel rider          |  55   0  60   0
-unit     | eagle                |  20   0  50   0
-unit     | eagle scout          |  20   0  50   0
-unit     | eagle warrior        |  20   0  50   0
-unit     | battering ram        |   0 160  75   0
-unit     | mangonel             |   0 160 135   0
-unit     | onager               |   0 160 135   0
-unit     | scorpion             |   0  75  75   0
-unit     | siege ram            |   0   0   0   0
-building | house                |   0  25   0   0
-building | lumber camp          |   0 100   0   0
-building | mill                 |   0 100   0   0
-building | mining camp          |   0 100   0   0
-building | barracks             |   0 175   0   0
-building | archery range        |   0 175   0   0
-building | stable               |   0 175   0   0
-building | blacksmith           |   0 150   0   0
-building | market               |   0 175   0   0
-building | monastery            |   0 175   0   0
-building | siege workshop       |   0 200   0   0
-building | university           |   0 200   0   0
-building | town center          |   0 275   0 100
-building | watch tower          |   0  25   0 125
-building | guard tower          |   0  25   0 125
-building | keep                 |   0  25   0 125
-building | castle               |   0   0   0 650
-tech     | loom                 |   0   0  50   0
-tech     | double-bit axe       |   0 100   0   0
-tech     | bow saw              | 100 150   0   0
-tech     | two-man saw          | 300 300   0   0
-tech     | horse collar         |  75  75   0   0
-tech     | heavy plow           | 125 125   0   0
-tech     | crop rotation        | 250 250   0   0
-tech     | wheelbarrow          | 175  50   0   0
-tech     | hand cart            | 300 200   0   0
-tech     | gold mining          | 100  75   0   0
-tech     | gold shaft mining    | 200 150   0   0
-tech     | stone mining         | 100  75   0   0
-tech     | stone shaft mining   | 200 150   0   0
-tech     | town watch           |  75   0   0   0
-tech     | town patrol          | 300   0 100   0
-tech     | fletching            |  50   0 100   0
-tech     | bodkin arrow         | 200   0 100   0
-tech     | bracer               | 300   0 200   0
-tech     | forging              | 150   0   0   0
-tech     | iron casting         | 220   0 120   0
-tech     | blast furnace        | 275   0 225   0
-tech     | scale mail armor     | 100   0   0   0
-tech     | chain mail armor     | 200   0   0   0
-tech     | plate mail armor     | 300   0   0   0
-tech     | scale barding armor  | 150   0   0   0
-tech     | chain barding armor  | 250   0   0   0
-tech     | plate barding armor  | 350   0   0   0
-tech     | leather archer armor | 100   0   0   0
-tech     | chain archer armor   | 150   0   0   0
-tech     | ring archer armor    | 250   0   0   0
-"""
-
-# Rows (kind, name, food, wood, gold, stone); any list of this form can replace it.
+# Kind, name, food, wood, gold, stone. The order within a kind matters: a name
+# that is no entry takes the first entry that contains it or is part of it. Any list of this
+# form can replace it.
 COSTS = [
-    (kind.strip(), name.strip(), *map(int, amounts.split()))
-    for kind, name, amounts in (line.split("|") for line in _FIXED.strip().splitlines())
+    ("unit", "villager", 50, 0, 0, 0),
+    ("unit", "militia", 60, 0, 20, 0),
+    ("unit", "man-at-arms", 60, 0, 20, 0),
+    ("unit", "spearman", 35, 25, 0, 0),
+    ("unit", "pikeman", 35, 25, 0, 0),
+    ("unit", "halberdier", 35, 25, 0, 0),
+    ("unit", "archer", 0, 25, 45, 0),
+    ("unit", "crossbowman", 0, 25, 45, 0),
+    ("unit", "skirmisher", 25, 35, 0, 0),
+    ("unit", "elite skirmisher", 25, 35, 0, 0),
+    ("unit", "hand cannoneer", 45, 0, 50, 0),
+    ("unit", "cavalry archer", 0, 40, 60, 0),
+    ("unit", "scout", 80, 0, 0, 0),
+    ("unit", "scout cavalry", 80, 0, 0, 0),
+    ("unit", "light cavalry", 80, 0, 0, 0),
+    ("unit", "hussar", 80, 0, 0, 0),
+    ("unit", "knight", 60, 0, 75, 0),
+    ("unit", "cavalier", 60, 0, 75, 0),
+    ("unit", "paladin", 60, 0, 75, 0),
+    ("unit", "camel", 55, 0, 60, 0),
+    ("unit", "camel rider", 55, 0, 60, 0),
+    ("unit", "eagle", 20, 0, 50, 0),
+    ("unit", "eagle scout", 20, 0, 50, 0),
+    ("unit", "eagle warrior", 20, 0, 50, 0),
+    ("unit", "battering ram", 0, 160, 75, 0),
+    ("unit", "mangonel", 0, 160, 135, 0),
+    ("unit", "onager", 0, 160, 135, 0),
+    ("unit", "scorpion", 0, 75, 75, 0),
+    ("unit", "siege ram", 0, 0, 0, 0),
+    ("building", "house", 0, 25, 0, 0),
+    ("building", "lumber camp", 0, 100, 0, 0),
+    ("building", "mill", 0, 100, 0, 0),
+    ("building", "mining camp", 0, 100, 0, 0),
+    ("building", "barracks", 0, 175, 0, 0),
+    ("building", "archery range", 0, 175, 0, 0),
+    ("building", "stable", 0, 175, 0, 0),
+    ("building", "blacksmith", 0, 150, 0, 0),
+    ("building", "market", 0, 175, 0, 0),
+    ("building", "monastery", 0, 175, 0, 0),
+    ("building", "siege workshop", 0, 200, 0, 0),
+    ("building", "university", 0, 200, 0, 0),
+    ("building", "town center", 0, 275, 0, 100),
+    ("building", "watch tower", 0, 25, 0, 125),
+    ("building", "guard tower", 0, 25, 0, 125),
+    ("building", "keep", 0, 25, 0, 125),
+    ("building", "castle", 0, 0, 0, 650),
+    ("tech", "loom", 0, 0, 50, 0),
+    ("tech", "double-bit axe", 0, 100, 0, 0),
+    ("tech", "bow saw", 100, 150, 0, 0),
+    ("tech", "two-man saw", 300, 300, 0, 0),
+    ("tech", "horse collar", 75, 75, 0, 0),
+    ("tech", "heavy plow", 125, 125, 0, 0),
+    ("tech", "crop rotation", 250, 250, 0, 0),
+    ("tech", "wheelbarrow", 175, 50, 0, 0),
+    ("tech", "hand cart", 300, 200, 0, 0),
+    ("tech", "gold mining", 100, 75, 0, 0),
+    ("tech", "gold shaft mining", 200, 150, 0, 0),
+    ("tech", "stone mining", 100, 75, 0, 0),
+    ("tech", "stone shaft mining", 200, 150, 0, 0),
+    ("tech", "town watch", 75, 0, 0, 0),
+    ("tech", "town patrol", 300, 0, 100, 0),
+    ("tech", "fletching", 50, 0, 100, 0),
+    ("tech", "bodkin arrow", 200, 0, 100, 0),
+    ("tech", "bracer", 300, 0, 200, 0),
+    ("tech", "forging", 150, 0, 0, 0),
+    ("tech", "iron casting", 220, 0, 120, 0),
+    ("tech", "blast furnace", 275, 0, 225, 0),
+    ("tech", "scale mail armor", 100, 0, 0, 0),
+    ("tech", "chain mail armor", 200, 0, 0, 0),
+    ("tech", "plate mail armor", 300, 0, 0, 0),
+    ("tech", "scale barding armor", 150, 0, 0, 0),
+    ("tech", "chain barding armor", 250, 0, 0, 0),
+    ("tech", "plate barding armor", 350, 0, 0, 0),
+    ("tech", "leather archer armor", 100, 0, 0, 0),
+    ("tech", "chain archer armor", 150, 0, 0, 0),
+    ("tech", "ring archer armor", 250, 0, 0, 0),
 ]
 
 
