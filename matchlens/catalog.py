@@ -16,14 +16,15 @@ from matchlens.operators import (
     series,
     stock,
 )
-from matchlens.plans import reports
+from matchlens.functions.units import augment_unit_patterns, is_villager
+from matchlens.plans import reports, variants
 from matchlens.sources.events import tables_from_events
-from matchlens.sources.tables import MatchTables, record_json
+from matchlens.sources.tables import MatchTables, explode_snapshots, record_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RAMP_RESOURCE = "food"
 SELECTED_PLAYERS = (1, 3, 5)
+OWN_PATTERNS = {"Villager": "villager", "Gatherer": "villager|aldean"}
 
 
 def _match_summary(t: MatchTables) -> DataFrame:
@@ -39,8 +40,14 @@ def _player_summary(t: MatchTables) -> DataFrame:
     return reports.player_summary(t).drop("civ")
 
 
-def _ramp(t: MatchTables) -> DataFrame:
-    return reports.resource_view(t, "postgame", RAMP_RESOURCE)
+def _reread(t: MatchTables, table: str, fmt: str) -> DataFrame:
+    rows = getattr(t, table)
+    again = variants.reread(rows.sparkSession, table, rows, fmt)
+    return again.withColumn("source_file", F.col("source_file").isNotNull())
+
+
+def _postgame(shape: str):
+    return lambda t: postgame.postgame_totals(variants.reshaped(t.postgame, shape))
 
 
 BY_NAME: dict[str, Callable[[MatchTables], DataFrame]] = {
@@ -92,9 +99,46 @@ BY_NAME: dict[str, Callable[[MatchTables], DataFrame]] = {
     "sync_stock": lambda t: stock.sync_stock(t.snapshots),
     "stock_total": lambda t: reports.stock_total(t),
     "postgame_totals": lambda t: postgame.postgame_totals(t.postgame),
-    "resource_ramp": _ramp,
+    **{f"postgame_totals_{shape}": _postgame(shape) for shape in variants.POSTGAME_SHAPES},
+    "resource_ramp": lambda t: reports.resource_view(t, "postgame", "food"),
+    **{
+        f"resource_ramp_{r}": lambda t, r=r: reports.resource_view(t, "postgame", r)
+        for r in RESOURCES[1:]
+    },
+    "sync_packets": lambda t: explode_snapshots(variants.sync_packets(t.snapshots)),
+    # other forms of the input
+    "villager_counts_noted": lambda t: production.villager_counts(
+        variants.noted(t.actions), t.players
+    ),
+    "villager_counts_noted_strict": lambda t: production.villager_counts(
+        variants.noted(t.actions), t.players, mode="strict"
+    ),
+    "villager_counts_repeated_keys": lambda t: production.villager_counts(
+        variants.repeated_keys(t.actions), t.players
+    ),
+    "apm_selected_or_all": lambda t: activity.apm_timeseries(
+        variants.without_player(t.actions, 1), players=(1,), if_none="all"
+    ),
+    "actions_reread": lambda t: _reread(t, "actions", "parquet"),
+    "matches_reread_json": lambda t: _reread(t, "matches", "json"),
+    # presentation
+    "events_in_time_order": lambda t: events.in_time_order(events.important_events(t.actions)),
+    "action_types_by_frequency": lambda t: diagnostics.by_frequency(
+        diagnostics.action_type_counts(t.actions)
+    ),
+    "unit_pattern_hits_own": lambda t: diagnostics.unit_pattern_hits(
+        t.actions, augment_unit_patterns(OWN_PATTERNS)
+    ),
+    "villager_names": lambda t: diagnostics.unit_names(t.actions).withColumn(
+        "is_villager", is_villager(F.col("name"))
+    ),
+    "apm_minutes": lambda t: series.with_minutes(activity.apm_timeseries(t.actions)),
+    "spend_has_data_food": lambda t: series.has_data(
+        resources.resource_spend_timeseries(t.actions, "food")
+    ),
     # summaries
     "player_summary": _player_summary,
+    "player_summary_rounded": lambda t: reports.rounded(_player_summary(t)),
     "match_summary": _match_summary,
 }
 

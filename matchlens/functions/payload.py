@@ -25,7 +25,12 @@ MATCH_MODES = ("loose", "strict")
 
 
 def with_parsed(df: DataFrame, source: str = "payload", when: Column | None = None) -> DataFrame:
-    """Add the parsed payload, evaluated once; NULL where ``when`` does not hold."""
+    """Add the parsed payload, evaluated once; NULL where ``when`` does not hold.
+
+    Of a key that is repeated the last value counts: a setting of the session, which the parser
+    reads when it is planned.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     raw = F.col(source)
     if not isinstance(df.schema[source].dataType, VariantType):
         raw = F.try_parse_json(raw)

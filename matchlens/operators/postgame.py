@@ -1,13 +1,21 @@
-"""Per-player resource totals from post-game documents of varying shape."""
+"""Per-player resource totals from post-game documents of varying shape.
 
-from pyspark.sql import Column, DataFrame
+Documents nest to any depth and their order counts, which neither JSON functions nor VARIANT
+keep, so each is decoded in a task and flattened into records. What counts among the records
+is decided by Spark.
+"""
+
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from matchlens.functions.costs import RESOURCES, resource_name
-from matchlens.functions.barrier import evaluate_once
-from matchlens.functions.constants import constant_array
-from matchlens.functions.payload import is_kind, text, truthy_text
 from matchlens.functions.timing import DEFAULT_WINDOW, ceil_div, window_micros
+from matchlens.functions.workers import ship
 from matchlens.operators import series
 from matchlens.operators.series import KEY, MATCH
 
@@ -18,281 +26,178 @@ ALIASES = (("", ""), ("", "_collected"), ("total_", ""))
 NESTED_TOTALS = "total_collected"
 NESTED_RECORD = "economy"
 
-# How many records under NESTED_RECORD, each inside the last, are unwrapped.
-RECORD_DEPTH = 3
-
-_BUCKET = "struct<" + ",".join(f"{r}:double" for r in RESOURCES) + ">"
-_ENTRY = f"struct<player:int,slot:int,bucket:{_BUCKET}>"
-_NODE = "struct<path:array<int>,slot:int,json:string>"
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _fields(node: Column) -> Column:
-    return F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
-
-
-def _items(node: Column) -> Column:
-    return F.try_variant_get(node, "$", "array<variant>")
-
-
-def _none(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
-def _number(value: Column) -> Column:
-    return F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(0.0))
-
-
-def _names() -> Column:
-    return constant_array(RESOURCES)
-
-
-def _bucket(amounts: Column) -> Column:
-    """Four amounts in order of RESOURCES as a bucket; missing ones are 0."""
-    named = [F.coalesce(F.get(amounts, F.lit(i)), F.lit(0.0)) for i in range(len(RESOURCES))]
-    return F.struct(*[a.alias(r) for a, r in zip(named, RESOURCES)]).cast(_BUCKET)
-
-
-def _nested_amounts(record: Column) -> Column:
-    """Amounts under NESTED_TOTALS if that names all four resources, else NULL."""
-    totals = F.try_variant_get(record, f"$.{NESTED_TOTALS}", "map<string,variant>")
-    spelled = F.transform(F.map_keys(totals), lambda k: F.lower(k))
-    complete = F.size(F.array_intersect(spelled, _names())) == len(RESOURCES)
-    return F.when(
-        complete, F.transform(_names(), lambda r: _number(F.try_element_at(totals, r)))
-    )
-
-
-def _flat_amounts(record: Column) -> Column:
-    """Amounts in fields of the record itself, else NULL.
-
-    Of the aliases of a resource the first present counts, its exact spelling
-    before any other case. There must be two resources, or one above 0.
-    """
-
-    def amount(fields: Column, resource: Column) -> Column:
-        aliases = F.array(
-            *[F.concat(F.lit(before), resource, F.lit(after)) for before, after in ALIASES]
-        )
-        present = F.filter(fields, lambda e: F.array_contains(aliases, F.lower(e["key"])))
-        ranked = F.transform(
-            present,
-            lambda e, i: F.struct(
-                F.array_position(aliases, F.lower(e["key"])).alias("alias"),
-                (e["key"] != F.lower(e["key"])).alias("other_case"),
-                i.alias("place"),
-                _number(e["value"]).alias("amount"),
-            ),
-        )
-        return F.array_min(ranked)["amount"]
-
-    def judged(amounts: Column) -> Column:
-        present = F.filter(amounts, lambda v: v.isNotNull())
-        enough = (F.size(present) >= 2) | (F.get(present, F.lit(0)) > 0)
-        return F.when(enough, amounts)
-
-    return _let(
-        _fields(record),
-        lambda fields: _let(F.transform(_names(), lambda r: amount(fields, r)), judged),
-    )
-
-
-def read_bucket(record: Column) -> Column:
-    """Resource totals of a record or of the record nested in it, or NULL."""
-    paths = ["$" + f".{NESTED_RECORD}" * level for level in range(RECORD_DEPTH + 1)]
-    levels = F.array(*[F.try_variant_get(record, path, "variant") for path in paths])
-    amounts = F.transform(
-        F.filter(levels, lambda x: is_kind(x, "OBJECT")),
-        lambda x: F.coalesce(_nested_amounts(x), _flat_amounts(x)),
-    )
-    return _let(
-        F.get(F.filter(amounts, lambda a: a.isNotNull()), F.lit(0)),
-        lambda found: F.when(found.isNotNull(), _bucket(found)),
-    )
-
-
-def read_player(node: Column) -> Column:
-    """Player number of a record: its first id that is set, as a whole number."""
-    given = [
-        F.when(
-            truthy_text(node, f"$.{key}").isNotNull(),
-            F.try_variant_get(node, f"$.{key}", "variant"),
-        )
-        for key in PLAYER_IDS
-    ]
-    return F.try_variant_get(F.coalesce(*given), "$", "int")
-
-
-def _entry(player: Column, slot: Column, bucket: Column) -> Column:
-    fields = F.struct(player.alias("player"), slot.alias("slot"), bucket.alias("bucket"))
-    return fields.cast(_ENTRY)
-
-
-def _or_empty(array: Column, kind: str) -> Column:
-    return F.coalesce(array, F.array().cast(f"array<{kind}>"))
-
-
-def from_containers(doc: Column) -> Column:
-    """Entries of the known containers: lists by record id, objects by their keys."""
-    record = "struct<key:string,node:variant>"
-    parts = []
-    for name in CONTAINERS:
-        container = F.try_variant_get(doc, f"$.{name}", "variant")
-        listed = F.transform(
-            _items(container),
-            lambda x: F.struct(_none("string").alias("key"), x.alias("node")).cast(record),
-        )
-        keyed = F.transform(
-            _fields(container),
-            lambda e: F.struct(e["key"].alias("key"), e["value"].alias("node")).cast(record),
-        )
-        parts.append(_or_empty(F.coalesce(listed, keyed), record))
-    records = F.filter(F.concat(*parts), lambda x: is_kind(x["node"], "OBJECT"))
-
-    def entry(x: Column) -> Column:
-        by_id = F.when(x["key"].isNull(), read_player(x["node"]))
-        number = F.coalesce(x["key"].try_cast("int"), by_id)
-        return _entry(number, _none("int"), read_bucket(x["node"]))
-
-    return F.transform(records, entry)
-
-
-def _node(path: Column, slot: Column, json: Column) -> Column:
-    fields = F.struct(path.alias("path"), slot.alias("slot"), json.alias("json"))
-    return fields.cast(_NODE)
-
-
-def _below(parent: Column) -> Column:
-    """Nodes one level below: values of an object, items of a list (with position).
-
-    Nodes are JSON text, because a parsed VARIANT forgets the order of keys.
-    """
-    json, path = parent["json"], parent["path"]
-    is_object, is_list = F.startswith(json, F.lit("{")), F.startswith(json, F.lit("["))
-    fields = F.transform(
-        F.map_values(F.from_json(F.when(is_object, json), "map<string,string>")),
-        lambda x, i: _node(F.concat(path, F.array(i)), _none("int"), x),
-    )
-    items = F.transform(
-        F.from_json(F.when(is_list, json), "array<string>"),
-        lambda x, i: _node(F.concat(path, F.array(i)), i, x),
-    )
-    return F.coalesce(fields, items, F.array().cast(f"array<{_NODE}>"))
-
-
-def from_anywhere(doc: Column) -> Column:
-    """Entries of every record at any depth of a document's text, in its order.
-
-    Level by level, at most as many levels as the text has opening brackets; a
-    level that is already empty costs nothing.
-    """
-    state = f"struct<level:array<{_NODE}>,seen:array<{_NODE}>>"
-    root = F.array(_node(F.array().cast("array<int>"), _none("int"), F.ltrim(doc)))
-    opening = F.length(doc) - F.length(F.translate(doc, "{[", ""))
-
-    def descend(acc: Column, _step: Column) -> Column:
-        below = F.flatten(F.transform(acc["level"], _below))
-        return _let(
-            below,
-            lambda x: F.struct(
-                x.alias("level"), F.concat(acc["seen"], x).alias("seen")
-            ).cast(state),
-        )
-
-    steps = F.sequence(F.lit(1), F.greatest(opening.cast("int"), F.lit(1)))
-    start = F.struct(root.alias("level"), root.alias("seen")).cast(state)
-    seen = F.aggregate(steps, start, descend)["seen"]
-    records = F.filter(seen, lambda x: F.startswith(x["json"], F.lit("{")))
-
-    def entry(x: Column) -> Column:
-        return _let(
-            F.try_parse_json(x["json"]),
-            lambda record: _entry(read_player(record), x["slot"], read_bucket(record)),
-        )
-
-    in_order = F.array_sort(
-        F.transform(
-            records, lambda x: F.struct(x["path"].alias("path"), entry(x).alias("entry"))
-        )
-    )
-    return F.transform(in_order, lambda x: x["entry"])
-
-
-def from_header(header: Column) -> Column:
-    """Entries of a replay header's player list, for players who collected anything."""
-
-    def entry(x: Column) -> Column:
-        amounts = F.array(
-            *[
-                F.try_variant_get(x, f"$.achievements.economy.{r}_collected", "double")
-                for r in RESOURCES
-            ]
-        )
-        some = F.exists(amounts, lambda a: a > 0)
-        number = F.try_variant_get(x, "$.number", "int")
-        return _entry(number, _none("int"), F.when(some, _bucket(amounts)))
-
-    return _or_empty(F.transform(_items(header), entry), _ENTRY)
-
-
-def _usable(entries: Column) -> Column:
-    return F.filter(entries, lambda e: e["player"].isNotNull() & e["bucket"].isNotNull())
-
-
-def _by_slot(entries: Column) -> Column:
-    """Records without an id, numbered by their place in a list."""
-    placed = F.filter(
-        entries,
-        lambda e: e["player"].isNull() & e["slot"].isNotNull() & e["bucket"].isNotNull(),
-    )
-    return F.transform(placed, lambda e: _entry(e["slot"] + 1, e["slot"], e["bucket"]))
+# Sources of records, the first that gives any counts.
+KNOWN, ANYWHERE, HEADER, SLOT = range(4)
+
+_LONGEST = 1 << 63
+_AMOUNTS = ", ".join(f"{r} double" for r in RESOURCES)
+_RECORDS = f"match_id long, source int, place long, player long, {_AMOUNTS}"
+
+
+def _number(value) -> float:
+    try:
+        return float(value)
+    except (TypeError, ValueError, OverflowError):
+        return 0.0
+
+
+def _whole(value) -> int | None:
+    """A player number of 64 bits, or None."""
+    try:
+        number = int(value)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return number if -_LONGEST <= number < _LONGEST else None
+
+
+def _decoded(text: str | None):
+    """The document; None if there is none, it is broken or nested too deep for the decoder. Of
+    a repeated key the last value counts."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _flat(record: dict) -> list[float] | None:
+    """Amounts in fields of the record itself: two resources, or one above 0. The first alias
+    present counts, its exact spelling before any other case."""
+    lower: dict[str, object] = {}
+    for key, value in record.items():
+        lower.setdefault(key.lower(), value)
+    amounts: list[float | None] = []
+    for resource in RESOURCES:
+        names = [f"{before}{resource}{after}" for before, after in ALIASES]
+        name = next((n for n in names if n in lower), None)
+        amounts.append(None if name is None else _number(record.get(name, lower[name])))
+    present = [a for a in amounts if a is not None]
+    enough = len(present) >= 2 or any(a > 0 for a in present)
+    return [a or 0.0 for a in amounts] if enough else None
+
+
+def read_amounts(record) -> list[float] | None:
+    """Food, wood, gold and stone of a record, or of the nearest record nested in it."""
+    while isinstance(record, dict):
+        totals = record.get(NESTED_TOTALS)
+        if isinstance(totals, dict) and {k.lower() for k in totals}.issuperset(RESOURCES):
+            return [_number(totals.get(r, 0.0)) for r in RESOURCES]
+        if (amounts := _flat(record)) is not None:
+            return amounts
+        record = record.get(NESTED_RECORD)
+    return None
+
+
+def read_player(record: dict) -> int | None:
+    """Player number of a record: its first id that is set, if that is a whole number."""
+    return _whole(next(filter(None, map(record.get, PLAYER_IDS)), None))
+
+
+def from_containers(doc) -> Iterator[tuple[int, list[float]]]:
+    """Records of the known containers: lists by record id, objects by their keys."""
+    for container in (doc.get(name) for name in CONTAINERS) if isinstance(doc, dict) else ():
+        if isinstance(container, list):
+            pairs = [(read_player(x), x) for x in container if isinstance(x, dict)]
+        elif isinstance(container, dict):
+            pairs = [(_whole(k), x) for k, x in container.items() if isinstance(x, dict)]
+        else:
+            continue
+        for player, record in pairs:
+            if player is not None and (amounts := read_amounts(record)) is not None:
+                yield player, amounts
+
+
+def from_anywhere(doc) -> Iterator[tuple[int | None, int | None, list[float]]]:
+    """(player, position in its list, amounts) of every record, in order of the document. Each
+    value is visited once, with a stack of what is left."""
+    left = [(doc, None)]
+    while left:
+        value, position = left.pop()
+        if isinstance(value, dict):
+            if (amounts := read_amounts(value)) is not None:
+                yield read_player(value), position, amounts
+            left.extend((x, None) for x in reversed(value.values()))
+        elif isinstance(value, list):
+            left.extend((x, i) for i, x in reversed(list(enumerate(value))))
+
+
+def from_header(players) -> list[tuple[int, list[float]]]:
+    """Players of a replay header who collected anything. A header with an amount or a number
+    that is none does not count at all."""
+    found = []
+    try:
+        for player in players or ():
+            economy = (player.get("achievements") or {}).get("economy") or {}
+            amounts = [float(economy.get(f"{r}_collected") or 0.0) for r in RESOURCES]
+            number = player.get("number")
+            if number is not None and any(a > 0 for a in amounts):
+                found.append((int(number), amounts))
+    except (AttributeError, TypeError, ValueError, OverflowError):
+        return []
+    return [(n, amounts) for n, amounts in found if _whole(n) is not None]
+
+
+def _records(doc, header) -> Iterator[tuple]:
+    """(source, player, amounts); walks a document only if its containers give nothing."""
+    known = list(from_containers(doc))
+    for player, amounts in known:
+        yield KNOWN, player, amounts
+    if known:
+        return
+    for player, position, amounts in from_anywhere(doc):
+        if player is not None:
+            yield ANYWHERE, player, amounts
+        elif position is not None:
+            yield SLOT, position + 1, amounts
+    for player, amounts in from_header(header):
+        yield HEADER, player, amounts
+
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [field.split(" ")[0] for field in _RECORDS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * len(RESOURCES)]
+    for batch in batches:
+        rows = []
+        for match, doc, header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = _records(_decoded(doc), _decoded(header))
+            rows += [(match, s, i, p, *amounts) for i, (s, p, amounts) in enumerate(found)]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def postgame_records(postgame: DataFrame) -> DataFrame:
+    """Every record found: its source, its place in the document, player and amounts."""
+    ship(postgame.sparkSession)
+
+    def as_text(name: str):
+        if name not in postgame.columns:
+            return F.lit(None).cast("string").alias(name)
+        variant = isinstance(postgame.schema[name].dataType, VariantType)
+        return (F.to_json(name) if variant else F.col(name)).alias(name)
+
+    texts = postgame.select(F.col(MATCH).cast("bigint"), as_text("doc"), as_text("header"))
+    return texts.mapInArrow(_flatten, _RECORDS)
 
 
 def postgame_totals(postgame: DataFrame) -> DataFrame:
     """Food, wood, gold and stone each player collected, one row per player found.
 
-    Known containers win over records anywhere, those over the header, and that
-    over records without ids taken in list order. A document is one row and is
-    read in place; each later source is only evaluated where the ones before gave
-    nothing.
+    Known containers win over records anywhere, those over the header, and that over records
+    without ids taken in list order. Of several records of a player the last counts. A document
+    is one row; its records are combined by player before they are shuffled.
     """
-    has_header = "header" in postgame.columns
-    parsed = evaluate_once(
-        postgame,
-        _doc=F.try_parse_json("doc"),
-        _header=F.try_parse_json("header") if has_header else _none("string").cast("variant"),
+    last = (
+        postgame_records(postgame)
+        .groupBy(MATCH, "source", "player")
+        .agg(F.max_by(F.struct(*RESOURCES), "place").alias("amounts"))
     )
-    known = evaluate_once(
-        parsed, _known=_usable(_or_empty(from_containers(F.col("_doc")), _ENTRY))
-    )
-    nothing_known = F.size("_known") == 0
-    walked = evaluate_once(
-        known,
-        _all=F.when(
-            nothing_known & F.col("_doc").isNotNull(), from_anywhere(F.col("doc"))
-        ).otherwise(F.array().cast(f"array<{_ENTRY}>")),
-    )
-    anywhere, header = _usable(F.col("_all")), _usable(from_header(F.col("_header")))
+    # At most one row per player and source by now.
+    first = F.min("source").over(Window.partitionBy(MATCH))
+    chosen = last.withColumn("first", first).filter(F.col("source") == F.col("first"))
     # Slots that hold only zeros are filled but not reported.
-    slots = _by_slot(F.col("_all"))
-    chosen = evaluate_once(
-        walked,
-        _found=F.when(~nothing_known, F.col("_known"))
-        .when(F.size(anywhere) > 0, anywhere)
-        .when(F.size(header) > 0, header)
-        .otherwise(slots),
-        _is_slot=nothing_known & (F.size(anywhere) == 0) & (F.size(header) == 0),
-    )
-    rows = chosen.select(MATCH, "_is_slot", F.posexplode("_found").alias("_order", "_entry"))
-    last = rows.groupBy(MATCH, F.col("_entry.player").alias("player"), "_is_slot").agg(
-        *[F.max_by(f"_entry.bucket.{r}", "_order").alias(r) for r in RESOURCES]
-    )
-    some = F.greatest(*RESOURCES) > 0
-    return last.filter(~F.col("_is_slot") | some).select(*KEY, *RESOURCES)
+    some = F.greatest(*[F.col(f"amounts.{r}") for r in RESOURCES]) > 0
+    kept = chosen.filter((F.col("source") != SLOT) | some)
+    return kept.select(*KEY, "amounts.*")
 
 
 def resource_ramp(

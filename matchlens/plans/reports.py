@@ -108,13 +108,17 @@ def match_summary(tables: MatchTables) -> DataFrame:
 
 
 def stock_total(tables: MatchTables, window_s=DEFAULT_WINDOW) -> DataFrame:
-    """Total stock of each player: from snapshots, else estimated from actions."""
+    """Total stock of each player: from snapshots, else estimated from actions.
+
+    Matches with a stock are taken out of the actions before these are priced.
+    """
     known = stock.sync_stock(tables.snapshots, window_s)
-    estimated = resources.approx_total_balance(tables.actions, window_s).withColumn(
+    covered = stock.matches_with_stock(tables.snapshots)
+    open_ = tables.actions.join(covered, MATCH, "left_anti")
+    estimated = resources.approx_total_balance(open_, window_s).withColumn(
         "value", F.col("value").cast("double")
     )
-    without = estimated.join(stock.matches_with_stock(tables.snapshots), MATCH, "left_anti")
-    return known.unionByName(without)
+    return known.unionByName(estimated)
 
 
 def resource_view(

@@ -201,7 +201,7 @@ firsts AS (
 
 _TOTALS = """
 totals AS (
-  SELECT match_id, player,
+  SELECT match_id, CAST(player AS BIGINT) AS player,
          CAST(100 * count(*) FILTER (event_type = 'click') AS DOUBLE) AS food,
          CAST(100 * count(*) FILTER (event_type = 'view') AS DOUBLE) AS wood,
          CAST(100 * count(*) FILTER (event_type = 'purchase') AS DOUBLE) AS gold,
@@ -215,6 +215,47 @@ FROM players LEFT JOIN
   (SELECT match_id, player, sum(items) AS v FROM vill GROUP BY ALL) USING (match_id, player)"""
 
 
+def _ramp(r: str) -> str:
+    return f"""
+WITH {_ACTIONS}, {_TOTALS}, scope AS (
+  SELECT match_id, (duration_us + {W - 1}) // {W} AS n FROM matches),
+ramp AS (
+  SELECT p.match_id, p.player, coalesce(t.{r}, 0.0) AS total, n, unnest(range(n)) AS bin
+  FROM players p JOIN scope USING (match_id)
+  LEFT JOIN totals t ON t.match_id = p.match_id AND t.player = p.player)
+{_series('''CASE WHEN bin = 0 THEN 0.0 WHEN bin = n - 1 THEN total
+         ELSE CAST(bin AS DOUBLE) * (total / CAST(n - 1 AS DOUBLE)) END''', of="ramp")}"""
+
+
+def _noted(is_match: str) -> str:
+    return f"""
+WITH {_ACTIONS}, vill AS (
+  SELECT match_id, player, CAST(sum(items) AS BIGINT) AS v FROM actions
+  WHERE {_PROD} AND player IS NOT NULL AND ({is_match}) GROUP BY ALL)
+SELECT match_id, player, coalesce(v, 0) AS villagers
+FROM players LEFT JOIN vill USING (match_id, player)"""
+
+
+def _pattern_hits(patterns: dict[str, str]) -> str:
+    listed = ", ".join(f"('{u}', '{p}')" for u, p in patterns.items())
+    return f"""
+WITH {_ACTIONS}, patterns(name, pattern) AS (VALUES {listed})
+SELECT match_id, p.name AS unit, count(*) AS n, CAST(sum(items) AS BIGINT) AS items
+FROM actions a JOIN patterns p ON regexp_matches(a.unit, p.pattern, 'i')
+WHERE {_PROD} AND player IS NOT NULL GROUP BY ALL"""
+
+
+def _rounded(summary: str) -> str:
+    places = ", ".join(
+        f"CAST(round(CAST({c} AS DECIMAL(30, 10)), 1) AS DOUBLE) AS {c}"
+        for c in ("tc_idle_s", "tc_idle_pct", "apm_mean", "apm_peak")
+    )
+    return f"SELECT match_id, player, name, villagers_trained, {places} FROM ({summary})"
+
+
+_IS_VILLAGER = "unit IN ('Villager', 'Aldeano')"
+
+
 def all_oracles() -> dict[str, str]:
     sql = {
         "prod_events": f"""
@@ -222,12 +263,7 @@ WITH {_ACTIONS} SELECT match_id, seq, player, t_us, type FROM actions WHERE {_PR
         "unit_names": f"""
 WITH {_ACTIONS}
 SELECT match_id, seq, CASE WHEN seq % 4 <> 0 THEN unit END AS name FROM actions WHERE {_PROD}""",
-        "unit_pattern_hits": f"""
-WITH {_ACTIONS}, patterns(name, pattern) AS (VALUES
-  {", ".join(f"('{u}', '{p}')" for u, p in UNIT_PATTERNS.items())})
-SELECT match_id, p.name AS unit, count(*) AS n, CAST(sum(items) AS BIGINT) AS items
-FROM actions a JOIN patterns p ON regexp_matches(a.unit, p.pattern, 'i')
-WHERE {_PROD} AND player IS NOT NULL GROUP BY ALL""",
+        "unit_pattern_hits": _pattern_hits(UNIT_PATTERNS),
         "unit_string_hits": f"""
 WITH {_ACTIONS}, hits AS (
   SELECT match_id, seq, type, coalesce(unit, building, tech) AS hit,
@@ -325,14 +361,6 @@ SELECT * FROM ({_series(f"CAST({_RUNNING} + 700 AS DOUBLE)")})
 WHERE match_id NOT IN (SELECT match_id FROM stock)""",
         "postgame_totals": f"""
 WITH {_ACTIONS}, {_TOTALS} SELECT match_id, player, food, wood, gold, stone FROM totals""",
-        "resource_ramp": f"""
-WITH {_ACTIONS}, {_TOTALS}, scope AS (
-  SELECT match_id, (duration_us + {W - 1}) // {W} AS n FROM matches),
-ramp AS (
-  SELECT match_id, player, coalesce(food, 0.0) AS total, n, unnest(range(n)) AS bin
-  FROM players JOIN scope USING (match_id) LEFT JOIN totals USING (match_id, player))
-{_series('''CASE WHEN bin = 0 THEN 0.0 WHEN bin = n - 1 THEN total
-         ELSE CAST(bin AS DOUBLE) * (total / CAST(n - 1 AS DOUBLE)) END''', of="ramp")}""",
         "player_summary": f"""
 WITH {_ACTIONS}, {_VILLAGERS}, {_windows(_APM)}, {_stats("dense")},
 idle AS (
@@ -357,7 +385,74 @@ WITH {_ACTIONS}, listed AS (
 SELECT match_id, CAST(duration_us AS DOUBLE) / 1000000 AS duration_s, n_players, players_json
 FROM matches JOIN listed USING (match_id)""",
     }
+    own = {"Villager": "villager", "Gatherer": "villager|aldean"}
+    sql |= {
+        "unit_pattern_hits_own": _pattern_hits(
+            own | {u: p for u, p in UNIT_PATTERNS.items() if u not in own}
+        ),
+        "villager_names": f"""
+WITH {_ACTIONS}
+SELECT match_id, seq, CASE WHEN seq % 4 <> 0 THEN unit END AS name,
+       seq % 4 <> 0 AND {_IS_VILLAGER} AS is_villager
+FROM actions WHERE {_PROD}""",
+        "villager_counts_noted": _noted(f"{_IS_VILLAGER} OR seq % 3 = 1"),
+        "villager_counts_noted_strict": _noted(
+            f"{_IS_VILLAGER} OR (seq % 3 = 1 AND seq % 4 = 0)"
+        ),
+        "villager_counts_repeated_keys": _COUNTS,
+        "apm_selected_or_all": f"""
+WITH {_ACTIONS}, {_windows("""
+  SELECT match_id, player, t_us, 1 AS v FROM actions
+  WHERE player IS NOT NULL AND NOT (match_id % 2 = 1 AND player = 1)""")},
+chosen AS (SELECT match_id, bool_or(player = 1) AS one FROM who GROUP BY match_id)
+{_series("CAST(v * 60 AS DOUBLE) / 60", of="dense JOIN chosen USING (match_id)")}
+WHERE player = 1 OR NOT one""",
+        "apm_minutes": f"""
+SELECT *, CAST(time_sec AS DOUBLE) / 60 AS time_min FROM ({_apm()})""",
+        "actions_reread": f"""
+WITH {_ACTIONS}, payloads AS (SELECT *, CASE
+    WHEN event_type IN ('click', 'view') THEN CASE seq % 4
+      WHEN 0 THEN '{{"unit":"' || unit || '","amount":' || items || '}}'
+      WHEN 1 THEN '{{"unit_name":"' || unit || '","count":' || items || '}}'
+      WHEN 2 THEN '{{"object_name":"' || unit || '","quantity":' || items || '}}'
+      ELSE '{{"unit":{{"name":"' || unit || '"}},"n":' || items || '}}' END
+    WHEN event_type = 'signup' THEN '{{"building":"' || building || '"}}'
+    WHEN event_type = 'purchase' THEN '{{"technology":"' || tech || '"}}'
+    WHEN event_type = 'error' THEN '{{"resource":"' || res || '","amount":100}}' END AS payload
+  FROM actions)
+SELECT match_id, player, seq, t_us, type, payload, true AS source_file FROM payloads""",
+        "matches_reread_json": f"""
+WITH {_ACTIONS}
+SELECT match_id, duration_us, CAST(NULL AS INTEGER) AS map_id, CAST(NULL AS VARCHAR) AS map_name,
+       CAST(NULL AS VARCHAR) AS version, true AS source_file FROM matches""",
+        "sync_packets": f"""
+WITH {_ACTIONS}
+SELECT match_id, player, seq, t_us, CASE WHEN player IS NULL THEN 0.0 ELSE value END AS total_res
+FROM actions WHERE event_type = 'view' AND match_id % 2 = 0""",
+        "events_in_time_order": sql["important_events"],
+        "action_types_by_frequency": sql["action_type_counts"],
+        "player_summary_rounded": _rounded(sql["player_summary"]),
+        "spend_has_data_food": f"""
+SELECT match_id, sum(value) <> 0 AS has_data FROM ({_spend("food")}) GROUP BY match_id""",
+        "postgame_totals_slots": f"""
+WITH {_ACTIONS}, {_TOTALS}, placed AS (
+  SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY player) AS player,
+         food, wood, gold, stone FROM totals)
+SELECT * FROM placed WHERE greatest(food, wood, gold, stone) > 0""",
+        "postgame_totals_header": f"""
+WITH {_ACTIONS}, {_TOTALS}
+SELECT match_id, player, food, wood, gold, stone FROM totals
+WHERE greatest(food, wood, gold, stone) > 0""",
+        "postgame_totals_nested": f"""
+WITH {_ACTIONS}, {_TOTALS}
+SELECT match_id, player + 76561198000000000 AS player, food, wood, gold, stone FROM totals""",
+        "postgame_totals_keys": sql["postgame_totals"],
+        "postgame_totals_walk": sql["postgame_totals"],
+        "resource_ramp": _ramp("food"),
+    }
     for r in RESOURCES:
+        if r != "food":
+            sql[f"resource_ramp_{r}"] = _ramp(r)
         sql[f"resource_spend_{r}"] = _spend(r)
         sql[f"resource_balance_{r}"] = _balance(r)
     return {name: text.strip() for name, text in sql.items()}

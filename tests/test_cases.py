@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +311,61 @@ def test_series_of_several_matches_are_independent(spark):
     apm = activity.apm_timeseries(first.union(second)).groupBy("match_id").count().collect()
     assert {r["match_id"]: r["count"] for r in apm} == {1: 10, 2: 1}
     assert series.has_data(activity.apm_timeseries(first)).collect()[0]["has_data"] is True
+
+
+# -- post-game documents ------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("doc", "rows"),
+    [
+        # an economy five objects down, and one behind white space
+        (
+            '{"a":{"player":1,"economy":{"economy":{"economy":{"economy":{"economy":'
+            '{"food":4,"wood":2}}}}}}}',
+            [(1, 4.0, 2.0, 0.0, 0.0)],
+        ),
+        ('\n\t {"x":{"player":1,"food":3,"wood":1}}', [(1, 3.0, 1.0, 0.0, 0.0)]),
+        # text is not looked into
+        (
+            '{"x":{"player":1,"food":3,"wood":1},"raw":"{\\"player\\":7,\\"food\\":1,\\"wood\\":1}"}',
+            [(1, 3.0, 1.0, 0.0, 0.0)],
+        ),
+        # long ids, repeated keys, a broken document
+        (
+            '{"players":[{"player_id":76561198000000001,"food":2,"wood":1}]}',
+            [(76561198000000001, 2.0, 1.0, 0.0, 0.0)],
+        ),
+        ('{"x":{"player":1,"food":1,"food":9,"wood":2}}', [(1, 9.0, 2.0, 0.0, 0.0)]),
+        ('{"players":[', []),
+        (None, []),
+        ("[" * 100_000, []),
+    ],
+    ids=["nested", "space", "text", "long id", "repeated key", "broken", "null", "too deep"],
+)
+def test_postgame_documents(spark, doc, rows):
+    frame = spark.createDataFrame([(1, doc, None)], "match_id long, doc string, header string")
+    found = postgame.postgame_totals(frame).drop("match_id").collect()
+    assert [tuple(row) for row in found] == rows
+
+
+def test_a_header_with_text_for_an_amount_does_not_count(spark):
+    header = '[{"number":1,"achievements":{"economy":{"food_collected":%s}}}]'
+    rows = [(1, "{}", header % 5), (2, "{}", header % '"many"')]
+    frame = spark.createDataFrame(rows, "match_id long, doc string, header string")
+    assert [row.match_id for row in postgame.postgame_totals(frame).collect()] == [1]
+
+
+def test_a_long_document_is_read_in_linear_time(spark):
+    many = json.dumps([{"a": {"z": i, "player": i, "food": i, "wood": 1}} for i in range(1, 8001)])
+    frame = spark.createDataFrame([(1, many, None)], "match_id long, doc string, header string")
+    started = time.monotonic()
+    assert postgame.postgame_totals(frame).count() == 8000
+    assert time.monotonic() - started < 30
+
+
+def test_the_last_of_a_repeated_key_counts(spark):
+    row = (1, 1, 1, 0, "DE_QUEUE", '{"unit_name":"Monk","unit_name":"Villager","n":2}')
+    names = "match_id long, player int, seq long, t_us long, type string, payload string"
+    found = payload.matching_actions(spark.createDataFrame([row], names), VILLAGER).collect()
+    assert [row["items"] for row in found] == [2]

@@ -37,7 +37,8 @@ def test_no_query_needs_a_single_task_or_all_pairs(spark, stored, name):
 
 
 SERIES = [n for n in BY_NAME if n.startswith(("apm_timeseries", "units_", "resource_spend",
-                                              "resource_balance", "total_", "approx_", "sync_"))]
+                                              "resource_balance", "total_", "approx_",
+                                              "sync_stock"))]
 
 
 @pytest.mark.parametrize("name", SERIES)
@@ -80,3 +81,11 @@ def test_samples_are_limited_before_the_shuffle(spark, stored):
     for name in ("action_samples", "unit_string_hits"):
         plan = _plan(spark, BY_NAME[name](stored))
         assert "WindowGroupLimit" in plan[plan.index("Exchange") :]
+
+
+def test_only_matches_without_stock_are_priced(spark, stored):
+    plan = _plan(spark, BY_NAME["stock_total"](stored))
+    # Operators are printed from the result down: the parsing of payloads is above the anti join.
+    assert plan.count("LeftAnti") == 1
+    assert plan.index("parseJson") < plan.index("LeftAnti")
+    assert "parseJson" not in plan[plan.index("LeftAnti") :]
