@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from matchlens.llm.store import free_name, row_key, ship, written
 
 #: Buckets of all hashed n-grams; the model is one number for each.
-BUCKETS = 1 << 20
+BUCKETS, BLOCK = 1 << 20, 1 << 12
 PASSAGE, BEGINNING, SHAPE = 32, 5, 8
 #: Log weights are worst passages divided by this; the noise has a spread of about one.
 TEMPERATURE = 0.05
@@ -138,16 +139,34 @@ def count_grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The log ratio of each kind and bucket, less the target text's mean of its kind.
 
-    The driver gets at most ``KINDS`` * ``BUCKETS`` rows, whatever the size of the corpus.
-    Without target text all ratios are zero.
+    Without target text all ratios are zero. The ratios reach the driver as blocks of numbers:
+    ``KINDS`` * ``BUCKETS`` of four bytes at most, whatever the size of the corpus.
     """
-    counts = count_grams(docs, labels).toPandas()
+    counts = written(count_grams(docs, labels), "counts")
+    of, into = (F.col(c).cast("double") for c in ("target", "raw"))
+    totals = counts.groupBy("kind").agg(F.sum(of).alias("all_target"), F.sum(into).alias("all_raw"))
+    expected = into * F.col("all_target") / F.col("all_raw")
+    rated = counts.join(totals, "kind").where("all_target > 0")
+    rated = rated.select("kind", "bucket", "target", F.log((of + 1) / (expected + 1)).alias("ratio"))
+    means = rated.groupBy("kind").agg(F.sum(of * F.col("ratio")) / F.sum(of)).collect()
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows["bucket"].iloc[0] // BLOCK * BLOCK
+        numbers = np.zeros(BLOCK, dtype=np.float32)
+        numbers[rows["bucket"] - first] = rows["ratio"]
+        there = np.zeros(BLOCK, dtype=bool)
+        there[rows["bucket"] - first] = True
+        found = {"first": [first], "ratios": [numbers.tobytes()], "there": [there.tobytes()]}
+        return pd.DataFrame({"kind": rows["kind"].iloc[:1], **found})
+
+    blocks = rated.groupBy("kind", (F.col("bucket") / BLOCK).cast("int")).applyInPandas(
+        block, "kind int, first int, ratios binary, there binary"
+    )
     model = np.zeros((KINDS, BUCKETS), dtype=np.float32)
-    for kind, rows in counts.groupby("kind"):
-        target, raw = rows["target"].to_numpy(float), rows["raw"].to_numpy(float)
-        if target.sum():
-            ratio = np.log((target + 1) / (raw * (target.sum() / raw.sum()) + 1))
-            model[kind, rows["bucket"]] = ratio - (ratio * target).sum() / target.sum()
+    mean = dict(map(tuple, means))
+    for kind, first, ratios, there in blocks.collect():
+        centred = np.frombuffer(ratios, np.float32) - np.frombuffer(there, bool) * mean[kind]
+        model[kind, first : first + BLOCK] = centred
     return model
 
 

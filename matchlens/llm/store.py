@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FOLDER = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is named, a local one of this session."""
-    folder = spark.conf.get(FOLDER, None)
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="matchlens-")
-        spark.conf.set(FOLDER, folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+from matchlens.functions.workers import ship
+from matchlens.sources.scratch import fresh_path
 
+__all__ = ["free_name", "fresh_path", "numbered", "partitions", "row_key", "ship", "written"]
 
 def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """The rows of ``df`` from a table written in the shared folder.
@@ -37,20 +21,6 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for a session's context: they need not have
-    it installed."""
-    context = spark.sparkContext
-    if not getattr(context, "_matchlens_shipped", False):
-        package = Path(__file__).resolve().parents[1]
-        name = f"matchlens-{uuid.uuid4().hex}"
-        archive = shutil.make_archive(
-            f"{tempfile.mkdtemp()}/{name}", "zip", package.parent, package.name
-        )
-        context.addPyFile(archive)
-        context._matchlens_shipped = True
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}

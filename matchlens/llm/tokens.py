@@ -18,6 +18,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _stays_letter(c: str) -> bool:
+    """Latin letters that are one letter also when normalised and in lower case."""
+    return c < "\u0250" and c != "\u0130" and c.isalpha()
+
+
 class Encoder(dict):
     """Ids as little-endian unsigned 32-bit integers, equal to the library's for whole texts.
 
@@ -34,7 +39,7 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
+        if len(word) > 1 and word[-1] in ",." and _stays_letter(word[-2]):
             ids = self[word[:-1]] + self[word[-1]]
         elif word.isascii() and word != word.lower() and "<" not in word:
             ids = self[word.lower()]
