@@ -13,7 +13,7 @@ ratios less what target text has on average, divided by the root of the run's le
 
 Documents are drawn without replacement by Gumbel top-k: the k with the largest log weight plus
 Gumbel noise. k is the number of documents whose weight is at least the cut that separates the
-labelled good from the rest best. Every count, k and the k-th key cover all documents.
+labelled good from the rest best, among labelled documents whose words were not counted. Every count, k and the k-th key cover all documents.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ PASSAGE, BEGINNING, SHAPE = 32, 5, 8
 TEMPERATURE = 0.05
 #: About so many labelled rows are used at most, those of the smallest hashes.
 MOST_LABELS = 200_000
+HELD = 4
 KINDS, SHAPES = 3, 2
 #: How many times its share a lost good document counts against a rejected bad one.
-CARE = 4
+CARE = 2
 REMEMBERED, LONGEST = 1 << 19, 64
 _ROUNDS, _BINS = 4, 4096
 
@@ -77,27 +78,30 @@ def _grams() -> _Grams:
 
 
 def labelled(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """(doc_id, good): documents with labels, about ``most`` at most. Several labels of one
-    document must all be good; a document with a null among them is left out."""
+    """(doc_id, good, held): documents with labels, about ``most`` at most. Several labels of
+    one document must all be good; a document with a null among them is left out. Held ones,
+    one in ``HELD``, are not counted as target text: the cut is found on them, as the words of
+    counted ones look more usual than those of other documents."""
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     rows = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     rows = rows.agg(F.min(good).alias("good"), F.max(good.isNull()).alias("unsure"))
     rows = written(rows.where("not unsure").drop("unsure"), "labels")
     n, space = rows.count(), 1 << 40
     share = int(space * min(1.0, most / max(n, 1)))
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share)
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share)
+    return rows.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(HELD)) == 0)
 
 
 def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, row_key, text, good); good is null without a label. The labels are few by
-    construction, see ``labelled``."""
+    """(doc_id, row_key, text, good, held), the last two null without a label. The labels are
+    few by construction, see ``labelled``."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         row_key("doc_id", "text").alias("row_key"),
         F.col("text").cast("string").alias("text"),
     )
     return texts.join(F.broadcast(labels), "doc_id", "left").select(
-        "doc_id", "row_key", "text", "good"
+        "doc_id", "row_key", "text", "good", "held"
     )
 
 
@@ -110,12 +114,12 @@ def count_grams(docs: DataFrame, labels: DataFrame) -> DataFrame:
         raw = np.zeros((KINDS, BUCKETS), dtype=np.int64)
         target = np.zeros((KINDS, BUCKETS), dtype=np.int64)
         for batch in batches:
-            for text, good in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+            for text, good, held in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 for kind, buckets in enumerate(_grams().of(text)):
                     there, n = np.unique(buckets, return_counts=True)
                     n = n if kind == SHAPES else 1
                     raw[kind, there] += n
-                    if good:
+                    if good and not held:
                         target[kind, there] += n
         kind, bucket = raw.nonzero()
         yield pa.RecordBatch.from_arrays(
@@ -181,7 +185,7 @@ def worst_passage(ratios: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, row_key, worst, good) of every row of ``docs``."""
+    """(doc_id, row_key, worst, good, held) of every row of ``docs``."""
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
@@ -191,21 +195,21 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column(2).to_pylist()
             worst = [worst_passage(model.value[kinds, _grams().of(text)]) for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(worst, pa.float64()), batch.column(3)],
-                names=["doc_id", "row_key", "worst", "good"],
+                [*batch.columns[:2], pa.array(worst, pa.float64()), *batch.columns[3:]],
+                names=["doc_id", "row_key", "worst", "good", "held"],
             )
 
     return _marked(docs, labels).mapInArrow(
-        weigh, "doc_id long, row_key long, worst double, good boolean"
+        weigh, "doc_id long, row_key long, worst double, good boolean, held boolean"
     )
 
 
 def best_cut(scored: DataFrame) -> float:
-    """The least loss among labelled documents, if what is at or above it is kept: the share of
+    """The least loss among held documents, if what is at or above it is kept: the share of
     bad ones kept plus ``CARE`` times the share of good ones lost. Keeps all if either are
     missing."""
     step = 0.05
-    bins = scored.where("good is not null").groupBy(F.floor(F.col("worst") / step).alias("bin"))
+    bins = scored.where("held").groupBy(F.floor(F.col("worst") / step).alias("bin"))
     bins = bins.agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("good").alias("n"))
     bins = bins.toPandas().sort_values("bin")  # as many as there are steps between scores
     good, bad = bins["good"].to_numpy(float), (bins["n"] - bins["good"]).to_numpy(float)
