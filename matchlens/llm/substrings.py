@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from matchlens.llm.store import row_key, ship, written
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # inner runs of a string
-#: Strings in a run, at most; bytes of a document that are looked at together.
+#: Strings in a run, at most; bytes that are looked at together.
 LONGEST_RUN, CHUNK = 128, 1 << 20
 #: Bytes of a shard, and of the collections that a task sorts at a time; runs of one anchor.
 SHARD, BATCH, CROWD = 1 << 16, 1 << 19, 2048
-#: Documents up to which their keys are broadcast (16 bytes each).
-HELD_KEYS = 1_000_000
+#: Documents up to which their keys are broadcast (16 bytes each), anchors likewise (8 bytes).
+HELD_KEYS, HELD_ANCHORS = 1_000_000, 2_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(29)
@@ -47,9 +48,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Of each run of ``GRAM`` = 16 bytes."""
+    """Of each run of ``GRAM`` bytes, eight at a time."""
     eight = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
-    return _mix(_mix(eight[:-8]) * _B + eight[8:])
+    n = len(data) - GRAM + 1
+    found = eight[:n] * _B
+    for at in range(8, GRAM, 8):
+        found = _mix(found) * _B + eight[at : at + n]
+    return _mix(found)
 
 
 def _sliding(values: np.ndarray, span: int, least) -> np.ndarray:
@@ -61,39 +66,71 @@ def _sliding(values: np.ndarray, span: int, least) -> np.ndarray:
     return least(values[:-rest], values[rest:]) if rest else values
 
 
-def runs(data: np.ndarray, hashed: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor, start, strings, tied) of the runs of a text, a chunk at a time. Tied: the anchor
-    stands in the run more than once, so it may hold equal strings. With ``hashed`` also a hash
-    of the run's bytes."""
-    total = len(data) - LENGTH + 1
-    for base in range(0, max(total, 0), CHUNK):
-        part = data[base : base + CHUNK + LENGTH - 1]
-        grams = _gram_hashes(part)
-        least = _sliding(grams, SPAN, np.minimum)
-        starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        ends = np.append(starts[1:], len(least))
-        if (ends - starts).max() > LONGEST_RUN:
-            pieces = [np.arange(s, e, LONGEST_RUN) for s, e in zip(starts, ends, strict=True)]
-            starts = np.concatenate(pieces)
-            ends = np.append(starts[1:], len(least))
-        # a gram is an anchor if it is the least of some string: the largest least it is part of
-        reached = _sliding(np.pad(least, SPAN - 1, mode="edge"), SPAN, np.maximum)
-        at = np.flatnonzero(grams == reached)
-        again = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < SPAN + LONGEST_RUN)
-        again = np.append(0, np.cumsum(again))  # pairs up to an anchor
-        first, last = np.searchsorted(at, starts), np.searchsorted(at, ends + SPAN - 1) - 1
-        tied = again[np.maximum(last, first)] > again[first]
-        out = least[starts].view("<i8"), starts + base, ends - starts, tied
-        if not hashed:
-            yield out
-            continue
+class Runs(NamedTuple):
+    """Runs of several texts; ``text`` is the number of the text. Tied: the anchor stands in the
+    run more than once, so it may hold equal strings."""
+
+    text: np.ndarray
+    start: np.ndarray
+    strings: np.ndarray
+    anchor: np.ndarray
+    tied: np.ndarray
+    whole: np.ndarray  # a hash of the run's bytes
+
+
+def runs(texts: list[bytes], hashed: bool) -> Iterator[Runs]:
+    """The runs of texts; short ones are looked at together, long ones a chunk at a time."""
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for base in range(0, max(len(text) - LENGTH + 1, 0), CHUNK):
+            held.append((k, base, text[base : base + CHUNK + LENGTH - 1]))
+            size += len(held[-1][2])
+            if size >= CHUNK:
+                yield _runs(held, hashed)
+                held, size = [], 0
+    if held:
+        yield _runs(held, hashed)
+
+
+def _runs(pieces: list[tuple[int, int, bytes]], hashed: bool) -> Runs:
+    data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    sizes = np.array([len(p[2]) for p in pieces])
+    firsts = np.cumsum(sizes) - sizes
+    grams = _gram_hashes(data)
+    least = _sliding(grams, SPAN, np.minimum)
+    inside = np.zeros(len(least) + 1, dtype=np.int8)  # strings that lie in one piece
+    inside[firsts] += 1
+    inside[firsts + sizes - LENGTH + 1] -= 1
+    inside = np.cumsum(inside, dtype=np.int8)[:-1].astype(bool)
+    new = np.append(True, least[1:] != least[:-1]) | np.append(True, inside[1:] != inside[:-1])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(least))
+    starts, ends = starts[inside[starts]], ends[inside[starts]]
+    if (ends - starts).max() > LONGEST_RUN:
+        cut = [np.arange(s, e, LONGEST_RUN) for s, e in zip(starts, ends, strict=True)]
+        ends = np.concatenate([np.append(c[1:], e) for c, e in zip(cut, ends, strict=True)])
+        starts = np.concatenate(cut)
+    # a gram is an anchor if it is the least of some string: the largest least it is part of
+    reached = _sliding(np.pad(least, SPAN - 1, mode="edge"), SPAN, np.maximum)
+    at = np.flatnonzero(grams == reached)
+    again = (grams[at[1:]] == grams[at[:-1]]) & (np.diff(at) < SPAN + LONGEST_RUN)
+    again = np.append(0, np.cumsum(again))  # pairs up to an anchor
+    first, last = np.searchsorted(at, starts), np.searchsorted(at, ends + SPAN - 1) - 1
+    tied = again[np.maximum(last, first)] > again[first]
+    piece = np.searchsorted(firsts, starts, side="right") - 1
+    text, base = (np.array([p[i] for p in pieces]) for i in (0, 1))
+    whole = starts
+    if hashed:
         powers = np.full(len(grams), _B)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
         sums = np.append(np.uint64(0), np.cumsum(_mix(grams + _A) * powers, dtype="<u8"))
-        # every sum is moved to the chunk's last power, and then by what that is too much
+        # every sum is moved to the last power, and then by what that is too much
         whole = (sums[ends + SPAN - 1] - sums[starts]) * powers[len(grams) - 1 - starts]
-        yield (*out, _mix(whole * _scale(len(grams))).view("<i8"))
+        whole = _mix(whole * _scale(len(grams))).view("<i8")
+    place = base[piece] + starts - firsts[piece]
+    return Runs(text[piece], place, ends - starts, least[starts].view("<i8"), tied, whole)
 
 
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -218,50 +255,39 @@ def _keyed(df: DataFrame, *more: str) -> DataFrame:
 
 
 def _spots(rows: DataFrame) -> DataFrame:
-    """(anchor, whole, tied, doc_id, row_key, start, n): runs whose anchor also stands elsewhere,
-    but for places that only exact copies of a text have in common."""
+    """(anchor, whole, tied, doc_id, row_key, start, n): runs whose anchor also stands elsewhere."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, copy in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
-                key = np.array([copy], dtype="<i8").view("<u8")
-                for anchor, start, _, tied in runs(np.frombuffer(text, np.uint8), False):
-                    spot = _mix(key + start.astype("<u8") * _B).view("<i8")
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.append(anchor, anchor[tied])),
-                            pa.array(np.append(spot, ~spot[tied])),  # counts as two places
-                        ],
-                        names=["anchor", "spot"],
-                    )
+            for found in runs(batch.column(0).to_pylist(), False):
+                twice = found.anchor[found.tied]  # counts as two places
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(found.anchor, twice))], names=["anchor"]
+                )
 
     def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "whole", "tied", "doc_id", "row_key", "start", "n"]
         for batch in batches:
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for anchor, start, n, tied, whole in runs(np.frombuffer(text, np.uint8), True):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(anchor),
-                            pa.array(whole),
-                            pa.array(tied),
-                            pa.array([doc_id] * len(n), pa.int64()),
-                            pa.array([key] * len(n), pa.int64()),
-                            pa.array(start.astype("i8")),
-                            pa.array(n.astype("i4")),
-                        ],
-                        names=names,
-                    )
+            for found in runs(batch.column(2).to_pylist(), True):
+                own = pa.array(found.text)
+                columns = [
+                    pa.array(found.anchor),
+                    pa.array(found.whole),
+                    pa.array(found.tied),
+                    batch.column(0).take(own),
+                    batch.column(1).take(own),
+                    pa.array(found.start.astype("i8")),
+                    pa.array(found.strings.astype("i4")),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     long = rows.where(F.octet_length("text") >= LENGTH)
-    seen = long.select("text", F.xxhash64("text").alias("copy")).mapInArrow(
-        anchors, "anchor long, spot long"
-    )
-    seen = seen.groupBy("anchor").agg(F.min("spot").alias("low"), F.max("spot").alias("high"))
-    shared = written(seen.where("low <> high").select("anchor"), "anchors")
+    seen = long.select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").count()
+    shared = written(seen.where("count > 1").select("anchor"), "anchors")
+    held = shared if shared.count() > HELD_ANCHORS else F.broadcast(shared)
     schema = "anchor long, whole long, tied boolean, doc_id long, row_key long, start long, n int"
     found = long.select("doc_id", "row_key", "text").mapInArrow(whole_runs, schema)
-    return written(found.join(shared, "anchor"), "spots")
+    return written(found.join(held, "anchor"), "spots")
 
 
 PLACE = "doc_id long, row_key long, start long, stop long"
@@ -392,9 +418,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     first = written(first.where("times > 1").select("sha", "f"), "copied")
     copies = table.join(first, "sha").where(F.struct("doc_id", "row_key") > F.col("f"))
     copies = written(copies.select("doc_id", "row_key").distinct(), "copies")
-    places = repeated_places(rows)
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("row_key") == F.col("k_key"))
-    places = places.join(_keyed(copies), same, "left_anti")
+    known = _keyed(copies)
+    known = known if copies.count() > HELD_KEYS else F.broadcast(known)
+    places = repeated_places(rows.join(known, same, "left_anti"))
     lists = places.groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("start", "stop")).alias("places")  # of one document
     )
