@@ -99,9 +99,15 @@ def costs_frame(spark: SparkSession, costs=None) -> DataFrame:
     return spark.createDataFrame(rows, schema.COSTS)
 
 
+# What counts as white space around a name (that of Unicode, and four separators).
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+
+
 def normalized(name: Column) -> Column:
     """Lower case without surrounding white space."""
-    return F.lower(F.btrim(name, F.lit(" \t\n\r\x0b\x0c")))
+    return F.lower(F.btrim(name, F.lit(_SPACE)))
 
 
 def cost_row(kind: str, key: Column, costs=None) -> Column:

@@ -81,3 +81,12 @@ TABLES = {
     "snapshots": SNAPSHOTS,
     "postgame": POSTGAME,
 }
+
+DYNAMIC = ("payload", "doc", "header")
+
+
+def with_variants(table: T.StructType) -> T.StructType:
+    """The same table with its dynamic columns as VARIANT."""
+    return _struct(
+        *((f.name, T.VariantType() if f.name in DYNAMIC else f.dataType) for f in table.fields)
+    )

@@ -21,14 +21,20 @@ class MatchTables:
 
 
 def read_table(
-    spark: SparkSession, table: str, path, fmt: str = "parquet", lineage: bool = False
+    spark: SparkSession,
+    table: str,
+    path,
+    fmt: str = "parquet",
+    lineage: bool = False,
+    variant: bool = False,
 ) -> DataFrame:
     """Read one table (a key of ``schema.TABLES``) from files of any Spark format.
 
     ``path`` may be a glob or a list: all files are read. ``lineage`` adds the file
-    each row came from.
+    each row came from. ``variant``: payloads and documents are stored as VARIANT.
     """
-    df = spark.read.schema(schema.TABLES[table]).format(fmt).load(path)
+    kinds = schema.with_variants(schema.TABLES[table]) if variant else schema.TABLES[table]
+    df = spark.read.schema(kinds).format(fmt).load(path)
     return df.select("*", F.col("_metadata.file_path").alias("source_file")) if lineage else df
 
 

@@ -369,3 +369,17 @@ def test_the_last_of_a_repeated_key_counts(spark):
     names = "match_id long, player int, seq long, t_us long, type string, payload string"
     found = payload.matching_actions(spark.createDataFrame([row], names), VILLAGER).collect()
     assert [row["items"] for row in found] == [2]
+
+
+def test_payloads_may_be_stored_as_variant(spark, tmp_path):
+    rows = [(1, 1, 1, 0, "DE_QUEUE", '{"unit_name":"Villager","n":2}')]
+    frame = spark.createDataFrame(rows, schema.ACTIONS)
+    stored = frame.withColumn("payload", F.parse_json("payload"))
+    tables.write_table(stored, str(tmp_path / "actions"))
+    again = tables.read_table(spark, "actions", str(tmp_path / "actions"), variant=True)
+    assert [r["items"] for r in payload.matching_actions(again, VILLAGER).collect()] == [2]
+
+
+def test_names_are_stripped_of_any_white_space(spark):
+    frame = spark.createDataFrame([("\u00a0\u2003 Archer\u3000",)], "name string")
+    assert frame.select(costs.normalized(F.col("name"))).first()[0] == "archer"
