@@ -39,5 +39,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracles() -> dict[str, str]:
     return {
         "op1_line_dedup": lines.ORACLE,
+        "op4_suffix_dedup": substrings.ORACLE,
         "op5_decontamination": decontamination.ORACLE,
     }

@@ -465,3 +465,34 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digest: Column = F.when(F.col("kept").isNull(), F.col("sha")).otherwise(F.sha2("kept", 256))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest.alias("kept_sha256"))
+
+
+#: Texts as hexadecimal digits, two to a byte.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k
+    FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS s FROM d WHERE len(h) >= 200)),
+later AS (
+    SELECT doc_id, s FROM (
+        SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM strings)
+    WHERE nth > 1),
+breaks AS (
+    SELECT *, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS new
+    FROM later),
+counted AS (
+    SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) AS stretch FROM breaks),
+stretches AS (
+    SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM counted GROUP BY doc_id, stretch),
+around AS (
+    SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM stretches),
+taken AS (
+    SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept,
+        max(b) AS stop, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed
+    FROM around JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+    coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * stop + 1) END))
+    AS kept_sha256
+FROM d LEFT JOIN taken USING (doc_id)
+"""
