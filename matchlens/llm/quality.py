@@ -50,25 +50,41 @@ _EDGES = ".,;:!?()\"'"
 
 
 class _Grams(dict):
-    """Hashes of the n-grams of a word: of the word, its beginning and its shape."""
+    """Words by number; a table has the hashes of their n-grams: of the word, its beginning and
+    its shape."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    def __init__(self) -> None:
+        self.table = np.zeros((REMEMBERED, KINDS), dtype=np.int32)
+        self.used = 0
+
+    def __missing__(self, word: str) -> int:
+        number = self.used
+        if number == len(self.table):  # within one text; the table shrinks again with the next
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         core = word.strip(_EDGES)
-        shape = _RUNS.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub("a", word)))[:SHAPE]
-        parts = "w" + core, "b" + core[:BEGINNING], "s" + shape
-        grams = tuple(xxhash.xxh64_intdigest(p) % BUCKETS for p in parts)
+        if word.isalpha():
+            shape = "a"
+        elif word[:-1].isalpha():
+            shape = "a" + _DIGITS.sub("0", word[-1])
+        else:
+            shape = _RUNS.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub("a", word)))[:SHAPE]
+        for kind, gram in enumerate(("w" + core, "b" + core[:BEGINNING], "s" + shape)):
+            self.table[number, kind] = xxhash.xxh64_intdigest(gram) % BUCKETS
+        self.used += 1
         if len(word) <= LONGEST:
-            self[word] = grams
-        return grams
+            self[word] = number
+        return number
 
     def of(self, text: str | None) -> np.ndarray:
         """The buckets of a text: a row for each kind, a column for each word."""
-        if len(self) > REMEMBERED:
-            self.clear()
         words = (text or "").lower().split()
-        found = np.array(list(map(self.__getitem__, words)), dtype=np.int64).reshape(-1, KINDS).T
-        again = [x == y for x, y in zip(words[1:], words, strict=False)]
-        found[SHAPES, 1:] = (found[SHAPES, 1:] + 7919 * np.array(again, dtype=np.int64)) % BUCKETS
+        if self.used + len(words) > REMEMBERED and self.used:
+            self.clear()
+            self.__init__()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = self.table[numbers].T
+        again = numbers[1:] == numbers[:-1]
+        found[SHAPES, 1:] = (found[SHAPES, 1:] + 7919 * again) % BUCKETS
         return found
 
 
