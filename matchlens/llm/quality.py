@@ -164,10 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """
     counts = written(count_grams(docs, labels), "counts")
     of, into = (F.col(c).cast("double") for c in ("target", "raw"))
-    totals = counts.groupBy("kind").agg(F.sum(of).alias("all_target"), F.sum(into).alias("all_raw"))
-    expected = into * F.col("all_target") / F.col("all_raw")
-    rated = counts.join(totals, "kind").where("all_target > 0")
-    rated = rated.select("kind", "bucket", "target", F.log((of + 1) / (expected + 1)).alias("ratio"))
+    totals = counts.groupBy("kind").agg(F.sum(of), F.sum(into)).collect()  # a row for each kind
+    shares = [(kind, target / raw) for kind, target, raw in totals if target]
+    if not shares:
+        return np.zeros((KINDS, BUCKETS), dtype=np.float32)
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col("kind"))
+    rated = counts.where(F.col("kind").isin([kind for kind, _ in shares])).select(
+        "kind", "bucket", "target", F.log((of + 1) / (into * share + 1)).alias("ratio")
+    )
     means = rated.groupBy("kind").agg(F.sum(of * F.col("ratio")) / F.sum(of)).collect()
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
