@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.llm import decontamination, lines, packing, quality, simhash
+from matchlens.llm import decontamination, lines, packing, quality, simhash, wordsets
 from matchlens.llm.store import written
 
 
@@ -28,8 +28,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates, that with the smallest doc_id: linked by
+    fingerprints as in op6, or by four fifths of their runs of five words."""
+    return simhash.one_of_each(docs, wordsets.similar)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ variant in common, so a chain from the smallest of a variant to the others keeps
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -36,9 +36,14 @@ _FOLD = bytes.maketrans(
 _LOW_BITS = 0x1111111111111111
 
 
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words in lower case (ASCII letters only), parted by ASCII white space."""
+    return (text or b"").translate(_FOLD).split()
+
+
 def fingerprint(text: bytes | None) -> int:
     """Bit by bit, whether over half of the shingles' hashes have it. No words: 0."""
-    words = (text or b"").translate(_FOLD).split()
+    words = words_of(text)
     if not words:
         return 0
     if len(words) <= SHINGLE:
@@ -108,13 +113,17 @@ def near_links(marks: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(stars.select("a", F.col("mark").alias("b"))).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+#: Makes more links between roots, of ``docs`` and the (doc_id, row_key, root) of its rows.
+MoreLinks = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def near_duplicates(docs: DataFrame, more: MoreLinks | None = None) -> DataFrame:
     """(doc_id, row_key, root, fingerprint, component_id) of every row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links. Null, empty and wordless
     texts have fingerprint zero and link like any other. Null doc_ids are never smallest,
     unless a component has no other. Repeated rows get equal results; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Links of ``more`` count like those of fingerprints.
     """
     rows = written(fingerprints(docs), "fingerprints")
     marks = written(rows.groupBy("mark").agg(F.min("doc_id").alias("least")), "marks")
@@ -123,6 +132,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "mark", "least", F.coalesce("root", "mark").alias("root")
     )
     rooted = written(rooted, "rooted")
+    if more:
+        of_rows = rows.join(rooted, "mark").select("doc_id", "row_key", "root")
+        joined = components(more(docs, written(of_rows, "roots")))
+        joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(joined, "root", "left").select(
+            "mark", "least", F.coalesce("top", "root").alias("root")
+        )
+        rooted = written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = written(rooted.join(least, "root").select("mark", "root", "component_id"))
     return rows.join(found, "mark").select(
@@ -134,13 +151,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, more: MoreLinks | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component.
 
     Of rows with that same doc_id, those with the smallest (row_key) stay; exact repeats of a
     row stay as one. Components in which every doc_id is null keep one row.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, more)
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f")
     )
