@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from matchlens.llm.store import free_name, row_key, written
 
-#: Lines with fewer words always stay; lines from so many words on are also compared for edits.
+#: Bounds of the query, as in its SQL: lines with fewer words always stay; lines from so many words
+#: on are also compared for edits. Where all lines are compared, those with fewer words than the
+#: second are read by character, so that one edit in so many or more counts there, too.
 LEAST_WORDS, NEAR_WORDS = 3, 8
 #: How a line takes part in a meeting: with a gap at its place, with a word cut out anywhere, as
 #: it is. The first meet each other, the others meet across.
@@ -69,16 +71,24 @@ def _said(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_key", F.posexplode("lines").alias("line", "said"))
 
 
-def _read(said: DataFrame) -> DataFrame:
+def _read(said: DataFrame, every: bool) -> DataFrame:
     """Add words, n_words, marks (hashes of the words) and key to lines of ``LEAST_WORDS`` or
-    more."""
+    more, or to ``every`` line that is not blank. Of the latter, words are the characters (after
+    a line feed, which no word has) where there are enough of these but not of words."""
     rows = said.withColumn("words", _words(F.col("said"))).drop("said")
-    rows = rows.withColumn("n_words", F.size("words")).where(F.col("n_words") >= LEAST_WORDS)
+    if every:
+        rows = rows.withColumn("plain", F.array_join("words", " ")).where("plain <> ''")
+        is_short = (F.size("words") < NEAR_WORDS) & (F.char_length("plain") >= NEAR_WORDS)
+        letters = F.transform(F.split("plain", ""), lambda c: F.concat(F.lit("\n"), c))
+        rows = rows.withColumn("words", F.when(is_short, letters).otherwise(F.col("words")))
+        rows = rows.drop("plain").withColumn("n_words", F.size("words"))
+    else:
+        rows = rows.withColumn("n_words", F.size("words")).where(F.col("n_words") >= LEAST_WORDS)
     rows = rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
     return rows.withColumn("key", _key(F.col("marks")))
 
 
-def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
+def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: bool) -> DataFrame:
     """(order, words, marks, key, low, high): lines with a half in common with another line, at
     their earliest place, and between which words the edit to such a line must be."""
     halves = found.select("key", F.explode("halves").alias("half"))
@@ -98,16 +108,16 @@ def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFra
     n = F.col("n_words")
     low = F.when(F.col("tail"), 0).otherwise(F.floor((n - 1) / 2)).cast("int")
     high = F.when(F.col("head"), n - 1).otherwise(F.floor((n + 1) / 2)).cast("int")
-    lines = _read(chosen).select(
+    lines = _read(chosen, every).select(
         F.struct("doc_id", "row_key", "line").alias("order"), "words", "marks", "key",
         low.alias("low"), high.alias("high"),
     )
     return written(lines.dropDuplicates(["key"]), "candidates")
 
 
-def _near(docs: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: bool) -> DataFrame:
     """(key) of the lines that have an earlier line within one word."""
-    lines = _candidates(docs, found, firsts)
+    lines = _candidates(docs, found, firsts, every)
     marks = F.col("marks")
 
     def meetings(i: Column) -> Column:
@@ -149,18 +159,19 @@ def _one_edit() -> Column:
     )
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, line) of each line to remove; ``line`` counts from 0."""
+def removed_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """(doc_id, row_key, line) of each line to remove; ``line`` counts from 0. With ``every``,
+    lines of any number of words are compared, see ``_read``."""
     halves = F.when(
         F.col("n_words") >= NEAR_WORDS, _halves(F.col("marks"), F.col("n_words"))
     ).otherwise(F.array().cast("array<bigint>"))
-    found = _read(_said(docs)).select("doc_id", "row_key", "line", "key", halves.alias("halves"))
+    found = _read(_said(docs), every).select("doc_id", "row_key", "line", "key", halves.alias("halves"))
     found = written(found, "lines")
     firsts = found.groupBy("key").agg(
         F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count(F.lit(1)).alias("n")
     )
     firsts = written(firsts, "firsts")
-    near = written(_near(docs, found, firsts).withColumn("near", F.lit(True)), "near")
+    near = written(_near(docs, found, firsts, every).withColumn("near", F.lit(True)), "near")
     decided = firsts.where("n > 1").join(near, "key", "full").select("key", "first", "near")
     decided = written(decided, "decided")
     later = F.struct("doc_id", "row_key", "line") > F.col("first")
@@ -171,9 +182,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def mark_lines(docs: DataFrame, out: str = "removed") -> DataFrame:
+def mark_lines(docs: DataFrame, out: str = "removed", every: bool = False) -> DataFrame:
     """``docs`` with the sorted numbers of its lines to remove (null: none)."""
-    per_document = removed_lines(docs).groupBy("doc_id", "row_key").agg(
+    per_document = removed_lines(docs, every).groupBy("doc_id", "row_key").agg(
         F.array_sort(F.collect_set("line")).alias(out)
     )
     of, key = free_name(docs, "removed_of"), free_name(docs, "removed_key")
@@ -191,9 +202,12 @@ def kept_text(removed: Column) -> Column:
     return F.when(removed.isNull(), F.col("text")).otherwise(rest)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: bool = True) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; rows and other columns stay.
 
+    All lines but blank ones are compared, those of less than ``NEAR_WORDS`` words by character.
+    Without ``every``, the bounds of the query hold.
+
     The earliest line is that with the smallest (doc_id, line), null doc_ids first. Whether an
     earlier line goes itself does not matter. Null and empty texts stay as they are; a document
     that loses every line has an empty text. Exact repeats of a row count as one and all stay
@@ -201,7 +215,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     is cut at line feeds only; words are cut at blanks, tabs and carriage returns.
     """
     removed = free_name(docs, "removed")
-    marked = mark_lines(docs, removed)
+    marked = mark_lines(docs, removed, every)
     text = kept_text(F.col(removed)).alias("text")
     return marked.select(*[text if c.lower() == "text" else F.col(c) for c in docs.columns])
 

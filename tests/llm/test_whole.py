@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from matchlens.llm import simhash, wordsets
+from matchlens.llm import lines, simhash, wordsets
 
 
 def _runs(text):
@@ -38,3 +38,18 @@ def test_near_copies_leave_the_pipeline(spark, monkeypatch, paired):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(root)
     assert len(kept) < simhash.one_of_each(docs).count()
+
+
+def test_short_lines_are_compared(spark):
+    said = [
+        "les.\nand ornd.\n\n  \nabcdefgh\nthe cat sat on a mat", "LES.\nother\n\n \nand  ornd.",
+        "the cat sat on a hat\na b c d e f g h", "the cat sat on mat\nthe dog sat on a mat",
+        "我们今天去公园散步吧", "我们今天去公园跑步吧\n我们明天去公园跑步吧", "👍👍👍👍👍👍👍👍", "💥💥💥💥💥💥💥💥",
+        "other x\nles\nab\nabd",
+    ]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert left == {
+        0: said[0], 1: "other\n\n ", 2: "a b c d e f g h", 3: "the cat sat on mat\nthe dog sat on a mat",
+        4: said[4], 5: "", 6: said[6], 7: said[7], 8: said[8],
+    }
