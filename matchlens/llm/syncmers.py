@@ -3,9 +3,9 @@
 Only DataFrame functions. A syncmer is a run of ``K`` words whose smallest inner run of ``S``
 words (by hash) is its first or its last. Whether a run is chosen depends on its own words
 alone, so an edit changes no choice beyond the runs it touches, and of ``K`` - ``S`` + 1
-neighbours at least one is chosen. A fingerprint is the ``KEPT`` smallest distinct hashes of a
-document's syncmers; the likeness of two is the share of common hashes among the smallest of
-both, an estimate of the share of syncmers in common.
+neighbours at least one is chosen. A fingerprint is all distinct hashes of a document's syncmers;
+the likeness of two is the share of common hashes among those of both. ``passages`` also uses where
+the syncmers are: it matches those that two texts share at one offset.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchlens.llm.store import partitions, written
 
-K, S, KEPT = 5, 2, 64
+K, S = 5, 2
 #: Ranges of doc_id in which neighbours are sought: at least this many, and one for so many rows.
 ROWS_IN_RANGE, MOST_RANGES = 10_000, 1024
 
@@ -66,24 +66,55 @@ def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the smallest marks of the syncmers of ``text``, ascending and distinct."""
-    marks = F.array_sort(F.array_distinct(F.transform(out, lambda m: m["mark"])))
-    return with_syncmers(df, text, out).withColumn(out, F.slice(marks, 1, KEPT))
+    """Add ``out``: the marks of all syncmers of ``text``, ascending and distinct."""
+    marks = F.sort_array(F.array_distinct(F.transform(out, lambda m: m["mark"])))
+    return with_syncmers(df, text, out).withColumn(out, marks)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints: common ones among the ``KEPT`` smallest of both. Two of documents
-    without words are alike."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    common = F.size(F.array_intersect(both, F.array_intersect(a, b)))
-    return F.when(F.size(both) == 0, 1.0).otherwise(common / F.size(both))
+    """Of two fingerprints: common marks among all of both. Two of documents without words are
+    alike."""
+    all_, both = F.size(a) + F.size(b), F.size(F.array_union(a, b))
+    return F.when(all_ == 0, 1.0).otherwise((all_ - both) / both)
+
+
+def passages(pairs: DataFrame, key: str, text: str, other: str, least: int = 2) -> DataFrame:
+    """(``key``, at, other_at, n_words, n_marks): passages that ``text`` and ``other`` share, from
+    word ``at`` in one and ``other_at`` in the other on.
+
+    Shared marks lie on one passage if they have the same offset between the texts and their
+    syncmers overlap or touch (each counts as ``K`` words, also that of a shorter text); passages of
+    fewer than ``least`` marks are left out. Every place of
+    a mark is matched with every place in the other text, so rows grow with the repeats of a mark
+    within a pair of texts. ``key`` tells pairs apart; pairs where it is null are left out.
+    """
+    rows = pairs.select(F.col(key), F.col(text).alias("text"), F.col(other).alias("other"))
+    sides = with_syncmers(with_syncmers(rows, "text", "one"), "other", "two")
+    sides = written(sides.select(key, "one", "two"), "syncmers")
+    one = sides.select(key, F.inline("one"))
+    two = sides.select(key, F.inline("two").alias("other_at", "mark"))
+    met = one.join(two, [key, "mark"]).withColumn("offset", F.col("other_at") - F.col("at"))
+    on = Window.partitionBy(key, "offset").orderBy("at")
+    begins = F.col("at") - F.lag("at").over(on) > K
+    begun = met.withColumn("begins", F.coalesce(begins, F.lit(True)).cast("int"))
+    found = begun.withColumn("passage", F.sum("begins").over(on))
+    return (
+        found.groupBy(key, "offset", "passage")
+        .agg(F.min("at").alias("at"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n_marks"))
+        .where(F.col("n_marks") >= least)
+        .select(
+            key,
+            "at",
+            (F.col("at") + F.col("offset")).alias("other_at"),
+            (F.col("last") - F.col("at") + K).alias("n_words"),
+            "n_marks",
+        )
+    )
 
 
 def as_text(fingerprint: Column) -> Column:
     """16 lower-case hex digits for each mark."""
-    return F.array_join(
-        F.transform(fingerprint, lambda m: F.lower(F.lpad(F.hex(m), 16, "0"))), ""
-    )
+    return F.lower(F.array_join(F.transform(fingerprint, lambda m: F.lpad(F.hex(m), 16, "0")), ""))
 
 
 def _ranges(rows: DataFrame) -> Column:

@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import lines, simhash, wordsets
+from matchlens.llm import lines, simhash, syncmers, wordsets
 
 
 def _runs(text):
@@ -53,3 +54,31 @@ def test_short_lines_are_compared(spark):
         0: said[0], 1: "other\n\n ", 2: "a b c d e f g h", 3: "the cat sat on mat\nthe dog sat on a mat",
         4: said[4], 5: "", 6: said[6], 7: said[7], 8: said[8],
     }
+
+
+def _plain_words(rng, n, tag):
+    return [f"{tag}{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_fingerprints_of_long_texts_are_whole(spark):
+    rng = random.Random(3)
+    rows = []
+    for key in range(30):
+        words, more = _plain_words(rng, 3000, "a"), _plain_words(rng, 3000, "b")
+        at, there = rng.randrange(2900), rng.randrange(2900)
+        edited = [*words[:at], *more[:60], *words[at + 60 :]]
+        quoting = [*more[:there], *words[at : at + 60], *more[there:]]
+        rows.append((key, at, there, " ".join(words), " ".join(edited), " ".join(quoting)))
+    frame = spark.createDataFrame(rows, "key long, x long, y long, text string, edited string, other string")
+    marked = frame
+    for text in ("text", "edited", "other"):
+        marked = syncmers.with_fingerprint(marked, text, f"m_{text}")
+    near = syncmers.likeness(F.col("m_text"), F.col("m_edited"))
+    quote = syncmers.likeness(F.col("m_text"), F.col("m_other"))
+    for r in marked.select(near.alias("near"), quote.alias("quote")).collect():
+        assert 0.9 < r.near < 1.0 and 0.0 < r.quote < 0.05
+    found = {r.key: r for r in syncmers.passages(frame, "key", "text", "other").collect()}
+    for key, at, there, *_ in rows:
+        r = found[key]
+        assert r.other_at - r.at == there - at
+        assert at <= r.at <= at + 3 and at + 56 < r.at + r.n_words <= at + 60 and r.n_marks >= 15
