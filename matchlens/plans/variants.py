@@ -30,7 +30,7 @@ def sync_packets(snapshots: DataFrame) -> DataFrame:
 
 def _prefixed(actions: DataFrame, when: Column, fields: str) -> DataFrame:
     """Production payloads with more fields in front."""
-    more = F.concat(F.lit("{" + fields + ","), F.substring("payload", 2, 1 << 20))
+    more = F.concat(F.lit("{" + fields + ","), F.expr("substring(payload, 2)"))
     wanted = is_production(F.col("type")) & when
     return actions.withColumn("payload", F.when(wanted, more).otherwise(F.col("payload")))
 

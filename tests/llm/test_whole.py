@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from matchlens.llm import lines, simhash, syncmers, wordsets
+from matchlens.plans import variants
 
 
 def _runs(text):
@@ -82,3 +83,10 @@ def test_fingerprints_of_long_texts_are_whole(spark):
         r = found[key]
         assert r.other_at - r.at == there - at
         assert at <= r.at <= at + 3 and at + 56 < r.at + r.n_words <= at + 60 and r.n_marks >= 15
+
+
+def test_long_payloads_stay_whole(spark):
+    payload = '{"unit_name":"Villager","more":"' + "x" * (1 << 20) + '"}'
+    rows = spark.createDataFrame([("QUEUE", 1, payload)], "type string, seq long, payload string")
+    found = variants._prefixed(rows, F.lit(True), '"note":"x"').first().payload
+    assert found == '{"note":"x",' + payload[1:]
