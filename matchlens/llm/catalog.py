@@ -7,15 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from matchlens.llm import (
     decontamination,
+    divergence,
     html,
     lines,
     packing,
     quality,
+    quantize,
     records,
     sharding,
     simhash,
     substrings,
     syncmers,
+    topk,
 )
 
 _QUERIES = (
@@ -29,6 +32,9 @@ _QUERIES = (
     html.op8_html_text,
     records.op9_binary_records,
     quality.op10_quality,
+    topk.op11_segment_topk,
+    quantize.op12_walsh_codes,
+    divergence.op13_divergence,
 )
 
 
@@ -41,4 +47,7 @@ def oracles() -> dict[str, str]:
         "op1_line_dedup": lines.ORACLE,
         "op4_suffix_dedup": substrings.ORACLE,
         "op5_decontamination": decontamination.ORACLE,
+        "op11_segment_topk": topk.ORACLE,
+        "op12_walsh_codes": quantize.ORACLE,
+        "op13_divergence": divergence.ORACLE,
     }
