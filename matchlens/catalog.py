@@ -10,6 +10,7 @@ from matchlens.operators import (
     activity,
     diagnostics,
     events,
+    patterns,
     postgame,
     production,
     resources,
@@ -150,5 +151,27 @@ def _query(build: Callable[[MatchTables], DataFrame]) -> Query:
     return run
 
 
+#: Queries that read another table as well, given as the second argument.
+WITH_PARTS: dict[str, Callable[[MatchTables, DataFrame], DataFrame]] = {
+    "cost_lookup_own": lambda t, part: resources.cost_lookup(t.actions, variants.own_costs(part)),
+    "resource_deltas_own": lambda t, part: resources.resource_deltas(
+        t.actions, variants.own_costs(part)
+    ),
+    "unit_pattern_hits_table": lambda t, part: diagnostics.unit_pattern_hits(
+        t.actions, patterns.augmented(variants.own_patterns(part))
+    ),
+}
+
+
+def _query_with_parts(build: Callable[[MatchTables, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        part = spark.read.parquet(f"{sf_dir}/part.parquet")
+        return build(tables_from_events(spark, f"{sf_dir}/events.parquet"), part)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return {name: _query(build) for name, build in BY_NAME.items()}
+    return {name: _query(build) for name, build in BY_NAME.items()} | {
+        name: _query_with_parts(build) for name, build in WITH_PARTS.items()
+    }

@@ -22,3 +22,11 @@ def constant_array(values) -> Column:
 def constant_map(entries: dict) -> Column:
     parts = ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in entries.items())
     return F.expr(f"map({parts})")
+
+
+def constant_structs(names, rows) -> Column:
+    """An array of structs with fields ``names``."""
+    def fields(row):
+        return ", ".join(f"{sql_literal(n)}, {sql_literal(v)}" for n, v in zip(names, row, strict=True))
+
+    return F.expr(f"array({', '.join(f'named_struct({fields(row)})' for row in rows)})")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens import schema
-from matchlens.functions.constants import constant_array, constant_map
+from matchlens.functions.constants import constant_array, constant_map, constant_structs
 
 RESOURCES = ("food", "wood", "gold", "stone")
 KINDS = ("unit", "building", "tech")
@@ -110,36 +110,53 @@ def normalized(name: Column) -> Column:
     return F.lower(F.btrim(name, F.lit(_SPACE)))
 
 
-def cost_row(kind: str, key: Column, costs=None) -> Column:
+def _by_kind(kind: str | Column, value) -> Column:
+    """``value(kind)`` for the kind of the row, or for the one given."""
+    if isinstance(kind, str):
+        return value(kind)
+    found = F
+    for k in KINDS:
+        found = found.when(kind == k, value(k))
+    return found.otherwise(F.lit(None))
+
+
+def cost_row(kind: str | Column, key: Column, costs=None) -> Column:
     """Position in the cost table of the entry priced for ``key``, or NULL.
 
-    The table is a few dozen constants, so the lookup stays inside the row: no
-    join and no shuffle on names, of which one may dominate the data. Exact names
-    are found in a constant map; only other names are compared entry by entry.
+    For a table that is a list the lookup stays inside the row: no join and no shuffle on names,
+    of which one may dominate the data. Exact names are found in a constant map; only other
+    names are compared, with the entries of their kind.
     """
     table = COSTS if costs is None else costs
-    entries = [(i, row[1]) for i, row in enumerate(table) if row[0] == kind]
-    if not entries:
+    entries = {k: [(i, row[1]) for i, row in enumerate(table) if row[0] == k] for k in KINDS}
+    if isinstance(kind, str):
+        entries = {kind: entries.get(kind, [])}
+    if not any(entries.values()):
         return F.lit(None).cast("int")
     # The first of entries that share a name is the one found.
-    exact = constant_map({name: i for i, name in reversed(entries)})
-    names, rows = constant_array([n for _, n in entries]), constant_array([i for i, _ in entries])
-    is_loose = F.transform(names, lambda n: F.contains(key, n) | F.contains(n, key))
+    exact = {f"{k}:{name}": i for k, of in entries.items() for i, name in reversed(of)}
+    full = F.concat(F.lit(kind) if isinstance(kind, str) else kind, F.lit(":"), key)
+
+    def names(k: str) -> Column:
+        return constant_array([n for _, n in entries[k]]).cast("array<string>")
+
+    def rows(k: str) -> Column:
+        return constant_array([i for i, _ in entries[k]]).cast("array<bigint>")
+
+    is_loose = F.transform(_by_kind(kind, names), lambda n: F.contains(key, n) | F.contains(n, key))
     first = F.array_position(is_loose, F.lit(True))
-    loose = F.get(rows, (F.when(first > 0, first) - 1).cast("int"))
-    return F.coalesce(F.try_element_at(exact, key), loose).cast("int")
+    loose = F.get(_by_kind(kind, rows), (F.when(first > 0, first) - 1).cast("int"))
+    return F.coalesce(F.try_element_at(constant_map(exact), full), loose).cast("int")
 
 
-def amount_of(resource: str, row: Column, costs=None) -> Column:
-    """Amount of a resource in the cost table entry at position ``row``."""
+def entry(row: Column, costs=None) -> Column:
+    """The entry at position ``row``: struct<name, food, wood, gold, stone>, or NULL."""
     table = COSTS if costs is None else costs
-    column = 2 + RESOURCES.index(resource)
-    return F.get(constant_array([r[column] for r in table]), row)
+    return F.get(constant_structs(("name", *RESOURCES), [r[1:] for r in table]), row)
 
 
 def entry_name(row: Column, costs=None) -> Column:
-    table = COSTS if costs is None else costs
-    return F.get(constant_array([r[1] for r in table]), row)
+    return entry(row, costs)["name"]
 
 
 def resource_name(resource: str) -> str:

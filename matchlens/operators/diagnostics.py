@@ -15,6 +15,7 @@ from matchlens.functions.payload import (
     with_parsed,
 )
 from matchlens.functions.units import UNIT_PATTERNS
+from matchlens.operators.patterns import matches_of
 from matchlens.operators.series import MATCH
 
 SAMPLES = 10
@@ -78,19 +79,30 @@ def unit_names(actions: DataFrame) -> DataFrame:
     )
 
 
+def _hits_of_table(read: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(match_id, items, unit) for ``read`` (match_id, seq, items, _texts): the patterns are joined
+    to the distinct texts, and these to the actions, so each action meets its own lines only."""
+    each = read.select(MATCH, "seq", "items", F.explode(F.array_distinct("_texts")).alias("_text"))
+    found = matches_of(each.select("_text").distinct(), patterns)
+    return each.join(found, "_text").select(MATCH, "seq", "items", "unit").distinct()
+
+
 def unit_pattern_hits(
-    actions: DataFrame, patterns: dict | None = None, mode: str = "loose"
+    actions: DataFrame, patterns: dict | DataFrame | None = None, mode: str = "loose"
 ) -> DataFrame:
     """Production actions and items of each unit line per match.
 
     Each action emits only the lines it matches, so nothing is multiplied by the
-    number of patterns.
+    number of patterns. ``patterns`` may be a DataFrame (unit, pattern), see ``patterns``.
     """
     known = UNIT_PATTERNS if patterns is None else patterns
     parsed = with_parsed(
         actions.filter(is_production(F.col("type")) & F.col("player").isNotNull())
     )
     read = evaluate_once(parsed, _texts=match_texts(F.col(PARSED), mode))
+    if isinstance(known, DataFrame):
+        rows = read.select(MATCH, "seq", item_count(F.col(PARSED)).alias("items"), "_texts")
+        return _per_unit(_hits_of_table(rows, known))
     matched = [
         F.when(any_match(F.col("_texts"), pattern), F.lit(unit))
         for unit, pattern in known.items()
@@ -101,7 +113,10 @@ def unit_pattern_hits(
         item_count(F.col(PARSED)).alias("items"),
         F.array_compact(F.array(*matched)).alias("_units"),
     )
-    hits = units.select(MATCH, "items", F.explode("_units").alias("unit"))
+    return _per_unit(units.select(MATCH, "items", F.explode("_units").alias("unit")))
+
+
+def _per_unit(hits: DataFrame) -> DataFrame:
     return hits.groupBy(MATCH, "unit").agg(F.count("*").alias("n"), F.sum("items").alias("items"))
 
 

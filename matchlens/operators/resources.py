@@ -8,7 +8,7 @@ from matchlens.functions.barrier import evaluate_once
 from matchlens.functions.costs import RESOURCES, resource_name
 from matchlens.functions.payload import PARSED, text, truthy_text, with_parsed
 from matchlens.functions.timing import DEFAULT_WINDOW
-from matchlens.operators import series
+from matchlens.operators import prices, series
 from matchlens.operators.series import KEY, MATCH
 
 # Action types that cost a unit, and stocks at the start of a match.
@@ -56,35 +56,32 @@ def resource_deltas(actions: DataFrame, costs=None) -> DataFrame:
     """Signed change of each resource per action: costs below 0, market as traded.
 
     Actions that change nothing known are dropped; entries that cost nothing stay.
-    Narrow transformations only: names are priced in place, without a join.
+    With ``costs`` as a list (or none) narrow transformations only: names are priced in place,
+    without a join. A DataFrame of costs is joined, see ``prices``.
     """
     type_ = F.col("type")
     trade = type_.isin("BUY", "SELL")
     known = type_.isin(*COSTED_PRODUCTION, "BUILD", "RESEARCH", "BUY", "SELL")
     parsed = with_parsed(actions.filter(F.col("player").isNotNull() & known))
     # One step per value: each compiles to a method that the JVM still optimizes.
-    named = evaluate_once(parsed, _key=C.normalized(priced_name(type_)))
+    named = evaluate_once(parsed, _kind=priced_kind(type_), _key=C.normalized(priced_name(type_)))
     named = evaluate_once(
         named,
         _amount=_amount(type_),
         _resource=F.when(trade, F.lower(text(F.col(PARSED), "$.resource"))),
     )
-    row = F.lit(None).cast("int")
-    for kind in C.KINDS:
-        row = F.when(priced_kind(type_) == kind, C.cost_row(kind, F.col("_key"), costs)).otherwise(
-            row
-        )
     traded = F
     for i, resource in enumerate(RESOURCES):
         traded = traded.when(F.contains(F.col("_resource"), F.lit(resource)), F.lit(i))
     traded = F.when(F.col("_amount") != 0, traded.otherwise(F.lit(None).cast("int")))
-    priced = evaluate_once(named, _row=row, _traded=traded).filter(
-        F.col("_amount").isNotNull() & (F.col("_row").isNotNull() | F.col("_traded").isNotNull())
+    moved = evaluate_once(named.drop(PARSED), _traded=traded).filter(F.col("_amount").isNotNull())
+    priced = prices.with_costs(moved, costs).filter(
+        F.col("_cost").isNotNull() | F.col("_traded").isNotNull()
     )
 
     def delta(i: int, resource: str) -> Column:
         market = F.when(type_ == "BUY", F.col("_amount")).otherwise(-F.col("_amount"))
-        spent = -F.col("_amount") * C.amount_of(resource, F.col("_row"), costs)
+        spent = -F.col("_amount") * F.col("_cost")[resource]
         no_change = F.lit(0).cast("bigint")
         return F.when(trade, F.when(F.col("_traded") == i, market).otherwise(no_change)).otherwise(
             spent
@@ -179,14 +176,10 @@ def cost_lookup(actions: DataFrame, costs=None) -> DataFrame:
     parsed = with_parsed(actions.filter(kind.isNotNull()))
     names = parsed.select(kind.alias("kind"), priced_name(F.col("type")).alias("name"))
     names = names.filter(F.col("name").isNotNull()).distinct()
-    keyed = evaluate_once(names, _key=C.normalized(F.col("name")))
-    row = F.lit(None).cast("int")
-    for kind_name in C.KINDS:
-        found = C.cost_row(kind_name, F.col("_key"), costs)
-        row = F.when(F.col("kind") == kind_name, found).otherwise(row)
-    return evaluate_once(keyed, _row=row).select(
+    keyed = evaluate_once(names, _kind=F.col("kind"), _key=C.normalized(F.col("name")))
+    return prices.with_costs(keyed, costs).select(
         "kind",
         "name",
-        C.entry_name(F.col("_row"), costs).alias("matched"),
-        *[C.amount_of(r, F.col("_row"), costs).alias(r) for r in RESOURCES],
+        F.col("_cost.name").alias("matched"),
+        *[F.col("_cost")[r].alias(r) for r in RESOURCES],
     )

@@ -3,11 +3,13 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlens.functions.costs import RESOURCES
+from matchlens.functions.constants import constant_array
+from matchlens.functions.costs import KINDS, RESOURCES
 from matchlens.functions.payload import is_production
 from matchlens.operators import postgame
 from matchlens.operators.series import MATCH
 from matchlens.sources import tables as stored
+from matchlens.sources.events import BUILDINGS, TECHS, UNITS
 from matchlens.sources.scratch import fresh_path
 
 #: Fixed value: what is added to player numbers to make ids of more than 32 bits.
@@ -50,6 +52,47 @@ def without_player(actions: DataFrame, player: int) -> DataFrame:
     return actions.filter((F.col(MATCH) % 2 == 0) | ~F.col("player").eqNullSafe(F.lit(player)))
 
 
+def own_costs(part: DataFrame) -> DataFrame:
+    """A cost table with a row for each part: some named after units, buildings or technologies,
+    longer or shorter than these, the others after the part."""
+    n = F.col("p_partkey")
+
+    def pick(names: list[str]) -> Column:
+        return F.lower(F.get(constant_array(names), (n % len(names)).cast("int")))
+
+    base = F.when(n % 3 == 0, pick(UNITS)).when(n % 3 == 1, pick(BUILDINGS)).otherwise(pick(TECHS))
+    named = part.withColumn("_base", base)
+    name = (
+        F.when(n % 7 == 0, F.concat_ws(" ", "_base", "p_name"))
+        .when(n % 7 == 1, F.left("_base", 3 + F.col("p_size") % 4))
+        .when((n % 7 == 2) & (n % 5 == 0), F.col("_base"))
+        .otherwise(F.concat_ws(" ", "p_name", n))
+    )
+    return named.select(
+        F.get(constant_array(KINDS), (n % 3).cast("int")).alias("kind"),
+        (n * 7919 % 1000003).alias("prio"),
+        name.alias("name"),
+        F.col("p_size").cast("bigint").alias("food"),
+        (n % 13).alias("wood"),
+        (n % 101).alias("gold"),
+        F.lit(0).cast("bigint").alias("stone"),
+    )
+
+
+def own_patterns(part: DataFrame) -> DataFrame:
+    """A pattern for each part: one in fifty after a unit, the others after the part."""
+    n = F.col("p_partkey")
+    unit = F.get(constant_array(UNITS), (n % len(UNITS)).cast("int"))
+    words = F.regexp_replace("p_name", " ", r"\\s*")
+    pattern = (
+        F.when(n % 100 == 7, F.concat(F.lower(F.left(unit, F.lit(4))), F.lit("|"), words))
+        .when(n % 100 == 8, F.concat(F.regexp_replace(unit, "[- ]", ".?"), F.lit("$")))
+        .otherwise(F.concat(words, F.lit("|"), "p_brand"))
+    )
+    named = F.when(n == 42, F.lit("Villager")).otherwise(F.concat(F.lit("Line "), n))
+    return part.select(named.alias("unit"), pattern.alias("pattern"))
+
+
 def reshaped(documents: DataFrame, shape: str) -> DataFrame:
     """Post-game documents with the same totals in one of POSTGAME_SHAPES.
 

@@ -89,6 +89,23 @@ deltas AS (
 
 _PRICED = ",".join([_ACTIONS, _COSTS, _NAMED, _DELTAS])
 
+_BASE = (
+    f"lower(CASE p_partkey % 3 WHEN 0 THEN ({_list(UNITS)})[p_partkey % {len(UNITS)} + 1] "
+    f"WHEN 1 THEN ({_list(BUILDINGS)})[p_partkey % {len(BUILDINGS)} + 1] "
+    f"ELSE ({_list(TECHS)})[p_partkey % {len(TECHS)} + 1] END)"
+)
+_OWN_COSTS = f"""
+costs AS (
+  SELECT (['unit', 'building', 'tech'])[p_partkey % 3 + 1] AS kind,
+         p_partkey * 7919 % 1000003 AS prio,
+         CASE WHEN p_partkey % 7 = 0 THEN {_BASE} || ' ' || p_name
+              WHEN p_partkey % 7 = 1 THEN left({_BASE}, 3 + p_size % 4)
+              WHEN p_partkey % 7 = 2 AND p_partkey % 5 = 0 THEN {_BASE}
+              ELSE p_name || ' ' || p_partkey END AS key,
+         p_size AS food, p_partkey % 13 AS wood, p_partkey % 101 AS gold, 0 AS stone
+  FROM part)"""
+_OWN_PRICED = ",".join([_ACTIONS, _OWN_COSTS, _NAMED, _DELTAS])
+
 _PROD = "type IN ('DE_QUEUE', 'MULTIQUEUE', 'ORDER')"
 
 _VILLAGERS = f"""
@@ -253,6 +270,40 @@ def _rounded(summary: str) -> str:
     return f"SELECT match_id, player, name, villagers_trained, {places} FROM ({summary})"
 
 
+def _all_deltas(priced: str) -> str:
+    return f"""
+WITH {priced}
+SELECT match_id, seq, player, t_us, CAST(food AS BIGINT) AS food, CAST(wood AS BIGINT) AS wood,
+       CAST(gold AS BIGINT) AS gold, CAST(stone AS BIGINT) AS stone
+FROM deltas"""
+
+
+def _lookup(costs: str) -> str:
+    return f"""
+WITH {_ACTIONS}, {costs}, {_NAMED}
+SELECT n.kind, n.cname AS name, l.key AS matched, CAST(l.food AS BIGINT) AS food,
+       CAST(l.wood AS BIGINT) AS wood, CAST(l.gold AS BIGINT) AS gold,
+       CAST(l.stone AS BIGINT) AS stone
+FROM names n LEFT JOIN lookup l USING (kind, cname)"""
+
+
+_OWN_PATTERNS = rf"""
+own AS (
+  SELECT CASE WHEN p_partkey = 42 THEN 'Villager' ELSE 'Line ' || p_partkey END AS name,
+         CASE WHEN p_partkey % 100 = 7
+                THEN lower(left(({_list(UNITS)})[p_partkey % 20 + 1], 4)) || '|' || replace(p_name, ' ', '\s*')
+              WHEN p_partkey % 100 = 8
+                THEN regexp_replace(({_list(UNITS)})[p_partkey % 20 + 1], '[- ]', '.?', 'g') || '$'
+              ELSE replace(p_name, ' ', '\s*') || '|' || p_brand END AS pattern
+  FROM part),
+defaults(name, pattern) AS (VALUES {", ".join(f"('{u}', '{p}')" for u, p in UNIT_PATTERNS.items())}),
+patterns AS (
+  SELECT * FROM own UNION ALL
+  SELECT * FROM defaults WHERE name NOT IN (SELECT name FROM own)),
+found AS (
+  SELECT DISTINCT u.unit, p.name FROM (SELECT DISTINCT unit FROM actions WHERE unit IS NOT NULL) u
+  JOIN patterns p ON regexp_matches(u.unit, p.pattern, 'i'))"""
+
 _IS_VILLAGER = "unit IN ('Villager', 'Aldeano')"
 
 
@@ -322,17 +373,8 @@ known AS (
     ON i.match_id = g.match_id AND i.player = g.player AND i.t_us <= g.bin * {W}
   GROUP BY ALL)
 {_series("CAST(v AS DOUBLE) / 1000000", of="known")}""",
-        "cost_lookup": f"""
-WITH {_ACTIONS}, {_COSTS}, {_NAMED}
-SELECT n.kind, n.cname AS name, l.key AS matched, CAST(l.food AS BIGINT) AS food,
-       CAST(l.wood AS BIGINT) AS wood, CAST(l.gold AS BIGINT) AS gold,
-       CAST(l.stone AS BIGINT) AS stone
-FROM names n LEFT JOIN lookup l USING (kind, cname)""",
-        "resource_deltas": f"""
-WITH {_PRICED}
-SELECT match_id, seq, player, t_us, CAST(food AS BIGINT) AS food, CAST(wood AS BIGINT) AS wood,
-       CAST(gold AS BIGINT) AS gold, CAST(stone AS BIGINT) AS stone
-FROM deltas""",
+        "cost_lookup": _lookup(_COSTS),
+        "resource_deltas": _all_deltas(_PRICED),
         "total_spend_cumulative": f"""
 WITH {_PRICED}, {_windows(_TOTAL)} {_series(f"CAST({_RUNNING} AS BIGINT)")}""",
         "total_spend_per_window": f"""
@@ -387,6 +429,12 @@ FROM matches JOIN listed USING (match_id)""",
     }
     own = {"Villager": "villager", "Gatherer": "villager|aldean"}
     sql |= {
+        "cost_lookup_own": _lookup(_OWN_COSTS),
+        "resource_deltas_own": _all_deltas(_OWN_PRICED),
+        "unit_pattern_hits_table": f"""
+WITH {_ACTIONS}, {_OWN_PATTERNS}
+SELECT match_id, f.name AS unit, count(*) AS n, CAST(sum(items) AS BIGINT) AS items
+FROM actions a JOIN found f USING (unit) WHERE {_PROD} AND player IS NOT NULL GROUP BY ALL""",
         "unit_pattern_hits_own": _pattern_hits(
             own | {u: p for u, p in UNIT_PATTERNS.items() if u not in own}
         ),

@@ -15,7 +15,8 @@ QUERIES, ORACLES = all_queries(), all_oracles()
 @pytest.fixture
 def duck():
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_DIR}/events.parquet'")
+    for table in ("events", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     return con
 
 
