@@ -2,9 +2,12 @@
 
 Every series starts with a hash aggregate on (match, player, window), which
 Spark combines on the map side: from there on the data holds at most one row per
-player and window however many actions a match has. The rest needs one exchange
-on match_id of those pre-aggregated rows: the number of windows of a match, the
-running values and the filling of empty windows all use that partitioning.
+player and window however many actions a match has.
+
+Windows are then dealt over blocks of ``BLOCK``, so that no task holds more of one
+player however long a match lasts. What a block needs from outside (the number of windows of
+the match, the total before it, the filled windows next to it) comes from one row per player
+and block; only these rows, a few thousandth of the windows, are gathered by match.
 
 A series runs over ``n = ceil(max_t / window)`` windows, where ``max_t`` is the
 last moment among the rows given for the match, whoever caused it. Rows at
@@ -14,6 +17,7 @@ exactly ``max_t`` belong to the last window even if they lie on its end.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchlens.functions.barrier import evaluate_once
 from matchlens.functions.timing import ceil_div, int_div, window_micros, window_start
 
 MATCH = "match_id"
@@ -23,9 +27,13 @@ KEY = ["match_id", "player"]
 # array that grows with the length of its match.
 FILL_BLOCK = 4096
 
+# Windows of one player that are looked at together.
+BLOCK = 4096
+PLACE = ["match_id", "player", "block"]
+
 
-def _by_player():
-    return Window.partitionBy(*KEY).orderBy("bucket")
+def _in_block():
+    return Window.partitionBy(*PLACE).orderBy("bucket")
 
 
 def explode_windows(df: DataFrame, lo: Column, hi: Column, block: int = FILL_BLOCK) -> DataFrame:
@@ -37,11 +45,59 @@ def explode_windows(df: DataFrame, lo: Column, hi: Column, block: int = FILL_BLO
     return blocks.select("*", F.explode(F.sequence("_lo", last)).alias("bin")).drop("_lo", "_hi")
 
 
-def _scoped(sparse: DataFrame, width: int) -> DataFrame:
-    """Add the number of windows ``n`` of the match; keep rows to be emitted."""
-    per_match = Window.partitionBy(MATCH)
-    n = ceil_div(F.max("t_us").over(per_match), width)
-    return sparse.withColumn("n", n).filter(F.col("player").isNotNull() & (F.col("n") > 0))
+def _sparse(rows: DataFrame, bucket: Column, *values: Column) -> DataFrame:
+    """Non-empty windows with the last moment in each.
+
+    It is read by both sides of the join with ``_blocks``. Filters and columns that Catalyst would
+    add to one side or take from it are settled here, so that both read one exchange.
+    """
+    known = rows.filter(F.col(MATCH).isNotNull() & F.col("t_us").isNotNull())
+    placed = known.withColumn("bucket", F.coalesce(bucket, _zero()))
+    placed = placed.withColumn("block", F.coalesce(int_div(F.col("bucket"), BLOCK), _zero()))
+    return placed.groupBy(*PLACE, "bucket").agg(F.max("t_us").alias("t_us"), *values)
+
+
+def _in_scope(sparse: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+    joined = sparse.join(blocks, PLACE)
+    return joined.filter(F.col("t_us") <= F.col("n") * width)  # holds for all, and reads t_us
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def _blocks(sparse: DataFrame, width: int, sums: list[str], clamp: bool) -> DataFrame:
+    """What each block of a player needs from outside: ``n``, the filled windows next to it,
+    ``_before`` (the sum of ``v`` up to it) and ``_late``, what its last window gets from the end
+    of the match. Blocks that are not to be emitted are left out."""
+    of_player = Window.partitionBy(*KEY).orderBy("block")
+    found = sparse.groupBy(*PLACE).agg(
+        F.max("t_us").alias("t_us"),
+        F.min("bucket").alias("_first"),
+        F.max("bucket").alias("_last"),
+        *[F.sum(c).alias(f"_{c}") for c in sums],
+    )
+    n = ceil_div(F.max("t_us").over(Window.partitionBy(MATCH)), width)
+    found = found.withColumn("n", n).filter(F.col("player").isNotNull() & (F.col("n") > 0))
+    if clamp:
+        # The end of a match may open a block of its own. It joins the window before, if filled.
+        end = F.col("n") - 1
+        joins = (F.col("_first") > end) & (F.lag("_last").over(of_player) == end)
+        found = found.withColumn("_joins", F.coalesce(joins, F.lit(False)))
+        given = F.when(F.col("_joins"), F.struct(*[F.col(f"_{c}").alias(c) for c in sums]))
+        found = found.withColumn("_late", F.lead(given).over(of_player)).filter(~F.col("_joins"))
+        late = [F.coalesce(F.col("_late")[c], _zero()) for c in sums]
+        found = found.withColumns({f"_{c}": F.col(f"_{c}") + x for c, x in zip(sums, late, strict=True)})
+        found = found.withColumns({c: F.least(c, end) for c in ("_first", "_last")})
+    before = F.sum("_v").over(of_player) - F.col("_v") if "v" in sums else _zero()
+    return found.select(
+        *PLACE,
+        "n",
+        F.lag("_last").over(of_player).alias("_prev"),
+        F.lead("_first").over(of_player).alias("_next"),
+        before.alias("_before"),
+        *(["_late"] if clamp else []),
+    )
 
 
 def select_players(df: DataFrame, players, if_none: str = "empty") -> DataFrame:
@@ -56,7 +112,8 @@ def select_players(df: DataFrame, players, if_none: str = "empty") -> DataFrame:
         return df
     chosen = F.col("player").isin(*players)
     if if_none == "empty":
-        return df.filter(chosen)
+        # Not pushed down: the other side of the join with ``_blocks`` needs all players.
+        return evaluate_once(df, _any=chosen).filter("_any").drop("_any")
     any_chosen = F.max(chosen).over(Window.partitionBy(MATCH))
     return df.withColumn("_any", any_chosen).filter(chosen | ~F.col("_any")).drop("_any")
 
@@ -69,37 +126,37 @@ def window_sums(rows: DataFrame, window_s) -> DataFrame:
     """
     width = window_micros(window_s)
     sums = [c for c in rows.columns if c.startswith("v")]
-    sparse = (
-        rows.withColumn("bucket", int_div(F.col("t_us"), width))
-        .groupBy(*KEY, "bucket")
-        .agg(F.max("t_us").alias("t_us"), *[F.sum(c).alias(c) for c in sums])
-    )
+    each = [F.sum(c).alias(c) for c in sums]
+    sparse = _sparse(rows, int_div(F.col("t_us"), width), *each)
+    known = _in_scope(sparse, _blocks(sparse, width, sums, clamp=True), width)
+    end = F.col("n") - 1
+    late = F.when(F.col("bucket") == end, F.col("_late"))
     return (
-        _scoped(sparse, width)
-        .withColumn("bucket", F.least("bucket", F.col("n") - 1))
-        .groupBy(*KEY, "n", "bucket")
-        .agg(*[F.sum(c).alias(c) for c in sums])
+        known.withColumns({c: F.col(c) + F.coalesce(late[c], _zero()) for c in sums})
+        .withColumn("bucket", F.least("bucket", end))
+        .groupBy(*PLACE, "n", "_prev", "_next", "_before", "bucket")
+        .agg(*each)
     )
 
 
 def _spread(df: DataFrame, before: Column, at: Column, after: Column) -> DataFrame:
     """Fill all windows: ``before`` ahead of a player's first row, then per row
     ``at`` in its own window and ``after`` up to the next one."""
-    order = _by_player()
+    order = _in_block()
     nodes = df.select(
         *KEY,
         "n",
         "bucket",
-        F.lag("bucket").over(order).alias("_prev"),
-        F.lead("bucket").over(order).alias("_next"),
-        before.alias("_before"),
+        F.coalesce(F.lag("bucket").over(order), "_prev").alias("_left"),
+        F.coalesce(F.lead("bucket").over(order), "_next").alias("_right"),
+        before.alias("_ahead"),
         at.alias("_at"),
         after.alias("_after"),
     )
-    lo = F.when(F.col("_prev").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("bucket"))
-    hi = F.coalesce("_next", "n") - 1
+    lo = F.when(F.col("_left").isNull(), _zero()).otherwise(F.col("bucket"))
+    hi = F.coalesce("_right", "n") - 1
     value = (
-        F.when(F.col("bin") < F.col("bucket"), F.col("_before"))
+        F.when(F.col("bin") < F.col("bucket"), F.col("_ahead"))
         .when(F.col("bin") == F.col("bucket"), F.col("_at"))
         .otherwise(F.col("_after"))
     )
@@ -107,7 +164,8 @@ def _spread(df: DataFrame, before: Column, at: Column, after: Column) -> DataFra
 
 
 def _running(df: DataFrame, start: Column) -> DataFrame:
-    total = F.sum("v").over(_by_player().rowsBetween(Window.unboundedPreceding, 0)) + start
+    inside = F.sum("v").over(_in_block().rowsBetween(Window.unboundedPreceding, 0))
+    total = inside + F.col("_before") + start
     return _spread(df, start, total, total)
 
 
@@ -129,12 +187,9 @@ def total_at_start(rows: DataFrame, window_s) -> DataFrame:
     happens inside the last window never shows.
     """
     width = window_micros(window_s)
-    sparse = (
-        rows.withColumn("bucket", ceil_div(F.col("t_us"), width))
-        .groupBy(*KEY, "bucket")
-        .agg(F.max("t_us").alias("t_us"), F.sum("v").alias("v"))
-    )
-    return _running(_scoped(sparse, width), F.lit(0).cast("bigint"))
+    sparse = _sparse(rows, ceil_div(F.col("t_us"), width), F.sum("v").alias("v"))
+    known = _in_scope(sparse, _blocks(sparse, width, ["v"], clamp=False), width)
+    return _running(known, _zero())
 
 
 def last_at_start(rows: DataFrame, window_s) -> DataFrame:
@@ -144,15 +199,10 @@ def last_at_start(rows: DataFrame, window_s) -> DataFrame:
     edge, the closing one included, would show.
     """
     width = window_micros(window_s)
-    sparse = (
-        rows.withColumn("bucket", ceil_div(F.col("t_us"), width))
-        .groupBy(*KEY, "bucket")
-        .agg(
-            F.max("t_us").alias("t_us"),
-            F.max_by("v", F.struct("t_us", "seq")).alias("v"),
-        )
-    )
-    return _spread(_scoped(sparse, width), F.col("v"), F.col("v"), F.col("v"))
+    last = F.max_by("v", F.struct("t_us", "seq")).alias("v")
+    sparse = _sparse(rows, ceil_div(F.col("t_us"), width), last)
+    known = _in_scope(sparse, _blocks(sparse, width, [], clamp=False), width)
+    return _spread(known, F.col("v"), F.col("v"), F.col("v"))
 
 
 def as_series(filled: DataFrame, window_s, value: Column | None = None) -> DataFrame:

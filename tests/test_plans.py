@@ -42,22 +42,32 @@ SERIES = [n for n in BY_NAME if n.startswith(("apm_timeseries", "units_", "resou
 
 
 @pytest.mark.parametrize("name", SERIES)
-def test_series_shuffle_aggregated_rows_twice_and_join_nothing(spark, stored, name):
-    plan = _plan(spark, BY_NAME[name](stored))
-    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
-    assert len(exchanges) == 2 and "Join" not in plan
-    # The first exchange (printed last) carries map-side aggregates and spreads a
-    # match over its players and windows.
-    assert re.match(r"match_id#\d+L, player#\d+, bucket#\d+L", exchanges[1])
-    assert re.match(r"match_id#\d+L, \d+$", exchanges[0])
-    below = plan[plan.rindex("Exchange") :]
-    assert "partial_" in below.split("\n")[1]
+def test_series_spread_a_match_over_blocks(spark, stored, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that reuse shows
+    try:
+        plan = _plan(spark, BY_NAME[name](stored))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    exchanges = re.findall(r"Exchange hashpartitioning\((.*?), \d+\), ENS", plan)
+    exchanges = [[re.sub(r"#\d+L?", "", key) for key in e.split(", ")] for e in exchanges]
+    window, block = ["match_id", "player", "block", "bucket"], ["match_id", "player", "block"]
+    # Windows are dealt over blocks; only what is left of a block is brought together by match.
+    assert exchanges.count(["match_id"]) == 1 and window in exchanges
+    assert all(e in (window, block, ["match_id"]) for e in exchanges)
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\(match_id#\d+L, \d+\)", line))
+    assert re.search(r"keys=\[match_id#\d+L, player#\d+, block#\d+L\]", lines[at + 1])
+    # The log is read once, combined before it is shuffled, and both sides of the join share that.
+    if name != "sync_stock":
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    below = plan[plan.index("block#", plan.index("bucket#", plan.index("SortMergeJoin"))) :]
+    assert "partial_" in below
 
 
 def test_only_needed_columns_and_types_are_read(spark, stored):
     apm = _plan(spark, BY_NAME["apm_timeseries"](stored))
     assert "ReadSchema: struct<match_id:bigint,player:int,t_us:bigint>" in apm
-    assert "PushedFilters: [IsNotNull(player)]" in apm
+    assert "PushedFilters: [IsNotNull(player)" in apm
     deltas = _plan(spark, BY_NAME["resource_deltas"](stored))
     assert "In(type, [BUILD," in deltas and "Exchange" not in deltas
     villagers = _plan(spark, BY_NAME["villager_counts"](stored))
