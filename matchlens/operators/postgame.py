@@ -6,7 +6,9 @@ is decided by Spark.
 """
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -50,12 +52,79 @@ def _whole(value) -> int | None:
     return number if -_LONGEST <= number < _LONGEST else None
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|-?Infinity|[a-zA-Z]+")
+
+
+def _read_deep(text: str):
+    """The value of a JSON text that nests to any depth: containers that are still open are kept in
+    a list instead of on the stack of calls."""
+    root: list = []
+    open_, names = [root], [None]
+    at, wants_value = _SPACE.match(text).end(), True
+    while True:
+        within = open_[-1]
+        if not wants_value:
+            if within is root:
+                if at != len(text):
+                    raise ValueError("text after the end")
+                return root[0]
+            mark = text[at : at + 1]
+            closing = "}" if isinstance(within, dict) else "]"
+            if mark == closing:
+                open_.pop()
+                names.pop()
+                at = _SPACE.match(text, at + 1).end()
+                continue
+            if mark != ",":
+                raise ValueError("neither a comma nor an end")
+            at = _SPACE.match(text, at + 1).end()
+        if isinstance(within, dict):
+            if text[at : at + 1] != '"':
+                raise ValueError("a name is missing")
+            name, at = scanstring(text, at + 1)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("a colon is missing")
+            names[-1] = name
+            at = _SPACE.match(text, at + 1).end()
+        mark = text[at : at + 1]
+        if mark == "{" or mark == "[":
+            value, closing = ({}, "}") if mark == "{" else ([], "]")
+            at = _SPACE.match(text, at + 1).end()
+            empty = text[at : at + 1] == closing
+        else:
+            empty = None
+            if mark == '"':
+                value, at = scanstring(text, at + 1)
+            else:
+                found = _SCALAR.match(text, at)
+                value, at = json.loads(found[0]) if found else json.loads(""), found.end()
+        if isinstance(within, dict):
+            within[names[-1]] = value
+        else:
+            within.append(value)
+        if empty is False:
+            open_.append(value)
+            names.append(None)
+            wants_value = True
+            continue
+        at = _SPACE.match(text, at + (empty is True)).end()
+        wants_value = False
+
+
 def _decoded(text: str | None):
-    """The document; None if there is none, it is broken or nested too deep for the decoder. Of
-    a repeated key the last value counts."""
+    """The document; None if there is none or it is broken. Of a repeated key the last value
+    counts."""
     try:
         return json.loads(text) if text else None
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass  # too deep for the library
+    except ValueError:
+        return None
+    try:
+        return _read_deep(text)
+    except ValueError:
         return None
 
 
@@ -75,16 +144,29 @@ def _flat(record: dict) -> list[float] | None:
     return [a or 0.0 for a in amounts] if enough else None
 
 
-def read_amounts(record) -> list[float] | None:
-    """Food, wood, gold and stone of a record, or of the nearest record nested in it."""
+def _own_amounts(record: dict) -> list[float] | None:
+    """Food, wood, gold and stone in the fields of a record."""
+    totals = record.get(NESTED_TOTALS)
+    if isinstance(totals, dict) and {k.lower() for k in totals}.issuperset(RESOURCES):
+        return [_number(totals.get(r, 0.0)) for r in RESOURCES]
+    return _flat(record)
+
+
+def read_amounts(record, known: dict[int, list[float] | None] | None = None) -> list[float] | None:
+    """Amounts of a record, or of the nearest record nested in it. ``known`` holds what was found
+    for records of the same document, so that a chain of records is followed once."""
+    chain, amounts = [], None
     while isinstance(record, dict):
-        totals = record.get(NESTED_TOTALS)
-        if isinstance(totals, dict) and {k.lower() for k in totals}.issuperset(RESOURCES):
-            return [_number(totals.get(r, 0.0)) for r in RESOURCES]
-        if (amounts := _flat(record)) is not None:
-            return amounts
+        if known and id(record) in known:
+            amounts = known[id(record)]
+            break
+        chain.append(id(record))
+        if (amounts := _own_amounts(record)) is not None:
+            break
         record = record.get(NESTED_RECORD)
-    return None
+    if known is not None:
+        known.update(dict.fromkeys(chain, amounts))
+    return amounts
 
 
 def read_player(record: dict) -> int | None:
@@ -109,11 +191,11 @@ def from_containers(doc) -> Iterator[tuple[int, list[float]]]:
 def from_anywhere(doc) -> Iterator[tuple[int | None, int | None, list[float]]]:
     """(player, position in its list, amounts) of every record, in order of the document. Each
     value is visited once, with a stack of what is left."""
-    left = [(doc, None)]
+    left, known = [(doc, None)], {}
     while left:
         value, position = left.pop()
         if isinstance(value, dict):
-            if (amounts := read_amounts(value)) is not None:
+            if (amounts := read_amounts(value, known)) is not None:
                 yield read_player(value), position, amounts
             left.extend((x, None) for x in reversed(value.values()))
         elif isinstance(value, list):
