@@ -20,6 +20,7 @@ from matchlens.operators import (
 from matchlens.functions.units import augment_unit_patterns, is_villager
 from matchlens.plans import reports, variants
 from matchlens.sources.events import tables_from_events
+from matchlens.sources.rejects import read_rejecting
 from matchlens.sources.tables import MatchTables, explode_snapshots, record_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,12 @@ def _reread(t: MatchTables, table: str, fmt: str) -> DataFrame:
     return again.withColumn("source_file", F.col("source_file").isNotNull())
 
 
+def _rejects(t: MatchTables) -> DataFrame:
+    folder = variants.damaged_lines(t.actions)
+    rejects = read_rejecting(t.actions.sparkSession, "actions", folder, "json").rejects
+    return rejects.withColumn("source_file", F.col("source_file").isNotNull())
+
+
 def _postgame(shape: str):
     return lambda t: postgame.postgame_totals(variants.reshaped(t.postgame, shape))
 
@@ -62,7 +69,7 @@ BY_NAME: dict[str, Callable[[MatchTables], DataFrame]] = {
     # actions per minute
     "apm_timeseries": lambda t: activity.apm_timeseries(t.actions),
     "apm_timeseries_15s": lambda t: activity.apm_timeseries(t.actions, 15),
-    "apm_named": lambda t: series.with_names(activity.apm_timeseries(t.actions), t.players),
+    "apm_named": lambda t: activity.apm_timeseries(t.actions, names=t.players),
     "apm_stats": lambda t: activity.apm_stats(t.actions),
     # production
     "villager_counts": lambda t: production.villager_counts(t.actions, t.players),
@@ -120,6 +127,7 @@ BY_NAME: dict[str, Callable[[MatchTables], DataFrame]] = {
     "apm_selected_or_all": lambda t: activity.apm_timeseries(
         variants.without_player(t.actions, 1), players=(1,), if_none="all"
     ),
+    "actions_rejected": lambda t: _rejects(t),
     "actions_reread": lambda t: _reread(t, "actions", "parquet"),
     "matches_reread_json": lambda t: _reread(t, "matches", "json"),
     # presentation

@@ -1,6 +1,6 @@
 """Actions per minute."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from matchlens.functions.timing import DEFAULT_WINDOW
@@ -12,18 +12,32 @@ def _rate(count: Column, window_s) -> Column:
     return count * 60 / F.lit(window_s)
 
 
-def action_sums(actions: DataFrame, window_s) -> DataFrame:
+def action_sums(
+    actions: DataFrame,
+    window_s,
+    names: DataFrame | None = None,
+    missing: Observation | None = None,
+) -> DataFrame:
     rows = actions.filter(F.col("player").isNotNull())
-    return series.window_sums(
-        rows.select(*KEY, "t_us", F.lit(1).cast("bigint").alias("v")), window_s
-    )
+    rows = rows.select(*KEY, "t_us", F.lit(1).cast("bigint").alias("v"))
+    return series.window_sums(rows, window_s, names, missing)
 
 
 def apm_timeseries(
-    actions: DataFrame, window_s=DEFAULT_WINDOW, players=None, if_none: str = "empty"
+    actions: DataFrame,
+    window_s=DEFAULT_WINDOW,
+    players=None,
+    if_none: str = "empty",
+    names: DataFrame | None = None,
+    missing: Observation | None = None,
 ) -> DataFrame:
-    """Actions per minute of each player in each window."""
-    sums = series.select_players(action_sums(actions, window_s), players, if_none)
+    """Actions per minute of each player in each window.
+
+    ``names``, a table of players, adds the column ``name``; ``missing`` then counts players of the
+    log that it does not name, see ``series.window_sums``.
+    """
+    sums = action_sums(actions, window_s, names, missing)
+    sums = series.select_players(sums, players, if_none)
     return series.as_series(series.per_window(sums), window_s, _rate(F.col("v"), window_s))
 
 

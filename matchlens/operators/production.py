@@ -17,6 +17,7 @@ GAP_THRESHOLD = 27.0
 
 # Actions of one player that one window group may hold; see ``gaps_in_order``.
 CHUNK = 1 << 20
+LEVELS = 2
 
 
 def villager_counts(
@@ -56,31 +57,41 @@ def units_created_timeseries(
     return series.as_series(series.per_window(sums), window_s)
 
 
-def gaps_in_order(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add ``gap_us``: time since the player's previous row in ``seq`` order.
+def _with_previous(rows: DataFrame, order: str, last: str, chunk: int, levels: int) -> DataFrame:
+    """Add ``_previous``: ``last`` of the player's row before, in the order of the numbers ``order``.
 
     A window over a whole player would put all of a hot player's rows into one
-    task. ``seq`` is unique within a match, so ranges of ``chunk`` numbers are
-    groups of bounded size: inside them a plain lag does, and the first row of
-    each takes the last moment of the player's previous range, found on one row
-    per range. Both halves read the same exchange.
+    task. ``order`` is unique for a player, so ranges of ``chunk`` numbers are groups of
+    bounded size: inside them a plain lag does. Their first rows get it from the rows of ranges,
+    in the same way a level up. Both halves of a level read the same exchange.
     """
-    rows = rows.select(*KEY, "seq", "t_us", int_div(F.col("seq"), chunk).alias("_chunk"))
-    parts = rows.repartition(*KEY, "_chunk")
-    previous = F.lag("t_us").over(Window.partitionBy(*KEY, "_chunk").orderBy("seq"))
-    inside = parts.select(*KEY, "seq", "t_us", previous.alias("_previous")).filter(
-        F.col("_previous").isNotNull()
+    if levels == 0:
+        before = F.lag(last).over(Window.partitionBy(*KEY).orderBy(order))
+        return rows.withColumn("_previous", before)
+    others = [c for c in rows.columns if c not in KEY]
+    ranged = rows.withColumn("_chunk", int_div(F.col(order), chunk))
+    parts = ranged.repartition(*KEY, "_chunk")
+    in_range = Window.partitionBy(*KEY, "_chunk").orderBy(order)
+    placed = parts.select(
+        *KEY, *others, F.lag(last).over(in_range).alias("_previous"), F.lag(order).over(in_range).alias("_before")
     )
+    inside = placed.filter(F.col("_before").isNotNull()).drop("_before")
     ranges = parts.groupBy(*KEY, "_chunk").agg(
-        F.min("seq").alias("seq"),
-        F.min_by("t_us", "seq").alias("t_us"),
-        F.max_by("t_us", "seq").alias("_last"),
-    )
-    before = F.lag("_last").over(Window.partitionBy(*KEY).orderBy("_chunk"))
-    firsts = ranges.select(*KEY, "seq", "t_us", before.alias("_previous"))
-    return inside.unionByName(firsts).select(
-        *KEY, "seq", "t_us", (F.col("t_us") - F.col("_previous")).alias("gap_us")
+        F.min_by(F.struct(*others), order).alias("_first"), F.max_by(last, order).alias("_end")
     )
+    ranges = ranges.withColumnRenamed("_chunk", f"_chunk{levels}")
+    above = _with_previous(ranges, f"_chunk{levels}", "_end", chunk, levels - 1)
+    firsts = above.select(*KEY, "_first.*", "_previous")
+    return inside.unionByName(firsts)
+
+
+def gaps_in_order(rows: DataFrame, chunk: int = CHUNK, levels: int = LEVELS) -> DataFrame:
+    """Add ``gap_us``: time since the player's previous row in ``seq`` order, which is unique within
+    a match. No window group holds more than ``chunk`` rows while ``seq`` stays below ``chunk`` to
+    the power of ``levels`` + 1."""
+    rows = rows.select(*KEY, "seq", "t_us")
+    found = _with_previous(rows, "seq", "t_us", chunk, levels)
+    return found.select(*KEY, "seq", "t_us", (F.col("t_us") - F.col("_previous")).alias("gap_us"))
 
 
 def villager_gaps(

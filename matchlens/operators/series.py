@@ -14,7 +14,7 @@ last moment among the rows given for the match, whoever caused it. Rows at
 exactly ``max_t`` belong to the last window even if they lie on its end.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions.barrier import evaluate_once
@@ -66,6 +66,15 @@ def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
+def _named(blocks: DataFrame, players: DataFrame, missing: Observation | None) -> DataFrame:
+    """Add ``name`` to the rows of blocks; ``missing`` counts the players without one."""
+    named = blocks.join(players.select(*KEY, "name"), KEY, "left")
+    if missing is None:
+        return named
+    unnamed = F.count_if(F.col("name").isNull() & F.col("_prev").isNull())
+    return named.observe(missing, unnamed.alias("unnamed"))
+
+
 def _blocks(sparse: DataFrame, width: int, sums: list[str], clamp: bool) -> DataFrame:
     """What each block of a player needs from outside: ``n``, the filled windows next to it,
     ``_before`` (the sum of ``v`` up to it) and ``_late``, what its last window gets from the end
@@ -118,33 +127,49 @@ def select_players(df: DataFrame, players, if_none: str = "empty") -> DataFrame:
     return df.withColumn("_any", any_chosen).filter(chosen | ~F.col("_any")).drop("_any")
 
 
-def window_sums(rows: DataFrame, window_s) -> DataFrame:
+def window_sums(
+    rows: DataFrame,
+    window_s,
+    players: DataFrame | None = None,
+    missing: Observation | None = None,
+) -> DataFrame:
     """Non-empty windows: ``match_id, player, n, bucket`` and the sum ``v`` of ``rows.v``.
 
     ``rows`` has match_id, player, t_us and v; other columns starting with ``v``
-    are summed alike.
+    are summed alike. With ``players``, rows also bear the ``name`` of their player, NULL where
+    there is none; how many players that is shows in ``missing`` once the series has run. Names
+    are joined to one row per player and block, before anything is filled.
     """
     width = window_micros(window_s)
     sums = [c for c in rows.columns if c.startswith("v")]
     each = [F.sum(c).alias(c) for c in sums]
     sparse = _sparse(rows, int_div(F.col("t_us"), width), *each)
-    known = _in_scope(sparse, _blocks(sparse, width, sums, clamp=True), width)
+    blocks = _blocks(sparse, width, sums, clamp=True)
+    if players is not None:
+        blocks = _named(blocks, players, missing)
+    known = _in_scope(sparse, blocks, width)
     end = F.col("n") - 1
     late = F.when(F.col("bucket") == end, F.col("_late"))
     return (
         known.withColumns({c: F.col(c) + F.coalesce(late[c], _zero()) for c in sums})
         .withColumn("bucket", F.least("bucket", end))
-        .groupBy(*PLACE, "n", "_prev", "_next", "_before", "bucket")
+        .groupBy(*PLACE, "n", "_prev", "_next", "_before", *_carried(known), "bucket")
         .agg(*each)
     )
 
 
+def _carried(df: DataFrame) -> list[str]:
+    """Columns that go with a player through a series."""
+    return ["name"] if "name" in df.columns else []
+
+
 def _spread(df: DataFrame, before: Column, at: Column, after: Column) -> DataFrame:
     """Fill all windows: ``before`` ahead of a player's first row, then per row
     ``at`` in its own window and ``after`` up to the next one."""
     order = _in_block()
     nodes = df.select(
         *KEY,
+        *_carried(df),
         "n",
         "bucket",
         F.coalesce(F.lag("bucket").over(order), "_prev").alias("_left"),
@@ -160,7 +185,7 @@ def _spread(df: DataFrame, before: Column, at: Column, after: Column) -> DataFra
         .when(F.col("bin") == F.col("bucket"), F.col("_at"))
         .otherwise(F.col("_after"))
     )
-    return explode_windows(nodes, lo, hi).select(*KEY, "bin", value.alias("v"))
+    return explode_windows(nodes, lo, hi).select(*KEY, *_carried(df), "bin", value.alias("v"))
 
 
 def _running(df: DataFrame, start: Column) -> DataFrame:
@@ -212,12 +237,14 @@ def as_series(filled: DataFrame, window_s, value: Column | None = None) -> DataF
         window_start(F.col("bin"), window_s).alias("time_sec"),
         "player",
         (F.col("v") if value is None else value).alias("value"),
+        *_carried(filled),
     )
 
 
 def with_names(series: DataFrame, players: DataFrame) -> DataFrame:
-    """Add player names. Spark broadcasts ``players`` only where its size allows."""
-    return series.join(players.select(*KEY, "name"), KEY)
+    """Add player names to any series, NULL for players without one. Spark broadcasts ``players``
+    only where its size allows; ``window_sums`` adds names before windows are filled."""
+    return series.join(players.select(*KEY, "name"), KEY, "left")
 
 
 def with_minutes(series: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchlens.functions.barrier import evaluate_once
 from matchlens.functions.costs import resource_name
 from matchlens.functions.payload import (
     PARSED,
@@ -12,7 +13,7 @@ from matchlens.functions.payload import (
     payload_matches,
     with_parsed,
 )
-from matchlens.functions.timing import DEFAULT_WINDOW, MICROS
+from matchlens.functions.timing import DEFAULT_WINDOW, MICROS, int_div, window_micros
 from matchlens.functions.units import VILLAGER
 from matchlens.operators import activity, postgame, production, resources, series, stock
 from matchlens.operators.series import KEY, MATCH
@@ -21,6 +22,35 @@ from matchlens.sources.tables import MatchTables
 RESOURCE_VIEWS = ("spend", "balance", "stock", "postgame")
 
 
+def _summed_around_villagers(actions: DataFrame, window_s, pattern, mode: str) -> DataFrame:
+    """(match_id, player, t_us, v, v_trained, seq): a row for each villager action, with its
+    ``seq``, and one without for all other actions of a player in a window."""
+    acting = actions.filter(F.col("player").isNotNull() & F.col(MATCH).isNotNull() & F.col("t_us").isNotNull())
+    possible = is_production(F.col("type")) & may_match(acting, pattern)
+    parsed = with_parsed(acting, when=possible)
+    payload = F.col(PARSED)
+    is_match = payload.isNotNull() & payload_matches(payload, pattern, mode)
+    read = evaluate_once(parsed, _items=F.when(is_match, item_count(payload)))
+    villager = F.col("_items").isNotNull()
+    placed = read.select(
+        *KEY,
+        "t_us",
+        int_div(F.col("t_us"), window_micros(window_s)).alias("_window"),
+        F.when(villager, F.col("seq")).alias("_mark"),
+        F.coalesce("_items", F.lit(0).cast("bigint")).alias("_items"),
+    )
+    found = placed.groupBy(*KEY, "_window", "_mark").agg(
+        F.max("t_us").alias("t_us"),
+        F.count(F.lit(1)).alias("v"),
+        F.sum("_items").alias("v_trained"),
+        F.max("_mark").alias("seq"),
+    )
+    # Holds for all rows. It reads all columns, so that what the gaps and the windows each leave
+    # out is not taken from one of their exchanges, which then is shared.
+    some = F.greatest("v", "t_us", "v_trained", F.coalesce("seq", F.lit(0).cast("bigint"))) > 0
+    return found.filter(some).select(*KEY, "t_us", "v", "v_trained", "seq")
+
+
 def player_summary(
     tables: MatchTables,
     window_s=DEFAULT_WINDOW,
@@ -31,32 +61,22 @@ def player_summary(
 ) -> DataFrame:
     """One row per player: villagers, idle time, actions per minute.
 
-    Villagers are counted in the same pass over the actions as the windows of
-    actions per minute. Players without actions have NULL there, and a match of
-    no length has a NULL idle share.
+    The log is read and its payloads are parsed once: villager actions are kept one by one, for
+    the gaps between them, all others are summed by window, and both go through one exchange.
+    Players without actions have NULL in actions per minute, and a match of no length has a NULL
+    idle share.
     """
-    acting = tables.actions.filter(F.col("player").isNotNull())
-    possible = is_production(F.col("type")) & may_match(acting, pattern)
-    parsed = with_parsed(acting, when=possible)
-    payload = F.col(PARSED)
-    is_match = payload_matches(payload, pattern, mode)
-    trained = F.when(payload.isNotNull(), F.when(is_match, item_count(payload)))
-    zero = F.lit(0).cast("bigint")
-    rows = parsed.select(
-        *KEY,
-        "t_us",
-        F.lit(1).cast("bigint").alias("v"),
-        F.coalesce(trained, zero).alias("v_trained"),
-    )
-    sums = series.window_sums(rows, window_s)
+    rows = _summed_around_villagers(tables.actions, window_s, pattern, mode)
+    sums = series.window_sums(rows.drop("seq"), window_s)
     apm = activity.stats_of_sums(sums, window_s, F.sum("v_trained").alias("villagers_trained"))
 
-    gaps = production.villager_gaps(tables.actions, pattern, mode)
+    gaps = production.gaps_in_order(rows.filter(F.col("seq").isNotNull()))
     idle = (
         production.idle_increments(gaps, base_prod_time, gap_threshold)
         .groupBy(*KEY)
         .agg(F.sum("v").alias("idle_us"))
     )
+    zero = F.lit(0).cast("bigint")
     joined = (
         tables.players.join(tables.matches.select(MATCH, "duration_us"), MATCH, "left")
         .join(apm, KEY, "left")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlens import schema
 from matchlens.functions.constants import constant_array
 from matchlens.functions.costs import KINDS, RESOURCES
 from matchlens.functions.payload import is_production
@@ -47,6 +48,22 @@ def repeated_keys(actions: DataFrame) -> DataFrame:
     return _prefixed(actions, F.lit(True), '"unit_name":"Monk"')
 
 
+def damaged_lines(actions: DataFrame) -> str:
+    """A folder of actions as JSON lines: of a hundred, one breaks off, one has no match and one has
+    a time that is no number."""
+    n = F.col("seq") % 100
+    whole = F.to_json(F.struct(*schema.ACTIONS.fieldNames()))
+    line = (
+        F.when(n == 13, F.concat(F.lit('{"match_id":'), "match_id", F.lit(',"seq":'), "seq"))
+        .when(n == 14, F.concat(F.lit('{"seq":'), "seq", F.lit("}")))
+        .when(n == 15, F.concat(F.lit('{"match_id":'), "match_id", F.lit(',"t_us":"soon"}')))
+        .otherwise(whole)
+    )
+    path = fresh_path(actions.sparkSession, "lines")
+    actions.select(line.alias("value")).write.text(path)
+    return path
+
+
 def without_player(actions: DataFrame, player: int) -> DataFrame:
     """Odd matches without the actions of a player."""
     return actions.filter((F.col(MATCH) % 2 == 0) | ~F.col("player").eqNullSafe(F.lit(player)))

@@ -455,6 +455,13 @@ WITH {_ACTIONS}, {_windows("""
 chosen AS (SELECT match_id, bool_or(player = 1) AS one FROM who GROUP BY match_id)
 {_series("CAST(v * 60 AS DOUBLE) / 60", of="dense JOIN chosen USING (match_id)")}
 WHERE player = 1 OR NOT one""",
+        "actions_rejected": f"""
+WITH {_ACTIONS}
+SELECT true AS source_file, CASE seq % 100 WHEN 14 THEN 'no match_id' ELSE 'malformed' END AS reason,
+       CASE seq % 100 WHEN 13 THEN '{{"match_id":' || match_id || ',"seq":' || seq
+                      WHEN 14 THEN '{{"seq":' || seq || '}}'
+                      ELSE '{{"match_id":' || match_id || ',"t_us":"soon"}}' END AS record
+FROM actions WHERE seq % 100 IN (13, 14, 15)""",
         "apm_minutes": f"""
 SELECT *, CAST(time_sec AS DOUBLE) / 60 AS time_min FROM ({_apm()})""",
         "actions_reread": f"""

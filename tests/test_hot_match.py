@@ -1,6 +1,7 @@
 """One match that holds nearly all actions: many tasks, and the same results."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +67,31 @@ def test_a_hot_match_uses_several_tasks(spark, monkeypatch):
     finally:
         for setting in plain:
             spark.conf.unset(setting)
+
+
+@pytest.mark.parametrize("chunk, levels", [(4, 2), (4, 5), (1, 1), (1 << 20, 2), (3, 0)])
+def test_gaps_over_levels_of_ranges(spark, chunk, levels):
+    rng = random.Random(3)
+    seqs = [*rng.sample(range(64), 50), *rng.sample(range(1 << 40), 30)]
+    rows = [(m, p, s, rng.randrange(10**9)) for m in (1, 2) for p in (1, 2) for s in seqs if rng.random() < 0.8]
+    frame = spark.createDataFrame(rows, "match_id long, player int, seq long, t_us long").repartition(3)
+    found = sorted(map(tuple, production.gaps_in_order(frame, chunk, levels).collect()))
+    last, wanted = {}, []
+    for m, p, s, t in sorted(rows):
+        before = last.get((m, p))
+        wanted.append((m, p, s, t, None if before is None else t - before))
+        last[m, p] = t
+    assert found == wanted
+
+
+def test_no_group_of_a_hot_player_is_larger_than_a_range(spark):
+    frame = spark.range(64).select(F.lit(1).cast("long").alias("match_id"), F.lit(1).alias("player"),
+                                   F.col("id").alias("seq"), F.col("id").alias("t_us"))
+    plan = production.gaps_in_order(frame, 4)._jdf.queryExecution().analyzed().toString()
+    keys = re.findall(r"windowspecdefinition\((.*?), (?:seq|_chunk\d)#\d+L ASC", plan)
+    keys = {re.sub(r"#\d+L?", "", k) for k in keys}
+    # 64 rows are 16 ranges of 4, and those 4 ranges of 4: the last window holds these
+    assert keys == {"match_id, player, _chunk", "match_id, player"}
+    levels = [frame.groupBy(F.expr(f"seq div {4 ** k}")).count().groupBy(F.expr(f"`(seq div {4 ** k})` div 4")).count()
+              for k in (0, 1, 2)]
+    assert [max(r["count"] for r in level.collect()) for level in levels] == [4, 4, 4]

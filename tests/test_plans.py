@@ -99,3 +99,12 @@ def test_only_matches_without_stock_are_priced(spark, stored):
     assert plan.count("LeftAnti") == 1
     assert plan.index("parseJson") < plan.index("LeftAnti")
     assert "parseJson" not in plan[plan.index("LeftAnti") :]
+
+
+def test_player_summary_reads_and_parses_the_log_once(spark, stored):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that reuse shows
+    try:
+        plan = _plan(spark, BY_NAME["player_summary"](stored))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("parseJson") == 1 and plan.count("FileScan") == 3
