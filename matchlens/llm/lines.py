@@ -21,7 +21,7 @@ from matchlens.llm.store import free_name, row_key, written
 
 #: Bounds of the query, as in its SQL: lines with fewer words always stay; lines from so many words
 #: on are also compared for edits. Where all lines are compared, those with fewer words than the
-#: second are read by character, so that one edit in so many or more counts there, too.
+#: second are compared for equality, and an edit of a word with a digit does not count.
 LEAST_WORDS, NEAR_WORDS = 3, 8
 #: How a line takes part in a meeting: with a gap at its place, with a word cut out anywhere, as
 #: it is. The first meet each other, the others meet across.
@@ -73,17 +73,13 @@ def _said(docs: DataFrame) -> DataFrame:
 
 def _read(said: DataFrame, every: bool) -> DataFrame:
     """Add words, n_words, marks (hashes of the words) and key to lines of ``LEAST_WORDS`` or
-    more, or to ``every`` line that is not blank. Of the latter, words are the characters (after
-    a line feed, which no word has) where there are enough of these but not of words."""
+    more, or to ``every`` line that is not blank."""
     rows = said.withColumn("words", _words(F.col("said"))).drop("said")
+    rows = rows.withColumn("n_words", F.size("words"))
     if every:
-        rows = rows.withColumn("plain", F.array_join("words", " ")).where("plain <> ''")
-        is_short = (F.size("words") < NEAR_WORDS) & (F.char_length("plain") >= NEAR_WORDS)
-        letters = F.transform(F.split("plain", ""), lambda c: F.concat(F.lit("\n"), c))
-        rows = rows.withColumn("words", F.when(is_short, letters).otherwise(F.col("words")))
-        rows = rows.drop("plain").withColumn("n_words", F.size("words"))
+        rows = rows.where((F.col("n_words") > 1) | (F.get("words", F.lit(0)) != ""))
     else:
-        rows = rows.withColumn("n_words", F.size("words")).where(F.col("n_words") >= LEAST_WORDS)
+        rows = rows.where(F.col("n_words") >= LEAST_WORDS)
     rows = rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
     return rows.withColumn("key", _key(F.col("marks")))
 
@@ -126,7 +122,10 @@ def _near(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: bool) ->
         gap = F.struct(F.lit(GAP).alias("role"), F.xxhash64(x, i).alias("x"), y.alias("y"))
         return F.array(gap, F.struct(F.lit(CUT).alias("role"), x.alias("x"), y.alias("y")))
 
-    gaps = F.flatten(F.transform(F.sequence("low", "high"), meetings))
+    places = F.sequence("low", "high")
+    if every:  # numbers, dates and amounts tell lines apart: no edit there
+        places = F.filter(places, lambda i: ~F.get("words", i).rlike(r"\p{N}"))
+    gaps = F.flatten(F.transform(places, meetings))
     copies = lines.select("order", F.inline(gaps))
     whole = lines.select("order", F.lit(WHOLE).alias("role"), "key.x", "key.y")
     met = written(copies.union(whole), "variants")
@@ -161,7 +160,7 @@ def _one_edit() -> Column:
 
 def removed_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, row_key, line) of each line to remove; ``line`` counts from 0. With ``every``,
-    lines of any number of words are compared, see ``_read``."""
+    lines of any number of words are compared, see ``dedup_lines``."""
     halves = F.when(
         F.col("n_words") >= NEAR_WORDS, _halves(F.col("marks"), F.col("n_words"))
     ).otherwise(F.array().cast("array<bigint>"))
@@ -205,8 +204,9 @@ def kept_text(removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, every: bool = True) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; rows and other columns stay.
 
-    All lines but blank ones are compared, those of less than ``NEAR_WORDS`` words by character.
-    Without ``every``, the bounds of the query hold.
+    All lines but blank ones are compared for equality. Those of ``NEAR_WORDS`` words and more also
+    go if an earlier one is within one word, unless that word has a digit; headings, dates, amounts
+    and code, which differ in little, so stay. Without ``every``, the bounds of the query hold.
 
     The earliest line is that with the smallest (doc_id, line), null doc_ids first. Whether an
     earlier line goes itself does not matter. Null and empty texts stay as they are; a document

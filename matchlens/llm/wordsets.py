@@ -2,14 +2,14 @@
 
 Exact, without sampling: two sets with a Jaccard likeness of 0.8 have in common at least four
 fifths of either, so under any order of all runs they meet among the first n - ceil(0.8 n) + 1 of
-each. A first pass takes the order of the hashes and finds the texts that meet any other; a
-second orders the runs of those by how many of them have it, so that runs of their own come
-first and texts with less than four fifths of shared runs drop out. What meets is compared over
-the whole sets.
+each. Runs are ordered by how many texts have them, as a table of hashed counts tells, so these first
+ones are mostly runs that hardly any other text has. A pair that meets is only looked at if the
+places of the common run leave room for four fifths, and is then compared over the whole sets.
 
 A run that many texts have is not compared pair by pair at once: all are compared with the least
-of them first. Of those that are still apart afterwards, each is compared with every text of the
-run that is not in its own component.
+of them first. Runs whose texts are still apart are joined to groups, by the texts they share; a
+group is cut into packs of bounded size, and tasks compare pack with pack. They pass on links
+only, at most one a text, so nothing that is written grows with the pairs of a group.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ from matchlens.llm.store import row_key, ship, written
 
 #: Words in a run; texts link if they share at least LIKE[0] / LIKE[1] of all runs of both.
 RUN, LIKE = 5, (4, 5)
+#: Hashed counts of runs (2 MB). They only decide an order, so any number of runs gives right links.
+COUNTS = 1 << 18
+#: Runs of all texts of a pack, on average; packs that one task compares with each pack of a group.
+PACK, TOGETHER = 1 << 15, 8
+#: How many pairs of packs reach Python at once: they are large rows.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def runs(text: bytes | None) -> np.ndarray:
@@ -52,24 +58,45 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTS, dtype=np.int64)
     for batch in batches:
-        found = [runs(t) for t in batch.column(2).to_pylist()]
-        keys = [xxhash.xxh128_digest(r.tobytes()) for r in found]
-        sizes = pa.array([len(r) for r in found], pa.int32())
-        first = _lists([r[: len(r) - _least_common(len(r)) + 1] for r in found])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(keys, pa.binary()), sizes, first],
-            names=["doc_id", "row_key", "key", "n", "first"],
-        )
+        for text in batch.column(0).to_pylist():
+            np.add.at(counts, runs(text) & (COUNTS - 1), 1)
+    place = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(counts[place])], names=["place", "count"])
+
+
+def _hashed_counts(rows: DataFrame) -> np.ndarray:
+    """How many texts have the runs of each hash bucket."""
+    found = rows.select("text").mapInArrow(_counting, "place long, count long")
+    found = found.groupBy("place").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(COUNTS, dtype=np.int64)
+    counts[found.column("place").to_numpy()] = found.column("count").to_numpy()
+    return counts
+
+
+def _beginning(given):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = given.value
+        for batch in batches:
+            found = [runs(t) for t in batch.column(2).to_pylist()]
+            keys = [xxhash.xxh128_digest(r.tobytes()) for r in found]
+            sizes = pa.array([len(r) for r in found], pa.int32())
+            ranked = (r[np.argsort(counts[r & (COUNTS - 1)], kind="stable")] for r in found)
+            first = _lists([r[: len(r) - _least_common(len(r)) + 1] for r in ranked])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(keys, pa.binary()), sizes, first],
+                names=["doc_id", "row_key", "key", "n", "first"],
+            )
+
+    return run
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = _lists([runs(t) for t in batch.column(3).to_pylist()])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], found], names=["key", "root", "n", "runs"]
-        )
+        found = _lists([runs(t) for t in batch.column(1).to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "runs"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -84,101 +111,189 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return (a["row_key"] == b["row_key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
-def _meeting(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, root, n, runs) of the sets that meet another among their first runs."""
-    entries = sets.select(F.xxhash64("key").alias("k"), F.explode("first").alias("run"))
-    shared = entries.groupBy("run").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+def _entries(begun: DataFrame, roots: DataFrame) -> DataFrame:
+    """(run, key, at, n, root): the first runs of each set that another set has among its first."""
+    each = begun.select(F.posexplode("first").alias("at", "run"), "key", "n")
+    shared = each.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     shared = written(shared.where("low <> high").select("run"), "runs")
-    keys = written(entries.join(shared, "run").select("k").distinct(), "keys")
-    chosen = sets.join(keys, F.xxhash64("key") == F.col("k"), "left_semi").drop("first")
-    chosen, rows = written(chosen, "chosen"), _rows(docs)
-    texts = rows.join(chosen, _same_row(rows, chosen)).select("key", "root", "n", "text")
-    whole = texts.mapInArrow(_whole, "key binary, root long, n int, runs array<long>")
-    return written(whole.dropDuplicates(["key"]), "whole")
-
-
-def _entries(whole: DataFrame) -> DataFrame:
-    """(run, key, root, n): the first runs of each set that others have too, rarest first."""
-    each = whole.select("key", "root", "n", F.explode("runs").alias("run"))
-    counts = written(each.groupBy("run").count().where("count > 1"), "counts")
-    found = each.join(counts, "run").groupBy("key", "root", "n")
-    found = found.agg(F.sort_array(F.collect_list(F.struct("count", "run"))).alias("shared"))
-    spare = F.size("shared") - F.ceil(F.col("n") * LIKE[0] / LIKE[1]).cast("int")
-    found = found.withColumn("spare", spare).where("spare >= 0")
-    first = F.explode(F.slice("shared", F.lit(1), F.col("spare") + 1)).alias("first")
-    return written(found.select("key", "root", "n", first).select("first.run", "key", "root", "n"))
-
-
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(a, b): the roots of the ``pairs`` of keys (a, b) that are alike enough."""
-    left, right = (
-        whole.select(
-            F.col("key").alias(x), F.col("root").alias(f"root_{x}"), F.col("runs").alias(f"runs_{x}")
-        )
-        for x in ("a", "b")
-    )
-    common = F.size(F.array_intersect("runs_a", "runs_b"))
-    both = F.size("runs_a") + F.size("runs_b")
-    alike = common * sum(LIKE) >= both * LIKE[0]
-    found = pairs.join(left, "a").join(right, "b").where(alike)
-    return written(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    found = each.join(shared, "run").dropDuplicates(["run", "key"])
+    return written(found.join(roots, "key").select("run", "key", "at", "n", "root"), "entries")
 
 
-def _sizes_fit(a: str, b: str) -> Column:
-    return F.least(a, b) * LIKE[1] >= F.greatest(a, b) * LIKE[0]
+def _whole_sets(rows: DataFrame, begun: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, runs) of the sets in ``keys``."""
+    chosen = begun.select("key", "doc_id", "row_key").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    chosen = written(chosen, "chosen")
+    texts = rows.join(chosen, _same_row(rows, chosen)).select("key", "text")
+    return written(texts.mapInArrow(_whole, "key binary, runs array<long>").dropDuplicates(["key"]), "whole")
 
 
-def _side(entries: DataFrame, x: str, root: str = "root") -> DataFrame:
-    return entries.select(
-        "run", F.col("key").alias(x), F.col(root).alias(f"r{x}"), F.col("n").alias(f"n{x}")
-    )
+def _room(x: str, y: str) -> Column:
+    """Whether what follows the common run, in the same order in both, can be enough."""
+    left = F.least(F.col(f"n{x}") - F.col(f"at{x}"), F.col(f"n{y}") - F.col(f"at{y}"))
+    return left * sum(LIKE) >= (F.col(f"n{x}") + F.col(f"n{y}")) * LIKE[0]
+
+
+def _side(entries: DataFrame, x: str) -> DataFrame:
+    columns = {"key": x, "root": f"r{x}", "n": f"n{x}", "at": f"at{x}"}
+    return entries.select("run", *[F.col(c).alias(name) for c, name in columns.items()])
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    apart = left.join(right, "run").where((F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb"))
-    return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """(a, b, ra, rb): keys that meet and are not in one component yet."""
+    apart = left.join(right, "run").where((F.col("ra") != F.col("rb")) & _room("a", "b"))
+    swap = F.col("a") > F.col("b")
+    low = F.struct("a", "b", "ra", "rb")
+    high = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rb").alias("ra"), F.col("ra").alias("rb"))
+    return apart.select(F.when(swap, high).otherwise(low).alias("p")).select("p.*").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, begun: DataFrame) -> DataFrame:
+    """(a, b): the roots of the ``pairs`` that are alike enough."""
+    pairs = written(pairs, "pairs")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    whole = _whole_sets(rows, begun, keys)
+    left, right = (
+        whole.select(F.col("key").alias(x), F.col("runs").alias(f"runs_{x}")) for x in ("a", "b")
+    )
+    common = F.size(F.array_intersect("runs_a", "runs_b"))
+    both = F.size("runs_a") + F.size("runs_b")
+    found = pairs.join(left, "a").join(right, "b").where(common * sum(LIKE) >= both * LIKE[0])
+    return written(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of two packs are alike enough: their numbers in either."""
+    sizes = np.array([len(r) for r in (*left, *right)])
+    values, place, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    shared = times[place] > 1
+    number = np.cumsum(times > 1) - 1
+    width = int((times > 1).sum())
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    for begin in range(0, width, 4096):  # so many runs at a time
+        column = number[place] - begin
+        here = shared & (column >= 0) & (column < 4096)
+        has = np.zeros((len(sizes), min(4096, width - begin)), dtype=np.float32)
+        has[owner[here], column[here]] = 1
+        common += (has[: len(left)] @ has[len(left) :].T).astype(np.int64)
+    both = sizes[: len(left), None] + sizes[None, len(left) :]
+    return np.nonzero(common * sum(LIKE) >= both * LIKE[0])
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the same nodes with as few as possible."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = x = top.get(y, y)
+        return x
+
+    kept = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        one, other = find(x), find(y)
+        if one != other:
+            top[max(one, other)] = min(one, other)
+            kept.append((one, other))
+    return kept
+
+
+def _comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links = []
+        for i in range(batch.num_rows):
+            sides = []
+            for column in (0, 1):
+                pack = batch.column(column)[i].values
+                roots = pack.field("root").to_numpy(zero_copy_only=False)
+                lists = pack.field("runs")
+                ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                sides.append((roots, [values[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]))
+            (mine, left), (theirs, right) = sides
+            at, there = alike(left, right)
+            links += _spanning(mine[at], theirs[there])
+        a, b = zip(*links, strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _packs(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """(group, packs, pack, sets): the sets of each group, in packs of bounded size."""
+    sizes = members.groupBy("group").agg(F.ceil(F.sum("n") / PACK).alias("packs"))
+    dealt = members.join(sizes, "group").join(whole, "key")
+    pack = F.pmod(F.xxhash64("key"), F.col("packs")).alias("pack")
+    sets = F.collect_list(F.struct("root", "runs")).alias("sets")
+    return dealt.select("group", "packs", pack, "root", "runs").groupBy("group", "packs", "pack").agg(sets)
+
+
+def _within_groups(open_: DataFrame, rows: DataFrame, begun: DataFrame) -> DataFrame:
+    """(a, b): links between the roots of ``open_`` (run, key, n, root) that share a run."""
+    named = written(open_.withColumn("node", F.xxhash64("key")), "open")
+    least = named.groupBy("run").agg(F.min("node").alias("a"))
+    groups = components(named.join(least, "run").select("a", F.col("node").alias("b")))
+    members = named.join(groups.withColumnRenamed("root", "group"), "node")
+    members = written(members.select("group", "key", "n", "root").distinct(), "members")
+    whole = _whole_sets(rows, begun, members.select("key"))
+    packs = written(_packs(members, whole), "packs")
+    # A task takes TOGETHER packs of a group and meets all packs of it that are not before them.
+    shares = F.ceil(F.col("packs") / TOGETHER)
+    left = packs.select("group", "pack", F.floor(F.col("pack") / TOGETHER).alias("share"), F.col("sets").alias("one"))
+    right = packs.select(
+        "group", F.col("pack").alias("other_pack"), F.col("sets").alias("other"),
+        F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"),
+    ).where(F.col("share") <= F.floor(F.col("other_pack") / TOGETHER))
+    met = left.join(right, ["group", "share"]).where("pack <= other_pack").select("one", "other")
+    spark = rows.sparkSession
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "8")  # pairs of packs are large rows
+    try:
+        return written(met.mapInArrow(_comparing, "a long, b long").distinct(), "links")
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def similar(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """Links (a, b) between roots of ``rooted`` (doc_id, row_key, root of each row of ``docs``).
-    With them, all texts that have a Jaccard likeness of 0.8 are in one component."""
-    ship(docs.sparkSession)
-    begun = _rows(docs).mapInArrow(
-        _beginnings, "doc_id long, row_key long, key binary, n int, first array<long>"
+    With them, all texts that have a Jaccard likeness of 0.8 are in one component.
+
+    A text of 1 to ``RUN`` words is one run; texts without words (null, empty, blank) have none and
+    get no links here. Repeated rows and equal sets count as one set. A very long text is one
+    row of its pack. An empty table gives no links.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = _rows(docs)
+    given = spark.sparkContext.broadcast(_hashed_counts(rows))
+    begun = rows.mapInArrow(
+        _beginning(given), "doc_id long, row_key long, key binary, n int, first array<long>"
     )
+    begun = written(begun, "begun")
     rooted = rooted.dropDuplicates(["doc_id", "row_key"])
-    placed = begun.join(rooted, _same_row(begun, rooted)).select(
-        begun["doc_id"], begun["row_key"], "key", "n", "first", "root"
-    )
-    placed = written(placed, "placed")
-    least = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z"))
-    least = written(least.where("a <> z").select("key", "a"), "least")
-    links = placed.join(least, "key").where("a <> root").select("a", F.col("root").alias("b"))
-    links = written(links.distinct(), "links")
-
-    whole = _meeting(docs, written(placed.dropDuplicates(["key"]), "sets"))
-    entries = _entries(whole)
-    cells = written(entries.groupBy("run").agg(F.min("key").alias("least"), F.count("key").alias("count")))
+    of_row = begun.select("doc_id", "row_key", "key")
+    of_set = of_row.join(rooted, _same_row(of_row, rooted)).select("key", "root").distinct()
+    of_set = written(of_set, "placed")
+    least = written(of_set.groupBy("key").agg(F.min("root").alias("root")), "roots")
+    same = of_set.join(least.withColumnRenamed("root", "a"), "key").where("a <> root")
+    links = same.select("a", F.col("root").alias("b")).distinct()
+
+    entries = _entries(begun, least)
+    cells = entries.groupBy("run").agg(F.min("key").alias("least"), F.count("key").alias("count"))
+    cells = written(cells, "cells")
     small = entries.join(cells.where(F.col("count").between(2, PAIRED)), "run").drop("least", "count")
     small = written(small, "small")
-    pairs = _pairs(_side(small, "a"), _side(small, "b"))
-    links = links.union(_verified(written(pairs, "pairs"), whole))
+    links = links.union(_verified(_pairs(_side(small, "a"), _side(small, "b")), rows, begun))
 
     crowded = entries.join(cells.where(F.col("count") > PAIRED), "run").drop("count")
     crowded = written(crowded, "crowded")
-    pivots = crowded.where("key = least")
-    stars = _pairs(_side(pivots, "a"), _side(crowded, "b"))
-    links = written(links.union(_verified(written(stars, "stars"), whole)), "links")
     if crowded.isEmpty():
         return links
+    stars = _pairs(_side(crowded.where("key = least"), "a"), _side(crowded, "b"))
+    links = written(links.union(_verified(stars, rows, begun)), "links")
     joined = components(links)
     crowded = crowded.join(joined, crowded["root"] == joined["node"], "left").select(
         "run", "key", "n", F.coalesce(joined["root"], crowded["root"]).alias("root")
     )
     crowded = written(crowded, "crowded")
-    parts = crowded.groupBy("run", "root").count().groupBy("run").agg(
-        F.max(F.struct("count", "root"))["root"].alias("most"), F.count("root").alias("parts")
-    )
-    open_ = written(crowded.join(parts.where("parts > 1"), "run").drop("parts"), "open")
-    left = _pairs(_side(open_.where("root <> most"), "a"), _side(open_, "b"))
-    return links.union(_verified(written(left, "left"), whole))
+    parts = crowded.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = crowded.join(parts.where("low <> high").select("run"), "run", "left_semi")
+    return links.union(_within_groups(open_, rows, begun))
