@@ -9,6 +9,7 @@ from golden import golden_tables
 from matchlens.operators import activity, series
 from matchlens.plans import variants
 from matchlens.sources.rejects import read_rejecting
+from matchlens.sources.scratch import shared_folder
 from matchlens.sources.tables import write_table
 
 
@@ -64,3 +65,19 @@ def test_players_without_a_name_stay_and_are_counted(spark):
     lost = {(r.match_id, r.player) for r in rows if r.name is None}
     assert lost and missing.get["unnamed"] == len(lost)
     assert sorted(map(str, series.with_names(plain, some).select(named.columns).collect())) == sorted(map(str, rows))
+
+
+class _Session:
+    """What ``shared_folder`` asks of a session."""
+
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})()
+
+
+def test_folder_for_intermediate_tables():
+    assert shared_folder(_Session("hdfs:///x/", "yarn")) == "hdfs:///x"
+    local = _Session(None, "local[2]")
+    assert shared_folder(local) == shared_folder(local) and shared_folder(local).startswith("file:///")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(_Session(None, "spark://host:7077"))
