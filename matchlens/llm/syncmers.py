@@ -88,27 +88,25 @@ def passages(pairs: DataFrame, key: str, text: str, other: str, least: int = 2)
     a mark is matched with every place in the other text, so rows grow with the repeats of a mark
     within a pair of texts. ``key`` tells pairs apart; pairs where it is null are left out.
     """
-    rows = pairs.select(F.col(key), F.col(text).alias("text"), F.col(other).alias("other"))
+    rows = pairs.select(F.col(key).alias("pair"), F.col(text).alias("text"), F.col(other).alias("other"))
     sides = with_syncmers(with_syncmers(rows, "text", "one"), "other", "two")
-    sides = written(sides.select(key, "one", "two"), "syncmers")
-    one = sides.select(key, F.inline("one"))
-    two = sides.select(key, F.inline("two").alias("other_at", "mark"))
-    met = one.join(two, [key, "mark"]).withColumn("offset", F.col("other_at") - F.col("at"))
-    on = Window.partitionBy(key, "offset").orderBy("at")
+    sides = written(sides.select("pair", "one", "two"), "syncmers")
+    one = sides.select("pair", F.inline("one"))
+    two = sides.select("pair", F.inline("two").alias("other_at", "mark"))
+    met = one.join(two, ["pair", "mark"]).withColumn("offset", F.col("other_at") - F.col("at"))
+    on = Window.partitionBy("pair", "offset").orderBy("at")
     begins = F.col("at") - F.lag("at").over(on) > K
     begun = met.withColumn("begins", F.coalesce(begins, F.lit(True)).cast("int"))
     found = begun.withColumn("passage", F.sum("begins").over(on))
-    return (
-        found.groupBy(key, "offset", "passage")
-        .agg(F.min("at").alias("at"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n_marks"))
-        .where(F.col("n_marks") >= least)
-        .select(
-            key,
-            "at",
-            (F.col("at") + F.col("offset")).alias("other_at"),
-            (F.col("last") - F.col("at") + K).alias("n_words"),
-            "n_marks",
-        )
+    ends = found.groupBy("pair", "offset", "passage").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("marks")
+    )
+    return ends.where(F.col("marks") >= least).select(
+        F.col("pair").alias(key),
+        F.col("first").alias("at"),
+        (F.col("first") + F.col("offset")).alias("other_at"),
+        (F.col("last") - F.col("first") + K).alias("n_words"),
+        F.col("marks").alias("n_marks"),
     )
 
 
@@ -145,7 +143,8 @@ def with_next(rows: DataFrame) -> DataFrame:
     firsts = written(firsts.select(before.alias("range"), "top"), "firsts")
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
     following = F.lead(F.struct("text", "marks")).over(Window.partitionBy("range").orderBy(*order))
-    dealt = with_fingerprint(rows, "text", "marks").withColumn("following", following)
+    # Texts are dealt first, and marks taken where they are sorted: marks are never shuffled.
+    dealt = with_fingerprint(rows.repartition("range"), "text", "marks").withColumn("following", following)
     found = dealt.join(firsts, "range").withColumn("following", F.coalesce("following", "top"))
     return found.select(
         *rows.drop("range").columns,

@@ -151,3 +151,41 @@ def test_fingerprints_of_long_texts_are_whole(spark):
         r = found[key]
         assert r.other_at - r.at == there - at
         assert at <= r.at <= at + 3 and at + 56 < r.at + r.n_words <= at + 60 and r.n_marks >= 15
+
+
+def test_passages_take_any_name_of_the_key(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, f"x y {words}"), (None, words, words), (3, None, words), (4, "", "")]
+    for name in ("at", "mark", "pair", "offset", "n_words"):
+        frame = spark.createDataFrame(rows, f"{name} long, text string, other string")
+        found = [tuple(r) for r in syncmers.passages(frame, name, "text", "other").collect()]
+        assert [(r[0], r[2] - r[1]) for r in found] == [(1, 2)]
+    assert syncmers.passages(frame.where("false"), "n_words", "text", "other").count() == 0
+
+
+def _plain_syncmers(spark, text):
+    """Hashes of runs of K words whose least inner run of S words is the first or last of them."""
+    words = [w for w in (text or "").lower().split() if w]
+    k, s = syncmers.K, syncmers.S
+    frame = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    hashes = frame.first().h
+    pairs = [tuple(hashes[i : i + s]) for i in range(len(hashes) - s + 1)]
+    inner = [r.v for r in spark.createDataFrame(pairs or [(0, 0)], "a long, b long").select(F.xxhash64("a", "b").alias("v")).collect()]
+    chosen = []
+    for i in range(len(hashes) - k + 1):
+        within = inner[i : i + k - s + 1]
+        if min(within) in (within[0], within[-1]):
+            chosen.append(i)
+    return chosen
+
+
+def test_syncmers_are_those_of_a_plain_count(spark):
+    rng = random.Random(4)
+    for n in (5, 6, 40, 300):
+        text = " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+        frame = spark.createDataFrame([(text,)], "text string")
+        found = syncmers.with_syncmers(frame, "text", "out").first().out
+        assert [m["at"] for m in found] == _plain_syncmers(spark, text)
+        runs = [tuple(text.split()[m["at"] : m["at"] + syncmers.K]) for m in found]
+        marks = [m["mark"] for m in found]
+        assert len(set(runs)) == len(set(marks)) == len(set(zip(runs, marks, strict=True)))
