@@ -89,3 +89,25 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """
     by_type = df.sortWithinPartitions("type") if "type" in df.columns else df
     by_type.write.mode(mode).parquet(path)
+
+
+def write_bucketed(
+    tables: MatchTables, prefix: str, root: str, buckets: int, mode: str = "errorifexists"
+) -> None:
+    """Store all tables dealt over ``buckets`` by match, as catalog tables ``<prefix>_<name>``.
+
+    Series of such tables shuffle no actions, only the windows that are left of them: all rows
+    of a match are in one bucket already. In return both sides of the join on blocks scan the log. A
+    match is then one task's work, so this suits logs in which no match holds a large share of the
+    rows. The catalog must outlive the session for use in later ones.
+    """
+    for name in MatchTables.__dataclass_fields__:
+        dealt = getattr(tables, name).repartition(buckets, "match_id")
+        writer = dealt.write.mode(mode).bucketBy(buckets, "match_id").sortBy("match_id")
+        writer.option("path", f"{root}/{name}").saveAsTable(f"{prefix}_{name}")
+
+
+def read_bucketed(spark: SparkSession, prefix: str) -> MatchTables:
+    """The tables stored by ``write_bucketed``."""
+    names = MatchTables.__dataclass_fields__
+    return MatchTables(**{name: spark.table(f"{prefix}_{name}") for name in names})

@@ -6,7 +6,7 @@ import pytest
 
 from golden import golden_tables
 from matchlens.catalog import BY_NAME
-from matchlens.sources.tables import MatchTables, read_tables, write_table
+from matchlens.sources.tables import MatchTables, read_bucketed, read_tables, write_bucketed, write_table
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,21 @@ def test_player_summary_reads_and_parses_the_log_once(spark, stored):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("parseJson") == 1 and plan.count("FileScan") == 3
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, tmp_path_factory):
+    write_bucketed(golden_tables(spark), "golden", str(tmp_path_factory.mktemp("buckets")), 3)
+    yield read_bucketed(spark, "golden")
+    for name in MatchTables.__dataclass_fields__:
+        spark.sql(f"DROP TABLE golden_{name}")
+
+
+@pytest.mark.parametrize("name", ["apm_timeseries", "apm_stats", "resource_balance_food", "player_summary"])
+def test_actions_of_bucketed_tables_are_not_shuffled(spark, bucketed, stored, name):
+    plan = _plan(spark, BY_NAME[name](bucketed))
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    # What is shuffled are windows of players and what is left of blocks, for a join, and the ranges
+    # of gaps. No exchange brings actions together by window or by match.
+    assert not any("bucket#" in k or "_window#" in k or re.fullmatch(r"match_id#\d+L, \d+", k) for k in keys)
+    assert sorted(map(str, BY_NAME[name](bucketed).collect())) == sorted(map(str, BY_NAME[name](stored).collect()))
