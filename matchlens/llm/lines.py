@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchlens.functions.barrier import evaluate_once
 from matchlens.llm.store import free_name, row_key, written
 
 #: Bounds of the query, as in its SQL: lines with fewer words always stay; lines from so many words
@@ -37,17 +38,17 @@ def _words(line: Column) -> Column:
 
 
 def _key(marks: Column) -> Column:
-    """128 bits of a line, from the hashes of its words."""
+    """128 bits by which lines meet those with a word less, from the hashes of their words."""
     both = F.aggregate(marks, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     return F.struct(F.xxhash64(marks).alias("x"), both.alias("y"))
 
 
-def _halves(marks: Column, n: Column) -> Column:
+def _halves(words: Column, n: Column) -> Column:
     """Hashes of the halves, cut as for a line of this length and of one word less; those of
     first halves are odd."""
     heads, tails = [F.floor(n / 2), F.floor((n - 1) / 2)], [F.ceil(n / 2), F.ceil((n - 1) / 2)]
-    heads = [F.slice(marks, F.lit(1), k.cast("int")) for k in heads]
-    tails = [F.slice(marks, -k.cast("int"), k.cast("int")) for k in tails]
+    heads = [F.slice(words, F.lit(1), k.cast("int")) for k in heads]
+    tails = [F.slice(words, -k.cast("int"), k.cast("int")) for k in tails]
     return F.array_distinct(
         F.array(
             *[F.xxhash64(half).bitwiseOR(F.lit(1)) for half in heads],
@@ -71,21 +72,22 @@ def _said(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_key", F.posexplode("lines").alias("line", "said"))
 
 
-def _read(said: DataFrame, every: bool) -> DataFrame:
-    """Add words, n_words, marks (hashes of the words) and key to lines of ``LEAST_WORDS`` or
-    more, or to ``every`` line that is not blank."""
-    rows = said.withColumn("words", _words(F.col("said"))).drop("said")
-    rows = rows.withColumn("n_words", F.size("words"))
+def _read(said: DataFrame) -> DataFrame:
+    """Add words, n_words and key, 128 bits of the words in order."""
+    rows = evaluate_once(said, words=_words(F.col("said"))).drop("said")
+    key = F.struct(F.xxhash64("words").alias("x"), F.xxhash64(F.lit(1), "words").alias("y"))
+    return rows.withColumn("n_words", F.size("words")).withColumn("key", key)
+
+
+def _compared(every: bool) -> Column:
+    """Lines of ``LEAST_WORDS`` or more, or ``every`` line that is not blank."""
     if every:
-        rows = rows.where((F.col("n_words") > 1) | (F.get("words", F.lit(0)) != ""))
-    else:
-        rows = rows.where(F.col("n_words") >= LEAST_WORDS)
-    rows = rows.withColumn("marks", F.transform("words", lambda w: F.xxhash64(w)))
-    return rows.withColumn("key", _key(F.col("marks")))
+        return (F.col("n_words") > 1) | (F.get("words", F.lit(0)) != "")
+    return F.col("n_words") >= LEAST_WORDS
 
 
-def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: bool) -> DataFrame:
-    """(order, words, marks, key, low, high): lines with a half in common with another line, at
+def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(order, words, key, low, high): lines with a half in common with another line, at
     their earliest place, and between which words the edit to such a line must be."""
     halves = found.select("key", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("key").alias("low"), F.max("key").alias("high"))
@@ -104,8 +106,8 @@ def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: boo
     n = F.col("n_words")
     low = F.when(F.col("tail"), 0).otherwise(F.floor((n - 1) / 2)).cast("int")
     high = F.when(F.col("head"), n - 1).otherwise(F.floor((n + 1) / 2)).cast("int")
-    lines = _read(chosen, every).select(
-        F.struct("doc_id", "row_key", "line").alias("order"), "words", "marks", "key",
+    lines = _read(chosen).select(
+        F.struct("doc_id", "row_key", "line").alias("order"), "words", "key",
         low.alias("low"), high.alias("high"),
     )
     return written(lines.dropDuplicates(["key"]), "candidates")
@@ -113,21 +115,23 @@ def _candidates(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: boo
 
 def _near(docs: DataFrame, found: DataFrame, firsts: DataFrame, every: bool) -> DataFrame:
     """(key) of the lines that have an earlier line within one word."""
-    lines = _candidates(docs, found, firsts, every)
-    marks = F.col("marks")
-
-    def meetings(i: Column) -> Column:
-        x = F.xxhash64(_without(marks, i))
-        y = F.col("key.y").bitwiseXOR(F.get(marks, i))
-        gap = F.struct(F.lit(GAP).alias("role"), F.xxhash64(x, i).alias("x"), y.alias("y"))
-        return F.array(gap, F.struct(F.lit(CUT).alias("role"), x.alias("x"), y.alias("y")))
-
+    lines = _candidates(docs, found, firsts)
     places = F.sequence("low", "high")
     if every:  # numbers, dates and amounts tell lines apart: no edit there
         places = F.filter(places, lambda i: ~F.get("words", i).rlike(r"\p{N}"))
-    gaps = F.flatten(F.transform(places, meetings))
-    copies = lines.select("order", F.inline(gaps))
-    whole = lines.select("order", F.lit(WHOLE).alias("role"), "key.x", "key.y")
+    marked = lines.select(
+        "order", F.transform("words", lambda w: F.xxhash64(w)).alias("marks"), places.alias("places")
+    )
+    marked = marked.withColumn("met", _key(F.col("marks")))
+    i, x, y = F.col("i"), F.col("x"), F.col("y")
+    copies = marked.select("order", "marks", "met", F.explode("places").alias("i")).select(
+        "order", "i", F.xxhash64(_without(F.col("marks"), i)).alias("x"),
+        F.col("met.y").bitwiseXOR(F.get("marks", i)).alias("y"),
+    )
+    gap = F.struct(F.lit(GAP).alias("role"), F.xxhash64(x, i).alias("x"), y.alias("y"))
+    cut = F.struct(F.lit(CUT).alias("role"), x.alias("x"), y.alias("y"))
+    copies = copies.select("order", F.inline(F.array(gap, cut)))
+    whole = marked.select("order", F.lit(WHOLE).alias("role"), "met.x", "met.y")
     met = written(copies.union(whole), "variants")
     roles = {k: F.col("role") == v for k, v in (("gap", GAP), ("cut", CUT), ("whole", WHOLE))}
     earliest = [F.min(F.when(is_role, F.col("order"))).alias(k) for k, is_role in roles.items()]
@@ -162,9 +166,10 @@ def removed_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, row_key, line) of each line to remove; ``line`` counts from 0. With ``every``,
     lines of any number of words are compared, see ``dedup_lines``."""
     halves = F.when(
-        F.col("n_words") >= NEAR_WORDS, _halves(F.col("marks"), F.col("n_words"))
+        F.col("n_words") >= NEAR_WORDS, _halves(F.col("words"), F.col("n_words"))
     ).otherwise(F.array().cast("array<bigint>"))
-    found = _read(_said(docs), every).select("doc_id", "row_key", "line", "key", halves.alias("halves"))
+    read = _read(_said(docs)).where(_compared(every))
+    found = read.select("doc_id", "row_key", "line", "key", halves.alias("halves"))
     found = written(found, "lines")
     firsts = found.groupBy("key").agg(
         F.min(F.struct("doc_id", "row_key", "line")).alias("first"), F.count(F.lit(1)).alias("n")
