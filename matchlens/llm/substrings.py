@@ -171,30 +171,35 @@ def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return before[order].astype(np.uint16), of[order], offset[order]
 
 
-def merge(shards: list[np.ndarray], counts: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the suffixes of all shards (the shard of each) and the number of the
-    interval of suffixes with ``depth`` symbols in common that each lies in.
+def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, interval) of the suffixes that have ``depth`` symbols in common with another one:
+    the place in the shards' transforms, laid end to end, and the number of the interval of
+    suffixes that agree so far.
 
-    ``shards`` are their transforms, ``counts`` their numbers of strings. In round k the suffixes
+    ``shards`` are the transforms. In round k the suffixes
     are in order of their first k symbols: the merged transform of round k - 1 is sorted by
-    symbol, stable, and each shard follows the symbols it wrote. Only symbols are read, never
-    the suffixes. Each string's end is a symbol of its own.
+    symbol, stable, and each symbol leads to the suffix it begins. Only symbols are read, never
+    the suffixes. Each string's end is a symbol of its own. An interval of one suffix stays one
+    whatever stands before it, so it is left out of the rounds that follow.
     """
-    order = np.repeat(np.arange(len(shards)), [len(s) for s in shards])
-    ends = np.repeat(np.arange(len(shards)), counts)
-    n_ends = len(ends)
-    interval = np.zeros(len(order), dtype=np.int64)
-    symbols = np.empty(len(order), dtype=np.uint16)
+    symbols = np.concatenate(shards)
+    begins = np.zeros(len(symbols), dtype=np.int64)
+    base = 0
+    for shard in shards:
+        begins[base + np.argsort(shard, kind="stable")] = base + np.arange(len(shard))
+        base += len(shard)
+    place = np.arange(len(symbols))
+    interval = np.zeros(len(symbols), dtype=np.int64)
     for _ in range(depth):
-        for k, shard in enumerate(shards):
-            symbols[order == k] = shard
-        moved = np.argsort(symbols, kind="stable")[n_ends:]  # those behind an end come first
-        said, source = symbols[moved], interval[moved]
-        new = np.ones(len(order), dtype=bool)
-        new[n_ends + 1 :] = (said[1:] != said[:-1]) | (source[1:] != source[:-1])
-        order = np.concatenate([ends, order[moved]])
-        interval = np.cumsum(new)
-    return order, interval
+        said = symbols[place]
+        moved = np.argsort(said, kind="stable")
+        moved = moved[np.count_nonzero(said == 0) :]  # nothing stands before a string's start
+        said, source = said[moved], interval[moved]
+        new = np.ones(len(moved), dtype=bool)
+        new[1:] = (said[1:] != said[:-1]) | (source[1:] != source[:-1])
+        many = ~(new & np.append(new[1:], True))
+        place, interval = begins[place[moved[many]]], np.cumsum(new)[many]
+    return place, interval
 
 
 def repeated(strings: list[np.ndarray], document: np.ndarray, start: np.ndarray) -> list[tuple]:
@@ -210,13 +215,9 @@ def repeated(strings: list[np.ndarray], document: np.ndarray, start: np.ndarray)
         held[-1].append(k)
         size += len(s)
     built = [transform(shard) for shard in shards]
-    order, interval = merge([b[0] for b in built], [len(s) for s in shards], LENGTH)
-    string, offset = np.empty_like(order), np.empty_like(order)
-    for k, (_, of, at) in enumerate(built):
-        string[order == k], offset[order == k] = np.array(held[k])[of], at
-    _, of, n = np.unique(interval, return_inverse=True, return_counts=True)
-    many = n[of] > 1
-    string, offset, interval = string[many], offset[many], interval[many]
+    place, interval = merge([b[0] for b in built], LENGTH)
+    string = np.concatenate([np.array(held[k])[of] for k, (_, of, _) in enumerate(built)])[place]
+    offset = np.concatenate([at for _, _, at in built])[place]
     place = np.lexsort((start[string] + offset, document[string], interval))
     string, offset, interval = string[place], offset[place], interval[place]
     later = np.concatenate([[False], interval[1:] == interval[:-1]]) if len(place) else place
