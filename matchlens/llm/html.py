@@ -2,8 +2,10 @@
 
 A page is cut into tags and text, and a tree is built with the usual implied tags (a new list
 item, paragraph, row or cell ends the one before it; an end tag ends what is open inside it).
-Elements that are not rendered, by name, by the ``hidden`` attribute or by an inline style, are
-left out with all they hold; everything else is rendered, navigation and footers included.
+Elements that are not rendered, by name, by the ``hidden`` attribute or by ``display:none``, are
+left out with all they hold; ``visibility`` is inherited and may be taken back inside. Everything
+else is rendered, navigation, footers, drawings, formulas, list boxes and what stands in for an
+object included; drop-down menus and input fields are values of a form and are not.
 Blocks stand on lines of their own, paragraphs and the like are set off by an empty line, list
 items have a bullet or their number, and the cells of a table column start at one position.
 """
@@ -26,7 +28,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 UNSEEN = frozenset(
     "head script style title noscript iframe noembed noframes template datalist audio video "
-    "canvas svg math object select option".split()
+    "canvas desc metadata defs annotation annotation-xml".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
 BLOCK = SPACED | frozenset(
@@ -34,6 +36,12 @@ BLOCK = SPACED | frozenset(
     "footer form header hgroup html legend li main menu nav optgroup search section summary "
     "tbody tfoot thead tr".split()
 )
+CELLS, GROUPS = frozenset(("td", "th")), frozenset(("tbody", "thead", "tfoot"))
+#: What is set apart by a blank where it stands in a line: cells of tables that are not laid out,
+#: and the pieces of text in a drawing.
+BESIDE = CELLS | {"text"}
+#: What has lines of its own: blocks, and the options of a list box.
+OWN_LINES = BLOCK | {"option"}
 #: A start tag ends an open element of the second, unless one of the third stands between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -57,19 +65,25 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
+_GONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 GAP = "  "
 #: Lists and tables inside each other beyond ``DEPTH`` are rendered as plain blocks, elements
 #: nested beyond ``STACK`` as if they stood side by side: no page can exhaust the stack.
-DEPTH, STACK, WIDEST = 20, 100, 100
+DEPTH, STACK = 20, 100
+#: Most columns and rows that a cell may span, as HTML defines it.
+WIDEST, TALLEST = 1000, 65534
 
 
 class Node:
-    __slots__ = ("children", "name", "seen", "attributes")
+    """An element. What is not ``seen`` is left out with all it holds; what is not ``shown`` takes
+    its place without its own text, and elements inside it may be shown again."""
 
-    def __init__(self, name: str, seen: bool, attributes: dict[str, str]) -> None:
-        self.name, self.seen, self.attributes = name, seen, attributes
+    __slots__ = ("attributes", "children", "name", "seen", "shown")
+
+    def __init__(self, name: str, seen: bool, shown: bool, attributes: dict[str, str]) -> None:
+        self.name, self.seen, self.shown, self.attributes = name, seen, shown, attributes
         self.children: list[Node | str] = []
 
 
@@ -86,13 +100,24 @@ def _is_seen(name: str, attributes: dict[str, str]) -> bool:
         or "hidden" in attributes
         or name == "input"
         or name == "dialog" and "open" not in attributes
-        or _HIDING.search(attributes.get("style", ""))
+        or name == "select" and not ("multiple" in attributes or _number(attributes, "size", 1) > 1)
+        or _GONE.search(attributes.get("style", ""))
     )
 
 
+def _is_shown(parent: bool, attributes: dict[str, str]) -> bool:
+    said = _VISIBILITY.findall(attributes.get("style", ""))
+    return said[-1].lower() == "visible" if said else parent
+
+
+def _number(attributes: dict[str, str], name: str, otherwise: int) -> int:
+    said = attributes.get(name, "").strip()
+    return int(said) if re.fullmatch(r"[0-9]{1,9}", said) else otherwise
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Every page gives one: what is not understood is text."""
-    root = Node("", True, {})
+    root = Node("", True, True, {})
     stack, at = [root], 0
 
     def close(names: set[str], barriers: set[str]) -> None:
@@ -121,7 +146,8 @@ def parse(page: str) -> Node:
         if name in BLOCK:
             close(*PARAGRAPH)
         attributes = _attributes(token["rest"]) if token["rest"].strip() else {}
-        node = Node(name, stack[-1].seen and _is_seen(name, attributes), attributes)
+        shown = _is_shown(stack[-1].shown, attributes)
+        node = Node(name, stack[-1].seen and _is_seen(name, attributes), shown, attributes)
         stack[-1].children.append(node)
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
@@ -164,6 +190,9 @@ class _Lines:
                 self.blank = False
             self.line += said.replace("\xa0", " ")
 
+    def space(self) -> None:
+        self.gap = bool(self.line)
+
     def end(self, always: bool = False) -> None:
         if self.line.strip() or always:
             self.lines.append(self.line.rstrip())
@@ -180,58 +209,83 @@ def _width(said: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in said)
 
 
-def _rows(node: Node) -> Iterator[list[Node]]:
-    """The cells of each row of a table, without those of tables inside it."""
+def _groups(node: Node) -> Iterator[list[list[Node]]]:
+    """The cells of each row of each group of rows, without those of tables inside it. What
+    stands outside a group is one itself."""
+    rows: list[list[Node]] = []
     loose: list[Node] = []
     for child in node.children:
         if isinstance(child, str) or not child.seen:
             continue
         if child.name == "tr":
-            yield list(_cells(child.children))
-        elif child.name in ("tbody", "thead", "tfoot"):
-            yield from _rows(child)
-        elif child.name in ("td", "th"):
+            rows.append([c for c in child.children if isinstance(c, Node) and c.seen and c.name in CELLS])
+        elif child.name in GROUPS:
+            if rows:
+                yield rows
+                rows = []
+            yield from _groups(child)
+        elif child.name in CELLS:
             loose.append(child)
     if loose:
-        yield list(_cells(loose))
-
-
-def _cells(nodes: list[Node | str]) -> Iterator[Node]:
-    """Seen cells; one that spans columns is followed by empty ones."""
-    for node in nodes:
-        if isinstance(node, Node) and node.seen and node.name in ("td", "th"):
-            yield node
-            span = node.attributes.get("colspan", "")
-            for _ in range(min(int(span), WIDEST) - 1 if re.fullmatch(r"\d{1,4}", span) else 0):
-                yield Node("td", True, {})
+        rows.append(loose)
+    if rows:
+        yield rows
+
+
+def _placed(rows: list[list[Node]]) -> Iterator[list[tuple[int, Node]]]:
+    """The column of each cell of a group: a cell stands right of the one before it and of cells
+    that reach down into its row. A cell of zero rows reaches to the end of its group."""
+    reaching: list[tuple[int, int, int]] = []
+    for i, row in enumerate(rows):
+        reaching = sorted(r for r in reaching if r[2] > i)
+        taken, column, k, placed = reaching, 0, 0, []
+        for cell in row:
+            while k < len(taken) and taken[k][0] <= column:
+                column = max(column, taken[k][1])
+                k += 1
+            placed.append((column, cell))
+            wide = min(max(_number(cell.attributes, "colspan", 1), 1), WIDEST)
+            tall = min(_number(cell.attributes, "rowspan", 1), TALLEST) or len(rows)
+            if tall > 1:
+                reaching = [*reaching, (column, column + wide, i + tall)]
+            column += wide
+        yield placed
 
 
 def _table(node: Node, depth: int) -> list[str]:
-    """Its caption and other text outside cells first, then its rows with aligned cells."""
-    grid = [[_render(cell, depth).split("\n") for cell in row] for row in _rows(node)]
-    widths = [0] * max(map(len, grid), default=0)
+    """Its caption and other text outside cells first, then its rows with aligned cells. Columns
+    in which no cell begins take no room."""
+    grid = [
+        {column: _render(cell, depth).split("\n") for column, cell in row}
+        for group in _groups(node)
+        for row in _placed(group)
+    ]
+    columns = sorted(set().union(*grid))
+    widths = dict.fromkeys(columns, 0)
     for row in grid:
-        for k, cell in enumerate(row[:-1]):
-            widths[k] = max(widths[k], *map(_width, cell))
+        for column, cell in row.items():
+            if column != columns[-1]:
+                widths[column] = max(widths[column], *map(_width, cell))
     outside = _Lines()
     _loose(node, outside, depth)
     outside.end()
     lines = outside.lines
     for row in grid:
-        for i in range(max(map(len, row), default=0)):
-            cells = [cell[i] if i < len(cell) else "" for cell in row]
-            padded = [c + " " * (widths[k] - _width(c)) for k, c in enumerate(cells[:-1])]
-            lines.append(GAP.join([*padded, *cells[-1:]]).rstrip())
+        last = max(row, default=-1)
+        for i in range(max(map(len, row.values()), default=0)):
+            cells = [(c, row[c][i] if c in row and i < len(row[c]) else "") for c in columns if c <= last]
+            padded = [said + " " * (widths[c] - _width(said)) for c, said in cells]
+            lines.append(GAP.join(padded).rstrip())
     return lines
 
 
 def _loose(node: Node, out: _Lines, depth: int) -> None:
     for child in node.children:
         if isinstance(child, str):
-            out.text(child)
-        elif child.name in ("tbody", "thead", "tfoot", "tr") and child.seen:
+            out.text(child if node.shown else "")
+        elif (child.name in GROUPS or child.name == "tr") and child.seen:
             _loose(child, out, depth)
-        elif child.name not in ("td", "th"):
+        elif child.name not in CELLS:
             _node(child, out, depth, False)
 
 
@@ -243,9 +297,9 @@ def _node(node: Node, out: _Lines, depth: int, kept: bool) -> None:
         out.end(always=True)
         return
     if name == "img":
-        out.text(node.attributes.get("alt", ""))
+        out.text(node.attributes.get("alt", "") if node.shown else "")
         return
-    (out.set_off if name in SPACED else out.end if name in BLOCK else bool)()
+    (out.set_off if name in SPACED else out.end if name in OWN_LINES else bool)()
     if name == "table" and depth < DEPTH:
         for line in _table(node, depth + 1):
             out.text(line, kept=True)
@@ -254,7 +308,7 @@ def _node(node: Node, out: _Lines, depth: int, kept: bool) -> None:
         _list(node, out, depth, kept)
     else:
         _walk(node, out, depth, kept or name == "pre")
-    (out.set_off if name in SPACED else out.end if name in BLOCK else bool)()
+    (out.set_off if name in SPACED else out.end if name in OWN_LINES else bool)()
 
 
 def _list(node: Node, out: _Lines, depth: int, kept: bool) -> None:
@@ -264,12 +318,13 @@ def _list(node: Node, out: _Lines, depth: int, kept: bool) -> None:
         if isinstance(child, Node) and child.name == "li" and child.seen and depth < DEPTH:
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
+            mark = mark if child.shown else " " * len(mark)
             said = _render(child, depth + 1)
             for i, line in enumerate(said.split("\n") if said else []):
                 out.text((mark if i == 0 else " " * len(mark)) + line, kept=True)
                 out.end(always=True)
         elif isinstance(child, str):
-            out.text(child, kept)
+            out.text(child if node.shown else "", kept)
         else:
             _node(child, out, depth, kept)
 
@@ -277,8 +332,10 @@ def _list(node: Node, out: _Lines, depth: int, kept: bool) -> None:
 def _walk(node: Node, out: _Lines, depth: int, kept: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, kept)
+            out.text(child if node.shown else "", kept)
         else:
+            if child.name in BESIDE and node.name:
+                out.space()
             _node(child, out, depth, kept)
 
 
