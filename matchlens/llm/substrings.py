@@ -31,10 +31,11 @@ from matchlens.llm.store import row_key, ship, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # inner runs of a string
-#: Strings in a run, at most; bytes that are looked at together.
-LONGEST_RUN, CHUNK = 128, 1 << 20
+#: Strings in a run, at most; bytes that are looked at together, few enough to stay in the
+#: processor's cache; runs that are passed on together.
+LONGEST_RUN, CHUNK, PASSED_ON = 128, 1 << 15, 1 << 15
 #: Bytes of a shard, and of the collections that a task sorts at a time; runs of one anchor.
-SHARD, BATCH, CROWD = 1 << 16, 1 << 19, 2048
+SHARD, BATCH, CROWD = 1 << 16, 1 << 17, 2048
 #: Documents up to which their keys are broadcast (16 bytes each), anchors likewise (8 bytes).
 HELD_KEYS, HELD_ANCHORS = 1_000_000, 2_000_000
 
@@ -79,7 +80,21 @@ class Runs(NamedTuple):
 
 
 def runs(texts: list[bytes], hashed: bool) -> Iterator[Runs]:
-    """The runs of texts; short ones are looked at together, long ones a chunk at a time."""
+    """The runs of texts, about ``PASSED_ON`` at a time."""
+    held: list[Runs] = []
+    size = 0
+    for found in _chunks(texts, hashed):
+        held.append(found)
+        size += len(found.text)
+        if size >= PASSED_ON:
+            yield Runs(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield Runs(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _chunks(texts: list[bytes], hashed: bool) -> Iterator[Runs]:
+    """Short texts are looked at together, long ones a chunk at a time."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
     for k, text in enumerate(texts):
@@ -108,9 +123,10 @@ def _runs(pieces: list[tuple[int, int, bytes]], hashed: bool) -> Runs:
     ends = np.append(starts[1:], len(least))
     starts, ends = starts[inside[starts]], ends[inside[starts]]
     if (ends - starts).max() > LONGEST_RUN:
-        cut = [np.arange(s, e, LONGEST_RUN) for s, e in zip(starts, ends, strict=True)]
-        ends = np.concatenate([np.append(c[1:], e) for c, e in zip(cut, ends, strict=True)])
-        starts = np.concatenate(cut)
+        parts = -((starts - ends) // LONGEST_RUN)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(starts, parts) + nth * LONGEST_RUN
+        ends = np.minimum(starts + LONGEST_RUN, np.repeat(ends, parts))
     # a gram is an anchor if it is the least of some string: the largest least it is part of
     reached = _sliding(np.pad(least, SPAN - 1, mode="edge"), SPAN, np.maximum)
     at = np.flatnonzero(grams == reached)
@@ -153,20 +169,24 @@ def transform(strings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     of = np.repeat(np.arange(len(strings)), sizes)
     offset = np.arange(len(text)) - firsts[of]
     ends = text == 0
-    rank = np.where(ends, of, text + len(strings))
-    have = 1
-    while True:
-        nearer = np.zeros_like(rank)
-        nearer[:-have] = rank[have:] + 1
-        nearer[offset + have >= sizes[of]] = 0  # past the end; the end itself told them apart
-        key = rank * (rank.max() + 2) + nearer
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty_like(rank)
-        rank[order] = new
+    # a suffix's rank is the place where those that agree with it so far begin; only suffixes
+    # that agree with another one are sorted again, by what stands ``have`` symbols on
+    said = np.where(ends, of, text + len(strings))
+    order = np.argsort(said, kind="stable")
+    rank, place, have = np.zeros(len(text), dtype=np.int64), np.arange(len(text)), 1
+    suffix, key = order, said[order]
+    while len(suffix):
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[suffix] = place[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        many = ~(new & np.append(new[1:], True))
+        place, suffix = place[many], suffix[many]
+        # none of them reaches past its string's end, which would have told it apart
+        key = rank[suffix] * len(text) + rank[suffix + have]
+        again = np.argsort(key, kind="stable")
+        suffix, key = suffix[again], key[again]
+        order[place] = suffix
         have *= 2
-        if new[-1] == len(rank) - 1 or have > sizes.max():
-            break
     before = np.where(offset > 0, text[np.arange(len(text)) - 1], 0)
     return before[order].astype(np.uint16), of[order], offset[order]
 
@@ -183,13 +203,13 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     whatever stands before it, so it is left out of the rounds that follow.
     """
     symbols = np.concatenate(shards)
-    begins = np.zeros(len(symbols), dtype=np.int64)
+    begins = np.zeros(len(symbols), dtype=np.int32)
     base = 0
     for shard in shards:
         begins[base + np.argsort(shard, kind="stable")] = base + np.arange(len(shard))
         base += len(shard)
-    place = np.arange(len(symbols))
-    interval = np.zeros(len(symbols), dtype=np.int64)
+    place = np.arange(len(symbols), dtype=np.int32)
+    interval = np.zeros(len(symbols), dtype=np.int32)
     for _ in range(depth):
         said = symbols[place]
         moved = np.argsort(said, kind="stable")
@@ -198,7 +218,7 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
         new = np.ones(len(moved), dtype=bool)
         new[1:] = (said[1:] != said[:-1]) | (source[1:] != source[:-1])
         many = ~(new & np.append(new[1:], True))
-        place, interval = begins[place[moved[many]]], np.cumsum(new)[many]
+        place, interval = begins[place[moved[many]]], np.cumsum(new, dtype=np.int32)[many]
     return place, interval
 
 
