@@ -3,7 +3,8 @@
 A name takes the entry of that name, else the first entry in order that contains the name or is
 part of it. A list of entries is searched inside the row. A DataFrame (kind, prio, name, food,
 wood, gold, stone) may hold any number of entries: there the distinct names of the log are looked up
-by joins on n-grams, and the result is joined to the rows that bear them.
+by joins on n-grams, and the result is joined to the rows that bear them. The distinct names are
+written and counted first: if they are few, joins broadcast them, and never the entries.
 """
 
 from pyspark.sql import DataFrame
@@ -11,18 +12,20 @@ from pyspark.sql import functions as F
 
 from matchlens.functions import costs as C
 from matchlens.functions.barrier import evaluate_once
-from matchlens.operators.containment import contained, containing
+from matchlens.operators.containment import are_few, contained, containing, kept, placed, short_sizes
 
 KIND, KEY, COST = "_kind", "_key", "_cost"
 
 
-def first_entries(names: DataFrame, costs: DataFrame) -> DataFrame:
+def first_entries(names: DataFrame, costs: DataFrame, few: bool | None = None) -> DataFrame:
     """(_kind, _key, _cost) of the distinct ``names`` (_kind, _key) that ``costs`` has a price for.
 
     Entries with the smallest (prio, name) come first; of entries with one name, the first
     counts. Entries without a kind or name are left out; a missing amount is 0. An empty entry is
-    part of every name, and an empty name of every entry.
+    part of every name, and an empty name of every entry. ``few``: whether the names are, see
+    ``containment.are_few``; they are counted where it is not given.
     """
+    few = are_few(names, KEY) if few is None else few
     amounts = [F.coalesce(F.col(r).cast("bigint"), F.lit(0).cast("bigint")).alias(r) for r in C.RESOURCES]
     listed = costs.filter(F.col("kind").isNotNull() & F.col("name").isNotNull()).select(
         F.col("kind").alias(KIND), F.col("name").alias("_entry"), F.col("prio").alias("_prio"),
@@ -32,14 +35,14 @@ def first_entries(names: DataFrame, costs: DataFrame) -> DataFrame:
         F.min("_prio").alias("_prio"), F.min_by(COST, "_prio").alias(COST)
     )
     bare = entries.select(KIND, "_entry", "_prio")
-    exact = names.join(entries, (names[KIND] == entries[KIND]) & (names[KEY] == entries["_entry"]))
-    exact = exact.select(names[KIND], names[KEY], COST)
-    others = names.join(exact.select(KIND, KEY), [KIND, KEY], "left_anti")
-    pairs = containing(others, KEY, bare, "_entry", [KIND]).unionByName(
-        contained(others, KEY, bare, "_entry", [KIND])
+    own = entries.withColumnRenamed("_entry", KEY).select(KIND, KEY, COST)
+    exact = placed(names, few).join(own, [KIND, KEY])
+    others = names.join(placed(exact.select(KIND, KEY), few), [KIND, KEY], "left_anti")
+    pairs = containing(others, KEY, bare, "_entry", [KIND], few).unionByName(
+        contained(others, KEY, bare, "_entry", [KIND], few, short_sizes(names, KEY))
     )
     first = pairs.groupBy(KIND, KEY).agg(F.min(F.struct("_prio", "_entry"))["_entry"].alias("_entry"))
-    loose = first.join(entries, [KIND, "_entry"]).select(KIND, KEY, COST)
+    loose = placed(first, few).join(entries, [KIND, "_entry"]).select(KIND, KEY, COST)
     return exact.unionByName(loose)
 
 
@@ -49,5 +52,6 @@ def with_costs(named: DataFrame, costs=None) -> DataFrame:
         rows = evaluate_once(named, _row=C.cost_row(F.col(KIND), F.col(KEY), costs))
         return rows.withColumn(COST, C.entry(F.col("_row"), costs)).drop("_row")
     is_named = F.col(KIND).isNotNull() & F.col(KEY).isNotNull()
-    found = first_entries(named.filter(is_named).select(KIND, KEY).distinct(), costs)
-    return named.join(found, [KIND, KEY], "left")
+    names = kept(named.filter(is_named).select(KIND, KEY).distinct(), "names")
+    few = are_few(names, KEY)
+    return named.join(placed(first_entries(names, costs, few), few), [KIND, KEY], "left")

@@ -9,6 +9,7 @@ from matchlens.functions.costs import RESOURCES, resource_name
 from matchlens.functions.payload import PARSED, text, truthy_text, with_parsed
 from matchlens.functions.timing import DEFAULT_WINDOW
 from matchlens.operators import prices, series
+from matchlens.operators.containment import kept
 from matchlens.operators.series import KEY, MATCH
 
 # Action types that cost a unit, and stocks at the start of a match.
@@ -176,6 +177,8 @@ def cost_lookup(actions: DataFrame, costs=None) -> DataFrame:
     parsed = with_parsed(actions.filter(kind.isNotNull()))
     names = parsed.select(kind.alias("kind"), priced_name(F.col("type")).alias("name"))
     names = names.filter(F.col("name").isNotNull()).distinct()
+    if isinstance(costs, DataFrame):
+        names = kept(names, "names")
     keyed = evaluate_once(names, _kind=F.col("kind"), _key=C.normalized(F.col("name")))
     return prices.with_costs(keyed, costs).select(
         "kind",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchlens import schema
 from matchlens.functions import costs
-from matchlens.operators import diagnostics, patterns, prices, resources
+from matchlens.operators import containment, diagnostics, patterns, prices, resources
 from matchlens.operators.containment import contained, containing
 from matchlens.plans import variants
 from golden import golden_tables
@@ -76,6 +76,18 @@ def test_many_entries_are_joined_on_grams(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("rows", [10_000, -1])
+def test_entries_are_never_broadcast(spark, monkeypatch, rows):
+    """Whatever their size is taken for: names are, if they are few by count."""
+    monkeypatch.setattr(containment, "FEW_ROWS", rows, raising=False)
+    table = [("unit", i, f"thing {i:05d}", i, 0, 0, 0) for i in range(3000)] + [("unit", 1, "ring", 7, 0, 0, 0)]
+    names = spark.createDataFrame([("unit", n) for n in ("thing 00042", "hing 0010", "a ring", "none")], "_kind string, _key string")
+    found = prices.first_entries(names, spark.createDataFrame(table, schema.COSTS))
+    assert {r["_key"]: r["_cost"]["food"] for r in found.collect()} == {"thing 00042": 42, "hing 0010": 100, "a ring": 7}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan ==")[0]
+    assert "SortMergeJoin" in plan and ("Broadcast" in plan) == (rows > 0)
+
+
 TEXTS = ["Villager", "aldeano", "Man-at-Arms", "MAN AT ARMS", "Long  Swordsman", "longsword", "İstanbul", "straße",
          "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", "x", "", "a.b", "camel rider", "10%", "Kelvin K"]
 PATTERNS = [r"villager|aldean", r"man.?at.?arms", r"long\s*sword", "istanbul", "straße", "σίσυφος", r"^x$", "(a|b)c?",
