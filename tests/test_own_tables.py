@@ -88,6 +88,15 @@ def test_entries_are_never_broadcast(spark, monkeypatch, rows):
     assert "SortMergeJoin" in plan and ("Broadcast" in plan) == (rows > 0)
 
 
+def test_prices_of_many_names_are_shuffled(spark, monkeypatch):
+    actions, frame = golden_tables(spark).actions, costs.costs_frame(spark)
+    wanted = sorted(map(str, resources.resource_deltas(actions).collect()))
+    monkeypatch.setattr(containment, "FEW_ROWS", -1, raising=False)
+    found = resources.resource_deltas(actions, frame)
+    assert sorted(map(str, found.collect())) == wanted and wanted
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 TEXTS = ["Villager", "aldeano", "Man-at-Arms", "MAN AT ARMS", "Long  Swordsman", "longsword", "İstanbul", "straße",
          "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", "x", "", "a.b", "camel rider", "10%", "Kelvin K"]
 PATTERNS = [r"villager|aldean", r"man.?at.?arms", r"long\s*sword", "istanbul", "straße", "σίσυφος", r"^x$", "(a|b)c?",
