@@ -15,12 +15,16 @@ from matchlens.functions.payload import (
     with_parsed,
 )
 from matchlens.functions.units import UNIT_PATTERNS
+from matchlens.operators.containment import kept, shuffled
 from matchlens.operators.patterns import matches_of
 from matchlens.operators.series import MATCH
 
 SAMPLES = 10
 STRING_HITS = 20
 
+#: Units of one class that are put to a match together.
+BLOCK = 256
+
 # Parts of unit names to look for, and the labels of sampled kinds.
 UNIT_LIKE = r"villag|aldean|archer|arquero|skirm|militia|milicia|scout|explor"
 SAMPLED_KINDS = ("DE_QUEUE", "ORDER", "BUILD", "RESEARCH")
@@ -79,12 +83,43 @@ def unit_names(actions: DataFrame) -> DataFrame:
     )
 
 
-def _hits_of_table(read: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(match_id, items, unit) for ``read`` (match_id, seq, items, _texts): the patterns are joined
-    to the distinct texts, and these to the actions, so each action meets its own lines only."""
-    each = read.select(MATCH, "seq", "items", F.explode(F.array_distinct("_texts")).alias("_text"))
+def _with_class(pairs: DataFrame) -> DataFrame:
+    """Add ``_class``, the same for units with the same sets of texts in ``pairs`` (_texts, unit):
+    how many these are, and three hashes of 64 bits over them."""
+    unit = Window.partitionBy("unit")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "_texts")).over(unit).alias(f"h{i}") for i in range(3)]
+    return pairs.select("*", F.struct(F.count(F.lit(1)).over(unit).alias("n"), *marks).alias("_class"))
+
+
+def _per_unit_of_table(read: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Hits of ``patterns`` (unit, pattern) for ``read`` (match_id, items, _texts).
+
+    Actions are first summed by match and set of texts, and written, so the log is read once. The
+    patterns are joined to the distinct texts. Units that occur in the same sets are counted
+    together as a class, and their names are put to the sums of each match last, in blocks: what
+    is summed and shuffled does not grow with the number of units that a text has.
+    """
+    texts = F.array_sort(F.array_distinct("_texts"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("items").alias("items")]
+    sets = kept(read.select(MATCH, "items", texts.alias("_texts")).groupBy(MATCH, "_texts").agg(*sums), "sets")
+    each = sets.select("_texts").distinct().select("_texts", F.explode("_texts").alias("_text"))
     found = matches_of(each.select("_text").distinct(), patterns)
-    return each.join(found, "_text").select(MATCH, "seq", "items", "unit").distinct()
+    pairs = _with_class(shuffled(each).join(found, "_text").select("_texts", "unit").distinct())
+    # Each unit of a class has all of its sets, so any set tells how many units there are.
+    classes = pairs.groupBy("_class", "_texts").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    totals = shuffled(sets).join(classes, "_texts").groupBy(MATCH, "_class", "_blocks").agg(
+        F.sum("n").alias("n"), F.sum("items").alias("items")
+    )
+    places = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)).alias("_block")
+    block = F.pmod(F.xxhash64("unit"), F.col("_blocks")).alias("_block")
+    members = shuffled(pairs.select("_class", "unit").distinct())
+    dealt = members.join(classes.select("_class", "_blocks").distinct(), "_class")
+    names = dealt.groupBy("_class", block).agg(F.collect_list("unit").alias("_units"))
+    by = ["_class", "_block"]
+    parts = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = totals.select(MATCH, "_class", places, "n", "items").repartition(parts, *by)
+    put = shuffled(spread).join(names.repartition(parts, *by), by)
+    return put.select(MATCH, F.explode("_units").alias("unit"), "n", "items")
 
 
 def unit_pattern_hits(
@@ -101,8 +136,8 @@ def unit_pattern_hits(
     )
     read = evaluate_once(parsed, _texts=match_texts(F.col(PARSED), mode))
     if isinstance(known, DataFrame):
-        rows = read.select(MATCH, "seq", item_count(F.col(PARSED)).alias("items"), "_texts")
-        return _per_unit(_hits_of_table(rows, known))
+        rows = read.select(MATCH, item_count(F.col(PARSED)).alias("items"), "_texts")
+        return _per_unit_of_table(rows, known)
     matched = [
         F.when(any_match(F.col("_texts"), pattern), F.lit(unit))
         for unit, pattern in known.items()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchlens.functions.units import unit_patterns_frame
-from matchlens.operators.containment import containing
+from matchlens.operators.containment import containing, kept, shuffled
 
 # What the pieces of a pattern are read from: alternatives of literals, wildcards, classes and
 # repeats. Patterns with groups, anchors or other escapes have no piece.
@@ -33,15 +33,22 @@ def with_factors(patterns: DataFrame) -> DataFrame:
 
 
 def matches_of(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(_text, unit): the units whose pattern occurs in each of the distinct ``texts`` (_text)."""
+    """(_text, unit): the units whose pattern occurs in each of the distinct ``texts`` (_text).
+
+    The texts are written and counted first. Pieces are looked up once, whatever the number of
+    patterns that have them."""
     known = patterns.filter(F.col("unit").isNotNull() & F.col("pattern").isNotNull())
-    sought = texts.withColumn("_folded", folded(F.col("_text")))
-    met = containing(sought, "_folded", with_factors(known), "_factor", [])
+    sought = kept(texts.select("_text", folded(F.col("_text")).alias("_folded")), "texts")
+    pieces = with_factors(known)
+    met = containing(sought, "_folded", pieces.select("_factor").distinct(), "_factor", [])
+    tried = shuffled(met.select("_text", "_factor")).join(pieces, "_factor")
     java = F.concat(F.lit("(?iU)"), F.col("pattern"))
-    return met.filter(F.regexp_like("_text", java)).select("_text", "unit").distinct()
+    return tried.filter(F.regexp_like("_text", java)).select("_text", "unit").distinct()
 
 
 def augmented(patterns: DataFrame) -> DataFrame:
     """User patterns plus the defaults for units the user did not name."""
     defaults = unit_patterns_frame(patterns.sparkSession)
-    return patterns.select("unit", "pattern").unionByName(defaults.join(patterns, "unit", "left_anti"))
+    named = patterns.select("unit").join(F.broadcast(defaults.select("unit")), "unit", "left_semi")
+    others = defaults.join(shuffled(named.distinct()), "unit", "left_anti")
+    return patterns.select("unit", "pattern").unionByName(others)

@@ -1,5 +1,6 @@
 """Costs and unit patterns given as DataFrames, against plain loops over them."""
 
+import json
 import random
 import re
 
@@ -122,6 +123,26 @@ def test_table_of_patterns_hits_like_the_dict(spark):
     assert sorted(map(str, one)) == sorted(map(str, other)) and one
 
 
+def test_units_are_counted_by_class(spark, monkeypatch):
+    """Actions are not multiplied by the units that their texts have, however many those are."""
+    monkeypatch.setattr(diagnostics, "BLOCK", 2, raising=False)
+    rng = random.Random(3)
+    words = ["archer", "knight", "scout", "ring", "bolt"]
+    rows = [(rng.randrange(3), i, json.dumps({"unit_name": rng.choice(words), "more": rng.choice(words), "n": i % 4}))
+            for i in range(200)]
+    rows.append((1, 900, "{}"))
+    actions = spark.createDataFrame(rows, "match_id long, seq long, payload string").select(
+        "*", F.lit(1).alias("player"), F.lit("QUEUE").alias("type"))
+    units = {f"Line {i}": rng.choice([*words, "ar.her", "ring|bolt", "arch|knig", "t$", "none"]) for i in range(90)}
+    table = spark.createDataFrame(list(units.items()) + [("Line 0", "ring")], "unit string, pattern string")
+    units["Line 0"] += "|ring"
+    wanted = diagnostics.unit_pattern_hits(actions, units).collect()
+    found = diagnostics.unit_pattern_hits(actions, table)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted)) and wanted
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(?:hashpartitioning|keys=)[(\[][^()\[\]]*match_id[^()\[\]]*(?:seq|unit)#", plan)
+
+
 def test_defaults_come_by_anti_join(spark):
     part = spark.createDataFrame([(i, f"old bolt{i}", "Brand#1") for i in range(1000)],
                                  "p_partkey long, p_name string, p_brand string")
