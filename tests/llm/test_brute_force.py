@@ -80,6 +80,12 @@ def test_words_encode_like_whole_texts(parts):
     assert next(encoder.encode([text])) == array("I", whole).tobytes()
 
 
+def test_letters_go_to_the_model_at_once():
+    encoder, text = tokens.Encoder(tokens.vocabulary_path()), "Haanth enschäein ÑMIESAR of ªº ŉ ǅ ß the"
+    library, encoder.library = encoder.library, None
+    assert next(encoder.encode([text])) == array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+
+
 def test_records_round_trip(spark, texts, library):
     found = records.op9_binary_records(spark, SF).orderBy("doc_id").collect()
     start = 0
