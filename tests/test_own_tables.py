@@ -98,6 +98,31 @@ def test_prices_of_many_names_are_shuffled(spark, monkeypatch):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def _broadcast_rows(node):
+    """The rows of every broadcast of a plan that ran."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _broadcast_rows(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return _broadcast_rows(node.plan())
+    own = [node.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else []
+    below = node.children()
+    return own + [n for i in range(below.size()) for n in _broadcast_rows(below.apply(i))]
+
+
+def test_what_the_driver_broadcasts_does_not_grow_with_the_entries(spark):
+    actions, most = golden_tables(spark).actions, []
+    for n in (3000, 30_000):
+        part = spark.range(n).select(
+            F.col("id").alias("p_partkey"), F.concat(F.lit("old bolt"), "id").alias("p_name"),
+            F.lit(5).alias("p_size"),
+        )
+        found = resources.resource_deltas(actions, variants.own_costs(part))
+        assert found.collect()
+        most.append(max(_broadcast_rows(found._jdf.queryExecution().executedPlan())))
+    assert most[0] == most[1] < 500
+
+
 TEXTS = ["Villager", "aldeano", "Man-at-Arms", "MAN AT ARMS", "Long  Swordsman", "longsword", "İstanbul", "straße",
          "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", "x", "", "a.b", "camel rider", "10%", "Kelvin K"]
 PATTERNS = [r"villager|aldean", r"man.?at.?arms", r"long\s*sword", "istanbul", "straße", "σίσυφος", r"^x$", "(a|b)c?",
