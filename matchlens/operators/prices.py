@@ -36,7 +36,8 @@ def first_entries(names: DataFrame, costs: DataFrame, few: bool | None = None) -
     )
     bare = entries.select(KIND, "_entry", "_prio")
     own = entries.withColumnRenamed("_entry", KEY).select(KIND, KEY, COST)
-    exact = placed(names, few).join(own, [KIND, KEY])
+    # Read in many places below: written, it is planned once and not in each of them.
+    exact = kept(placed(names, few).join(own, [KIND, KEY]), "exact")
     others = names.join(placed(exact.select(KIND, KEY), few), [KIND, KEY], "left_anti")
     pairs = containing(others, KEY, bare, "_entry", [KIND], few).unionByName(
         contained(others, KEY, bare, "_entry", [KIND], few, short_sizes(names, KEY))
