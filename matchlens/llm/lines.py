@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlens.functions.barrier import evaluate_once
-from matchlens.llm.store import free_name, row_key, written
+from matchlens.llm.store import free_name, passing, row_key, written
 
 #: Bounds of the query, as in its SQL: lines with fewer words always stay; lines from so many words
 #: on are also compared for edits. Where all lines are compared, those with fewer words than the
@@ -188,11 +188,13 @@ def removed_lines(docs: DataFrame, every: bool = False) -> DataFrame:
 
 def mark_lines(docs: DataFrame, out: str = "removed", every: bool = False) -> DataFrame:
     """``docs`` with the sorted numbers of its lines to remove (null: none)."""
-    per_document = removed_lines(docs, every).groupBy("doc_id", "row_key").agg(
-        F.array_sort(F.collect_set("line")).alias(out)
-    )
     of, key = free_name(docs, "removed_of"), free_name(docs, "removed_key")
-    gone = written(per_document.select(F.col("doc_id").alias(of), F.col("row_key").alias(key), out))
+    with passing() as kept:
+        per_document = removed_lines(docs, every).groupBy("doc_id", "row_key").agg(
+            F.array_sort(F.collect_set("line")).alias(out)
+        )
+        per_document = per_document.select(F.col("doc_id").alias(of), F.col("row_key").alias(key), out)
+        gone = kept(written(per_document))
     same = docs["doc_id"].cast("long").eqNullSafe(gone[of])
     same &= row_key(docs["doc_id"], docs["text"]) == gone[key]
     return docs.join(gone, same, "left").drop(of, key)

@@ -157,16 +157,20 @@ def one_of_each(docs: DataFrame, more: MoreLinks | None = None) -> DataFrame:
     Of rows with that same doc_id, those with the smallest (row_key) stay; exact repeats of a
     row stay as one. Components in which every doc_id is null keep one row.
     """
-    found = near_duplicates(docs, more)
+    found = near_duplicates(docs, more).groupBy("root", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("times"))
     first = found.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("f")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "times")).alias("f")
     )
-    keep, key = (free_name(docs, n) for n in ("keep_id", "keep_key"))
-    kept = written(first.select(F.col("f.doc_id").alias(keep), F.col("f.row_key").alias(key)))
+    keep, key, again = (free_name(docs, n) for n in ("keep_id", "keep_key", "keep_again"))
+    kept = first.select(
+        F.col("f.doc_id").alias(keep), F.col("f.row_key").alias(key), (F.col("f.times") > 1).alias(again)
+    )
+    kept = written(kept)
     same = docs["doc_id"].cast("long").eqNullSafe(kept[keep])
     chosen = docs.join(kept, same & (row_key("doc_id", "text") == kept[key]))
-    # exact repeats of the chosen row: one stays
-    return chosen.dropDuplicates([keep, key]).drop(keep, key)
+    # exact repeats of the chosen row: one stays; only they are shuffled once more
+    once, repeated = chosen.where(~F.col(again)), chosen.where(again)
+    return once.union(repeated.dropDuplicates([keep, key])).drop(keep, key, again)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

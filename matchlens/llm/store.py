@@ -2,23 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchlens.functions.workers import ship
 from matchlens.sources.scratch import fresh_path
 
-__all__ = ["free_name", "fresh_path", "numbered", "partitions", "row_key", "ship", "written"]
+__all__ = [
+    "drop", "free_name", "fresh_path", "numbered", "partitions", "passing", "row_key", "ship", "written",
+]
+
+#: Spark then removes the shuffle files of a query as it ends; else they stay on the disks of the
+#: executors until the driver happens to collect its garbage. Unknown, and without effect, before 4.1.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables written since the innermost ``passing`` began.
+_passing: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)
+
 
 def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """The rows of ``df`` from a table written in the shared folder.
 
     Cuts the lineage: a lost executor costs a re-read, and rows do not change when a
-    task is repeated.
+    task is repeated. Shuffle files of the writing go when it ends.
     """
-    path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, kind)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    if (tables := _passing.get()) is not None:
+        tables.append(table)
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete ``tables``, as ``written`` returned them, that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within are dropped at the end, but for those that went through the function
+    given. What is still read later must not depend on the others."""
+    outer, kept = _passing.get(), []
+    token = _passing.set(tables := [])
+    try:
+        yield lambda table: kept.append(table) or table
+    finally:
+        _passing.reset(token)
+    if outer is not None:
+        outer += kept
+    drop(*(t for t in tables if all(t is not k for k in kept)))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

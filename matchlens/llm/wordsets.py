@@ -4,7 +4,11 @@ Exact, without sampling: two sets with a Jaccard likeness of 0.8 have in common
 fifths of either, so under any order of all runs they meet among the first n - ceil(0.8 n) + 1 of
 each. Runs are ordered by how many texts have them, as a table of hashed counts tells, so these first
 ones are mostly runs that hardly any other text has. A pair that meets is only looked at if the
-places of the common run leave room for four fifths, and is then compared over the whole sets.
+places of the common run leave room for four fifths. Then sketches of both, about a bit for each run, tell
+how many runs only one of them has, at least, and only pairs that can still be alike are compared
+over the whole sets. These are large rows: first one pair of each set is compared, and what is then
+still apart in groups, as below. So what is written of whole sets grows with the texts, not with the
+pairs that have a run in common by chance.
 
 A run that many texts have is not compared pair by pair at once: all are compared with the least
 of them first. Runs whose texts are still apart are joined to groups, by the texts they share; a
@@ -15,7 +19,7 @@ only, at most one a text, so nothing that is written grows with the pairs of a g
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +29,14 @@ from pyspark.sql import functions as F
 
 from matchlens.llm.graph import components
 from matchlens.llm.simhash import PAIRED, words_of
-from matchlens.llm.store import row_key, ship, written
+from matchlens.llm.store import drop, passing, row_key, ship, written
 
 #: Words in a run; texts link if they share at least LIKE[0] / LIKE[1] of all runs of both.
 RUN, LIKE = 5, (4, 5)
 #: Hashed counts of runs (2 MB). They only decide an order, so any number of runs gives right links.
 COUNTS = 1 << 18
+#: Bits of a sketch, at least and at most; in between the next power of two from the number of runs.
+LEAST_BITS, MOST_BITS = 1 << 6, 1 << 15
 #: Runs of all texts of a pack, on average; packs that one task compares with each pack of a group.
 PACK, TOGETHER = 1 << 15, 8
 #: How many pairs of packs reach Python at once: they are large rows.
@@ -52,6 +58,24 @@ def _least_common(n):
     return -(-LIKE[0] * n // LIKE[1])
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Of each bucket of the runs ``found``, whether it has an odd number of them."""
+    bits = min(max(LEAST_BITS, 1 << len(found).bit_length()), MOST_BITS)
+    odd = np.bincount(found & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def unlike(one: bytes, other: bytes) -> int:
+    """How many runs only one of two sets has, at least: what both have is in the same bucket of
+    either sketch and cancels out, also after the halves of the longer sketch are laid together."""
+    narrow, wide = (int.from_bytes(s, "little") for s in sorted((one, other), key=len))
+    bits = 8 * max(len(one), len(other))
+    while bits > 8 * min(len(one), len(other)):
+        bits //= 2
+        wide = (wide >> bits) ^ (wide & ((1 << bits) - 1))
+    return (narrow ^ wide).bit_count()
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype("i4")
     values = np.concatenate([np.empty(0, "<i8"), *arrays])
@@ -85,9 +109,10 @@ def _beginning(given):
             sizes = pa.array([len(r) for r in found], pa.int32())
             ranked = (r[np.argsort(counts[r & (COUNTS - 1)], kind="stable")] for r in found)
             first = _lists([r[: len(r) - _least_common(len(r)) + 1] for r in ranked])
+            sketches = pa.array(map(sketch, found), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(keys, pa.binary()), sizes, first],
-                names=["doc_id", "row_key", "key", "n", "first"],
+                [*batch.columns[:2], pa.array(keys, pa.binary()), sizes, first, sketches],
+                names=["doc_id", "row_key", "key", "n", "first", "sketch"],
             )
 
     return run
@@ -148,18 +173,66 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return apart.select(F.when(swap, high).otherwise(low).alias("p")).select("p.*").distinct()
 
 
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
+def _sieving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = (batch.column(name).to_pylist() for name in ("na", "nb", "sketch_a", "sketch_b"))
+        # alike sets have so few runs apart: n_a + n_b - 2 * common
+        few = [unlike(x, y) * sum(LIKE) <= (m + n) * (LIKE[1] - LIKE[0]) for m, n, x, y in zip(*columns, strict=True)]
+        yield batch.select(["a", "b", "ra", "rb", "na", "nb"]).filter(pa.array(few, pa.bool_()))
+
+
+def _sieved(pairs: DataFrame, begun: DataFrame) -> DataFrame:
+    """The ``pairs`` that can be alike enough by their sketches: all that are, and few others."""
+    each = begun.select("key", "n", "sketch").join(_keys(pairs), "key", "left_semi").dropDuplicates(["key"])
+    with passing() as kept:
+        each = written(each, "sketches")
+        left, right = (
+            each.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"))
+            for x in ("a", "b")
+        )
+        met = pairs.join(left, "a").join(right, "b")
+        met = met.select("a", "b", "ra", "rb", "na", "nb", "sketch_a", "sketch_b")
+        return kept(written(met.mapInArrow(_sieving, "a binary, b binary, ra long, rb long, na int, nb int"), "near"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The ``pairs`` whose roots the ``links`` leave apart, with the roots that they have then."""
+    joined = components(links)
+    for x in ("ra", "rb"):
+        tops = joined.select(F.col("node").alias(x), F.col("root").alias("top"))
+        pairs = pairs.join(tops, x, "left").withColumn(x, F.coalesce("top", x)).drop("top")
+    return pairs.where("ra <> rb")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, begun: DataFrame) -> DataFrame:
-    """(a, b): the roots of the ``pairs`` that are alike enough."""
-    pairs = written(pairs, "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    whole = _whole_sets(rows, begun, keys)
-    left, right = (
-        whole.select(F.col("key").alias(x), F.col("runs").alias(f"runs_{x}")) for x in ("a", "b")
-    )
-    common = F.size(F.array_intersect("runs_a", "runs_b"))
-    both = F.size("runs_a") + F.size("runs_b")
-    found = pairs.join(left, "a").join(right, "b").where(common * sum(LIKE) >= both * LIKE[0])
-    return written(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+    """(a, b): links that join the roots of the ``pairs`` that are alike enough.
+
+    First one pair of each set is compared, as whole sets are large rows. Of the others those still
+    apart are compared in groups."""
+    near = _sieved(written(pairs, "pairs"), begun)
+    one = near.groupBy("b").agg(F.min(F.struct("a", "ra", "rb")).alias("p")).select("b", "p.*")
+    one = written(one, "one")
+    with passing() as kept:
+        whole = _whole_sets(rows, begun, _keys(one))
+        left, right = (
+            whole.select(F.col("key").alias(x), F.col("runs").alias(f"runs_{x}")) for x in ("a", "b")
+        )
+        common = F.size(F.array_intersect("runs_a", "runs_b"))
+        both = F.size("runs_a") + F.size("runs_b")
+        found = one.join(left, "a").join(right, "b").where(common * sum(LIKE) >= both * LIKE[0])
+        links = kept(written(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links"))
+    rest = written(_apart(near, links), "rest")
+    if rest.isEmpty():
+        return links
+    ends = (
+        rest.select(F.xxhash64("a").alias("run"), F.col(x).alias("key"), F.col(f"n{x}").alias("n"), F.col(f"r{x}").alias("root"))
+        for x in ("a", "b")
+    )
+    return links.union(_within_groups(reduce(DataFrame.union, ends).distinct(), rows, begun))
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,8 +306,9 @@ def _within_groups(open_: DataFrame, rows: DataFrame, begun: DataFrame) -> DataF
     groups = components(named.join(least, "run").select("a", F.col("node").alias("b")))
     members = named.join(groups.withColumnRenamed("root", "group"), "node")
     members = written(members.select("group", "key", "n", "root").distinct(), "members")
-    whole = _whole_sets(rows, begun, members.select("key"))
-    packs = written(_packs(members, whole), "packs")
+    with passing() as kept:
+        whole = _whole_sets(rows, begun, members.select("key"))
+        packs = kept(written(_packs(members, whole), "packs"))
     # A task takes TOGETHER packs of a group and meets all packs of it that are not before them.
     shares = F.ceil(F.col("packs") / TOGETHER)
     left = packs.select("group", "pack", F.floor(F.col("pack") / TOGETHER).alias("share"), F.col("sets").alias("one"))
@@ -265,7 +339,8 @@ def similar(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     rows = _rows(docs)
     given = spark.sparkContext.broadcast(_hashed_counts(rows))
     begun = rows.mapInArrow(
-        _beginning(given), "doc_id long, row_key long, key binary, n int, first array<long>"
+        _beginning(given),
+        "doc_id long, row_key long, key binary, n int, first array<long>, sketch binary",
     )
     begun = written(begun, "begun")
     rooted = rooted.dropDuplicates(["doc_id", "row_key"])
@@ -286,6 +361,7 @@ def similar(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     crowded = entries.join(cells.where(F.col("count") > PAIRED), "run").drop("count")
     crowded = written(crowded, "crowded")
     if crowded.isEmpty():
+        drop(begun)
         return links
     stars = _pairs(_side(crowded.where("key = least"), "a"), _side(crowded, "b"))
     links = written(links.union(_verified(stars, rows, begun)), "links")
@@ -296,4 +372,6 @@ def similar(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     crowded = written(crowded, "crowded")
     parts = crowded.groupBy("run").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = crowded.join(parts.where("low <> high").select("run"), "run", "left_semi")
-    return links.union(_within_groups(open_, rows, begun))
+    links = links.union(_within_groups(open_, rows, begun))
+    drop(begun)
+    return links

@@ -1,6 +1,7 @@
 """Whole jobs: what a bound or a first pass used to leave out."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlens.llm import lines, simhash, syncmers, wordsets
+from matchlens.llm import graph, lines, simhash, store, syncmers, wordsets
 from matchlens.sources import scratch
 
 
@@ -95,6 +96,82 @@ def test_groups_of_partly_alike_texts_write_no_pairs(spark, monkeypatch, tmp_pat
     assert found[400].total() <= 2.9 * found[200].total()
 
 
+def _mixed_texts(n, words=60):
+    """Texts of one length of five words only, so most have a run of five in common with some others
+    by chance. Every tenth has a near copy."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(n):
+        text = [rng.choice("abcde") for _ in range(words)]
+        texts.append(" ".join(text))
+        if i % 10 == 0:
+            texts.append(" ".join([*text[:-2], f"x{i}", "y"]))
+    return texts
+
+
+def test_runs_shared_by_chance_need_no_whole_sets(spark, monkeypatch, tmp_path):
+    rows, write = Counter(), store.written
+
+    def counting(df, kind="table"):
+        table = write(df, kind)
+        rows[kind] += table.count()
+        return table
+
+    for module in (wordsets, simhash, graph):
+        monkeypatch.setattr(module, "written", counting)
+    texts = _mixed_texts(400)
+    kept, _ = _rows_written(spark, monkeypatch, tmp_path, texts)
+    assert kept == _roots(texts) and len(kept) < len(texts)
+    assert rows["pairs"] > 200 and rows["whole"] <= 100, rows  # 40 near copies
+
+
+def test_near_pairs_left_apart_are_compared_in_groups(spark, monkeypatch, tmp_path):
+    texts, rng = [], random.Random(12)
+    for g in range(12):  # too few for a crowded run; a chain of changes, so some are alike and some not
+        text = [f"g{g}w{i}" for i in range(70)]
+        for i in range(12):
+            text = list(text)
+            text[rng.randrange(70)] = f"g{g}new{i}"
+            texts.append(" ".join(text))
+    kept, tables = _rows_written(spark, monkeypatch, tmp_path, texts)
+    assert kept == _roots(texts) and tables["rest"] > 0
+
+
+def test_what_only_one_set_has_is_never_overstated():
+    rng = random.Random(10)
+    for n in (0, 1, 5, 40, 63, 64, 65, 300, 5000):
+        for m in (0, 1, n // 2, n, 2 * n + 3):
+            one = {rng.getrandbits(64) - 2**63 for _ in range(n)}
+            other = {*rng.sample(sorted(one), min(m, n) * 9 // 10), *(rng.getrandbits(64) - 2**63 for _ in range(m // 10))}
+            marks = [wordsets.sketch(np.array(sorted(s), dtype=np.int64)) for s in (one, other)]
+            assert wordsets.unlike(*marks) == wordsets.unlike(*marks[::-1]) <= len(one ^ other)
+            assert wordsets.unlike(marks[0], marks[0]) == 0
+    far = [wordsets.sketch(np.array([rng.getrandbits(63) for _ in range(400)])) for _ in range(2)]
+    assert wordsets.unlike(*far) > 800 // 9
+
+
+def test_writing_leaves_no_shuffle_files_and_passing_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: f"file://{tmp_path}")
+    before = spark.conf.get(store.CLEANUP)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    earlier = set(blocks.getAllFiles().mkString(" ").split())
+    with store.passing() as kept:
+        store.written(spark.range(10), "spent")
+        with store.passing() as inner:
+            store.written(spark.range(10), "spent")
+            table = inner(store.written(spark.range(9).groupBy((F.col("id") % 3).alias("k")).count(), "kept"))
+        kept(table)
+    for _ in range(50):  # they are removed in the background
+        new = set(blocks.getAllFiles().mkString(" ").split()) - earlier
+        left = [name for name in new if name.rpartition("/")[2].startswith("shuffle_")]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert table.count() == 3 and spark.conf.get(store.CLEANUP) == before
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]
+
+
 def test_packs_are_compared_exactly():
     rng = random.Random(9)
     base = rng.sample(range(10**9), 90)
