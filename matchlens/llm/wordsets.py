@@ -11,14 +11,15 @@ still apart in groups, as below. So what is written of whole sets grows with the
 pairs that have a run in common by chance.
 
 A run that many texts have is not compared pair by pair at once: all are compared with the least
-of them first. Runs whose texts are still apart are joined to groups, by the texts they share; a
-group is cut into packs of bounded size, and tasks compare pack with pack. They pass on links
-only, at most one a text, so nothing that is written grows with the pairs of a group.
+of them first. The texts of a run that are still apart are sieved by their sketches, in packs of
+bounded size, pack with pack in tasks that pass on only as many links as join what can be alike. Texts
+so joined are groups, and these are compared as whole sets in the same way. At most one link a text is
+passed on, so nothing that is written grows with the pairs of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -39,6 +40,8 @@ COUNTS = 1 << 18
 LEAST_BITS, MOST_BITS = 1 << 6, 1 << 15
 #: Runs of all texts of a pack, on average; packs that one task compares with each pack of a group.
 PACK, TOGETHER = 1 << 15, 8
+#: Texts of a pack of sketches, on average.
+CELL = 1 << 10
 #: How many pairs of packs reach Python at once: they are large rows.
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -290,6 +293,66 @@ def _comparing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _odd(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of bits in bytes, laid together to ``width`` bytes."""
+    rows = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1)
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def maybe_alike(left: list[tuple[int, bytes]], right: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of two packs, as numbers of runs and sketches, can be alike: their numbers in
+    either. Sketches of alike sets differ by one doubling at most."""
+    found = [np.empty((2, 0), dtype=np.int64)]
+    places = [{k: np.array([i for i, (_, x) in enumerate(side) if len(x) == k]) for k in {len(x) for _, x in side}}
+              for side in (left, right)]
+    for one, i in places[0].items():
+        for other in {one // 2, one, 2 * one} & places[1].keys():
+            j, width = places[1][other], min(one, other)
+            x, y = _odd([left[k][1] for k in i], width), _odd([right[k][1] for k in j], width)
+            same = np.zeros((len(i), len(j)), dtype=np.float32)
+            for begin in range(0, width, 512):  # so many bytes of the sketches at a time
+                a, b = (2 * np.unpackbits(z[:, begin : begin + 512], axis=1).astype(np.float32) - 1 for z in (x, y))
+                same += a @ b.T
+            both = np.array([left[k][0] for k in i])[:, None] + np.array([right[k][0] for k in j])[None]
+            at, there = np.nonzero((8 * width - same.astype(np.int64)) // 2 * sum(LIKE) <= both * (LIKE[1] - LIKE[0]))
+            found.append(np.stack([i[at], j[there]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        links = []
+        for i in range(batch.num_rows):
+            sides = [batch.column(column)[i].values for column in (0, 1)]
+            (node, root), (other, top) = (
+                (s.field("node").to_numpy(), s.field("root").to_numpy()) for s in sides
+            )
+            sets = (list(zip(s.field("n").to_pylist(), s.field("sketch").to_pylist(), strict=True)) for s in sides)
+            at, there = maybe_alike(*sets)
+            apart = root[at] != top[there]
+            links += _spanning(node[at[apart]], other[there[apart]])
+        a, b = zip(*links, strict=True) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _joined(named: DataFrame, begun: DataFrame) -> DataFrame:
+    """(a, b): links that join the nodes of ``named`` (run, key, n, root, node) that share a run, have
+    other roots and can be alike by their sketches."""
+    sketches = begun.select("key", "sketch").join(named.select("key").distinct(), "key", "left_semi")
+    sizes = named.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("packs"))
+    pack = F.pmod(F.xxhash64("node"), F.col("packs")).alias("pack")
+    sets = F.collect_list(F.struct("node", "root", "n", "sketch")).alias("sets")
+    with passing() as kept:
+        sketches = written(sketches.dropDuplicates(["key"]), "sketches")
+        dealt = named.join(sizes, "run").join(sketches, "key")
+        dealt = dealt.select(F.col("run").alias("group"), "packs", pack, "node", "root", "n", "sketch")
+        cells = written(dealt.groupBy("group", "packs", "pack").agg(sets), "sketched")
+        return kept(_met(cells, _joining))
+
+
 def _packs(members: DataFrame, whole: DataFrame) -> DataFrame:
     """(group, packs, pack, sets): the sets of each group, in packs of bounded size."""
     sizes = members.groupBy("group").agg(F.ceil(F.sum("n") / PACK).alias("packs"))
@@ -299,16 +362,8 @@ def _packs(members: DataFrame, whole: DataFrame) -> DataFrame:
     return dealt.select("group", "packs", pack, "root", "runs").groupBy("group", "packs", "pack").agg(sets)
 
 
-def _within_groups(open_: DataFrame, rows: DataFrame, begun: DataFrame) -> DataFrame:
-    """(a, b): links between the roots of ``open_`` (run, key, n, root) that share a run."""
-    named = written(open_.withColumn("node", F.xxhash64("key")), "open")
-    least = named.groupBy("run").agg(F.min("node").alias("a"))
-    groups = components(named.join(least, "run").select("a", F.col("node").alias("b")))
-    members = named.join(groups.withColumnRenamed("root", "group"), "node")
-    members = written(members.select("group", "key", "n", "root").distinct(), "members")
-    with passing() as kept:
-        whole = _whole_sets(rows, begun, members.select("key"))
-        packs = kept(written(_packs(members, whole), "packs"))
+def _met(packs: DataFrame, compare: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(a, b): what ``compare`` links in every two packs of a group of ``packs``, and in each."""
     # A task takes TOGETHER packs of a group and meets all packs of it that are not before them.
     shares = F.ceil(F.col("packs") / TOGETHER)
     left = packs.select("group", "pack", F.floor(F.col("pack") / TOGETHER).alias("share"), F.col("sets").alias("one"))
@@ -317,15 +372,27 @@ def _within_groups(open_: DataFrame, rows: DataFrame, begun: DataFrame) -> DataF
         F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"),
     ).where(F.col("share") <= F.floor(F.col("other_pack") / TOGETHER))
     met = left.join(right, ["group", "share"]).where("pack <= other_pack").select("one", "other")
-    spark = rows.sparkSession
+    spark = packs.sparkSession
     before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, "8")  # pairs of packs are large rows
     try:
-        return written(met.mapInArrow(_comparing, "a long, b long").distinct(), "links")
+        return written(met.mapInArrow(compare, "a long, b long").distinct(), "links")
     finally:
         spark.conf.set(BATCH, before)
 
 
+def _within_groups(open_: DataFrame, rows: DataFrame, begun: DataFrame) -> DataFrame:
+    """(a, b): links between the roots of ``open_`` (run, key, n, root) that share a run."""
+    named = written(open_.withColumn("node", F.xxhash64("key")), "open")
+    groups = components(_joined(named, begun))
+    members = named.join(groups.withColumnRenamed("root", "group"), "node")
+    members = written(members.select("group", "key", "n", "root").distinct(), "members")
+    with passing() as kept:
+        whole = _whole_sets(rows, begun, members.select("key"))
+        packs = kept(written(_packs(members, whole), "packs"))
+    return _met(packs, _comparing)
+
+
 def similar(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """Links (a, b) between roots of ``rooted`` (doc_id, row_key, root of each row of ``docs``).
     With them, all texts that have a Jaccard likeness of 0.8 are in one component.

@@ -146,6 +146,12 @@ def test_what_only_one_set_has_is_never_overstated():
             marks = [wordsets.sketch(np.array(sorted(s), dtype=np.int64)) for s in (one, other)]
             assert wordsets.unlike(*marks) == wordsets.unlike(*marks[::-1]) <= len(one ^ other)
             assert wordsets.unlike(marks[0], marks[0]) == 0
+            here = [[(len(s), m)] for s, m in zip((one, other), marks, strict=True)]
+            if len(one & other) * 9 >= (len(one) + len(other)) * 4:
+                assert [x.tolist() for x in wordsets.maybe_alike(*here)] == [[0], [0]]
+            elif max(map(len, marks)) <= 2 * min(map(len, marks)):
+                few = wordsets.unlike(*marks) * 9 <= len(one) + len(other)
+                assert len(wordsets.maybe_alike(*here)[0]) == few
     far = [wordsets.sketch(np.array([rng.getrandbits(63) for _ in range(400)])) for _ in range(2)]
     assert wordsets.unlike(*far) > 800 // 9
 
